@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from .common import table
+from .decontaminate import report_contamination
+from .languages import identify_languages
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .quality import judge_quality
+from .simhash import hex_mark, near_duplicates
+from .tokens import count_tokens
 from .urls import judge_urls, rule_frame
 
 #: The rules of the URL query, (host, path, verdict).
@@ -20,17 +27,43 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", "__mix.taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines_left"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("__gone", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", hex_mark(F.col("mark")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -52,6 +85,18 @@ x as (select source, e, max((k, coalesce(doc_id, -9223372036854775808), size)) l
 select q.doc_id, q.size, q.source_size::bigint source_size, q.target,
        (q.size * (select count(*) from x where x.source is not distinct from q.source and (q.k, coalesce(q.doc_id, -9223372036854775808), q.size) <= x.last))::bigint taken
 from q""",
+    "op4_decontaminate": r"""
+with d as (select row_number() over () row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') w from documents),
+i as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') w from benchmark),
+p as (select item_id, w, least(len(w), 10) m, unnest(generate_series(1, greatest(len(w) - 9, 1))) pos from i where len(w) > 0),
+iw as (select distinct item_id, m, array_to_string(w[pos:pos + m - 1], ' ') win from p),
+dp as (select row, w, m, unnest(generate_series(1, len(w) - m + 1)) pos from d cross join (select distinct m from iw)),
+dw as (select row, m, pos, array_to_string(w[pos:pos + m - 1], ' ') win from dp),
+h as (select distinct row, dw.m, pos, item_id from dw join iw on dw.win = iw.win and dw.m = iw.m),
+c as (select row, count(distinct place) n_hit from (select row, unnest(generate_series(pos, pos + m - 1)) place from h) group by row),
+n as (select row, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) ids from (select distinct row, item_id from h) group by row)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join c using (row) left join n using (row)""",
     "op6_url_filter": r"""
 with u as (select page_id,
   coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,

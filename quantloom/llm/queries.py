@@ -11,9 +11,11 @@ import public_tokenizers
 
 from .common import table
 from .decontaminate import report_contamination
+from .html import extract_main_text
 from .languages import identify_languages
 from .lines import dedup_lines
 from .mixing import mix_sources
+from .personal import KINDS, find_personal
 from .quality import judge_quality
 from .simhash import hex_mark, near_duplicates
 from .tokens import count_tokens
@@ -23,6 +25,10 @@ from .urls import judge_urls, rule_frame
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", "__mix.taken")
 
@@ -43,6 +49,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    name = F.array(*map(F.lit, KINDS))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
+    counts = [of(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines_left"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("__gone", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -57,11 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
@@ -86,8 +103,8 @@ select q.doc_id, q.size, q.source_size::bigint source_size, q.target,
        (q.size * (select count(*) from x where x.source is not distinct from q.source and (q.k, coalesce(q.doc_id, -9223372036854775808), q.size) <= x.last))::bigint taken
 from q""",
     "op4_decontaminate": r"""
-with d as (select row_number() over () row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') w from documents),
-i as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') w from benchmark),
+with d as (select row_number() over () row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+i as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
 p as (select item_id, w, least(len(w), 10) m, unnest(generate_series(1, greatest(len(w) - 9, 1))) pos from i where len(w) > 0),
 iw as (select distinct item_id, m, array_to_string(w[pos:pos + m - 1], ' ') win from p),
 dp as (select row, w, m, unnest(generate_series(1, len(w) - m + 1)) pos from d cross join (select distinct m from iw)),

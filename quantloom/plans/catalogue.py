@@ -95,14 +95,14 @@ add_scalar("optimal_number_of_bins_corr", lambda: S.optimal_number_of_bins("n",
 add_scalar("sr_from_precision", lambda: S.sr_from_precision("p", F.col("n"), F.lit(1.2)), "case when p > 0 and p < 1 then (p * 1.2::double - (1 - p)) / sqrt(p * (1 - p) * pow(2.2::double, 2)) * sqrt(n::double) else 0.0 end")
 add_scalar("implied_frequency", lambda: S.implied_frequency(F.lit(1.5), F.lit(0.5) + F.col("p") / 4 + 0.01, F.lit(1.1)), "pow(1.5::double / (((0.51::double + p / 4) * 1.1::double - (1 - (0.51::double + p / 4))) / sqrt((0.51::double + p / 4) * (1 - (0.51::double + p / 4)) * pow(2.1::double, 2))), 2)")
 add_scalar("implied_precision", lambda: S.implied_precision(F.lit(2.0) * F.col("p"), F.col("n"), F.lit(1.1)), "(2 * 2.1::double + t * t * 2.1::double * 2.1::double + sqrt(pow(2 * 2.1::double + t * t * 2.1::double * 2.1::double, 2) - 4 * 2.1::double * 2.1::double * (1 + t * t))) / (2 * 2.1::double * 2.1::double * (1 + t * t))")
-ORACLES["implied_precision"] = ORACLES["implied_precision"].replace(" from c", " " + "from (select *, 2 * p / sqrt(n::double) as t from c)")
+ORACLES["implied_precision"] = ORACLES["implied_precision"].replace("as value from c", "as value from (select *, 2 * p / sqrt(n::double) as t from c)")
 add_scalar("normal_cdf", lambda: S.normal_cdf("x"), phi_sql("x"))
 add_scalar("strategy_failure_probability", lambda: S.strategy_failure_probability("p", "n", F.lit(0.5)), f"1 - {phi_sql('z')}")
-ORACLES["strategy_failure_probability"] = ORACLES["strategy_failure_probability"].replace(" from c", " " + "from (select *, (p - 0.5) / sqrt(0.25::double / n) as z from c)")
+ORACLES["strategy_failure_probability"] = ORACLES["strategy_failure_probability"].replace("as value from c", "as value from (select *, (p - 0.5) / sqrt(0.25::double / n) as z from c)")
 add_scalar("probabilistic_sharpe_ratio", lambda: S.probabilistic_sharpe_ratio("p", F.lit(0.2), "n", F.lit(-0.3), F.lit(4.0)), phi_sql("z"))
-ORACLES["probabilistic_sharpe_ratio"] = ORACLES["probabilistic_sharpe_ratio"].replace(" from c", " " + f"from (select *, {PSR_SQL.format(sr='p', b='0.2', g='-0.3', k='4.0')} as z from c)")
+ORACLES["probabilistic_sharpe_ratio"] = ORACLES["probabilistic_sharpe_ratio"].replace("as value from c", f"as value from (select *, {PSR_SQL.format(sr='p', b='0.2', g='-0.3', k='4.0')} as z from c)")
 add_scalar("deflated_sharpe_ratio", lambda: S.deflated_sharpe_ratio("p", F.lit(0.1), "n", 20, F.lit(-0.3), F.lit(4.0)), phi_sql("z"))
-ORACLES["deflated_sharpe_ratio"] = ORACLES["deflated_sharpe_ratio"].replace(" from c", " " + f"from (select *, {PSR_SQL.format(sr='p', b=repr(DSR_BENCHMARK), g='-0.3', k='4.0')} as z from c)")
+ORACLES["deflated_sharpe_ratio"] = ORACLES["deflated_sharpe_ratio"].replace("as value from c", f"as value from (select *, {PSR_SQL.format(sr='p', b=repr(DSR_BENCHMARK), g='-0.3', k='4.0')} as z from c)")
 add_scalar("bagging_accuracy", lambda: S.bagging_accuracy(10, "p"), BAG)
 add_scalar("binomial", lambda: S.binomial("n", "k"), "case k when 2 then n * (n - 1) // 2 when 3 then n * (n - 1) * (n - 2) // 6 when 4 then n * (n - 1) * (n - 2) * (n - 3) // 24 else n * (n - 1) * (n - 2) * (n - 3) * (n - 4) // 120 end", True)
 add_scalar("partitions_count", lambda: S.partitions_count("k", F.lit(3)), "(k + 2) * (k + 1) * k // 6", True)
@@ -192,8 +192,8 @@ def series_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ADJ = "regr_slope(nx - x, case when nx is not null then x end)"
 add_aggregate("mean", lambda: A.mean("x"), "avg(x)")
-add_aggregate("variance", lambda: A.variance("x"), "var_samp(x)")
-add_aggregate("variance_population", lambda: A.variance("x", 0), "var_pop(x)")
+add_aggregate("variance", lambda: A.variance(F.col("x") / 100), "var_samp(x / 100)")
+add_aggregate("variance_population", lambda: A.variance(F.col("x") / 100, 0), "var_pop(x / 100)")
 add_aggregate("std_dev", lambda: A.std_dev("x"), "stddev_samp(x)")
 add_aggregate("array_mean", lambda: A.array_mean("x"), "coalesce(avg(x), 0)")
 add_aggregate("array_std", lambda: A.array_std("x"), "coalesce(stddev_samp(x), 0)")

@@ -11,13 +11,11 @@ verified on the sets themselves.
 
 from __future__ import annotations
 
-import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +26,8 @@ from .common import cut_lineage
 RANK_BITS = 18
 #: Rows that may be broadcast; with more, the joins shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Distinct words that a task holds at once.
-HELD_WORDS = 300_000
+#: Bytes of text that a task takes apart at once.
+CHUNK_BYTES = 4 << 20
 
 
 def line_words(line: str) -> set[bytes]:
@@ -37,38 +35,83 @@ def line_words(line: str) -> set[bytes]:
     return set(line.encode("utf-8", "surrogatepass").lower().split())
 
 
-class WordKeys(dict):
+class Lines:
+    """The lines with words of some texts, each as its distinct words, in arrays.
+
+    ``words`` are the distinct words of all lines; line k has ``words[codes[starts[k] : starts[k + 1]]]``.
+    """
+
+    def __init__(self, texts: pa.Array):
+        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+        rows = pc.list_parent_indices(split).to_numpy()
+        places = np.arange(len(rows)) - split.offsets.to_numpy()[rows] + (split.offsets[0].as_py() if len(split) else 0)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(split.flatten()))
+        flat, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0)
+        flat, owner = flat.filter(full).dictionary_encode(), owner[full.to_numpy(zero_copy_only=False)]
+        self.words, self.codes, self.owner = flat.dictionary, flat.indices.to_numpy(), owner
+        self.rows, self.places = rows, places
+
+    def sorted_by(self, keys: np.ndarray) -> None:
+        """Drop repeated words of a line and put the rest in order of their keys: adds line numbers, starts and keys."""
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        both = np.sort(self.owner.astype(np.int64) << 32 | rank[self.codes])
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        line, self.keys = both >> 32, keys[order][both & 0xFFFFFFFF]
+        self.starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        held = line[self.starts]
+        self.rows, self.places = self.rows[held], self.places[held]
+        self.sizes = np.diff(np.concatenate([self.starts, [len(line)]])).astype(np.int64)
+
+    def identities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each set the sum of its mixed keys and its parity signature, together its identity."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        mixed = (self.keys ^ self.keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        bits = np.left_shift(np.uint64(1), self.keys & np.uint64(63))
+        return np.add.reduceat(mixed ^ mixed >> np.uint64(32), self.starts).view(np.int64), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
+
+    def heads(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the first words of each line: the line, the place in it and the key."""
+        total = int(lengths.sum())
+        line = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return line, place, self.keys[self.starts[line] + place] if total else np.zeros(0, np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def word_keys(words: pa.Array, ranks: np.ndarray) -> np.ndarray:
     """64-bit keys of words that sort by rarity: the rank of the hash's bucket, then the rest of the hash."""
+    h, rest = word_hashes(words), np.uint64(64 - RANK_BITS)
+    return ranks[(h >> rest).astype(np.int64)].astype(np.uint64) << rest | h & ((np.uint64(1) << rest) - np.uint64(1))
 
-    def __init__(self, ranks: np.ndarray):
-        self.ranks = ranks.tolist()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        rest = 64 - RANK_BITS
-        key = self[word] = self.ranks[h >> rest] << rest | h & ((1 << rest) - 1)
-        return key
+def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about CHUNK_BYTES of text; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def rank_words(docs: DataFrame) -> np.ndarray:
     """Rank of each hash bucket by how many words of all lines fall into it, the rarest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sums = Counter(), np.zeros(1 << RANK_BITS, np.int64)
-
-        def settle() -> None:
-            at = np.fromiter((xxhash.xxh64_intdigest(w) >> 64 - RANK_BITS for w in seen), np.int64, len(seen))
-            np.add.at(sums, at, np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
-
+        sums = np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                seen.update((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-                if len(seen) > HELD_WORDS:
-                    settle()
-        settle()
+            for part in chunks(batch, 0):
+                found = Lines(part.column(0))
+                at = (word_hashes(found.words) >> np.uint64(64 - RANK_BITS)).astype(np.int64)
+                np.add.at(sums, at, np.bincount(found.codes, minlength=len(at)))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
 
@@ -80,56 +123,50 @@ def rank_words(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _identity(keys: list[int]) -> tuple[int, int]:
-    """A hash of a sorted set and its parity signature, together the identity of the set."""
-    parity = 0
-    for k in keys:
-        parity ^= 1 << (k & 63)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(xxhash.xxh64_intdigest(array("Q", keys).tobytes())), signed(parity)
+def _each(docs: DataFrame, ranks, shape: str, emit) -> DataFrame:
+    """Rows that ``emit(part, lines)`` makes, as arrays, of each part of the texts."""
+    names = [c.split()[0] for c in shape.split(", ")]
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                found = Lines(part.column(2))
+                found.sorted_by(word_keys(found.words, ranks.value))
+                yield pa.RecordBatch.from_arrays(emit(part, found), names)
 
-def _signed(keys: list[int]) -> list[int]:
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(make, shape)
 
 
-def prefix_length(size: int, threshold: float) -> int:
-    return size - math.ceil(threshold * size - 1e-9) + 1
+def line_places(docs: DataFrame, ranks) -> DataFrame:
+    """(doc_id, text_hash, line, hash, parity) of every line with words."""
 
+    def emit(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
+        rows = pa.array(found.rows)
+        return [part.column(0).take(rows), part.column(1).take(rows), pa.array(found.places, pa.int32()), *map(pa.array, found.identities())]
 
-def _lines(docs: DataFrame, ranks, shape: str, emit) -> DataFrame:
-    """A row per line with words: doc_id, text_hash, line and what ``emit`` makes of its sorted keys (None: no row)."""
+    return _each(docs, ranks, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line int, hash long, parity long", emit)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_of = WordKeys(ranks.value).__getitem__
-        for batch in batches:
-            rows, places, made = [], [], []
-            for row, text in enumerate(batch.column(2)):
-                for place, line in enumerate((text.as_py() or "").split("\n")):
-                    if words := line_words(line):
-                        keys = sorted(map(key_of, words))
-                        if (out := emit(keys)) is not None:
-                            rows.append(row), places.append(place), made.append(out)
-            take = pa.array(rows, pa.int32())
-            columns = list(zip(*made, strict=True)) if made else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.int32()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "text_hash", "line", *names])
-
-    names, kinds = zip(*[x.split() for x in shape.split(", ")], strict=True)
-    types = [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}[k] for k in kinds]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(make, f"doc_id {id_type}, text_hash long, line int, {shape}")
+
+def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of a set's rarest words to join on; 0 for sets so small that only an equal one can match."""
+    lengths = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    return np.where((sizes >= threshold * (sizes + 1) - 1e-9) | (sizes - 1 >= threshold * sizes - 1e-9), lengths, 0)
 
 
 def similar_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     """Pairs of different line sets, (hash_a, parity_a, hash_b, parity_b), whose Jaccard similarity reaches the threshold."""
 
-    def entry(keys: list[int]):
-        n = prefix_length(len(keys), threshold)
-        # a set of s words can match another only if s and s + 1, or s - 1 and s, are within the threshold
-        return (*_identity(keys), len(keys), _signed(keys[:n])) if len(keys) >= threshold * (len(keys) + 1) - 1e-9 or len(keys) - 1 >= threshold * len(keys) - 1e-9 else None
-
-    entries = _lines(docs, ranks, "hash long, parity long, size int, prefix array<long>", entry).drop("doc_id", "text_hash", "line").dropDuplicates(["hash", "parity"])
-    tokens = entries.select("hash", "parity", "size", F.posexplode_outer("prefix").alias("place", "token"))
+    def prefixes(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
+        hashes, parities = found.identities()
+        once = np.zeros(len(hashes), bool)
+        once[np.unique(np.stack([hashes, parities]), axis=1, return_index=True)[1] if len(hashes) else []] = True
+        line, place, keys = found.heads(np.where(once, prefix_lengths(found.sizes, threshold), 0))
+        # the last bits of a key tell few words apart; without them rows pack better
+        return [pa.array((keys >> np.uint64(16)).astype(np.int64)), pa.array(hashes[line]), pa.array(parities[line]), pa.array(found.sizes[line], pa.int32()), pa.array(place, pa.int32())]
+
+    tokens = _each(docs, ranks, "token long, hash long, parity long, size int, place int", prefixes)
+    # dealt by token once: equal sets of several parts become one, then pairs meet where they lie
+    tokens = tokens.repartition(F.col("token")).groupBy("token", "hash", "parity", "size", "place").agg(F.lit(1).alias("one")).drop("one")
     a, b = tokens.alias("a"), tokens.alias("b")
     overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     smaller = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & ((F.col("a.hash") < F.col("b.hash")) | ((F.col("a.hash") == F.col("b.hash")) & (F.col("a.parity") < F.col("b.parity")))))
@@ -139,33 +176,45 @@ def similar_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     pairs = cut_lineage(pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("hash", "parity")]).distinct())
 
     wanted = cut_lineage(pairs.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).unionByName(pairs.select(F.col("hash_b").alias("hash"), F.col("parity_b").alias("parity"))).distinct())
+    hashes = None
     if wanted.count() <= BROADCAST_ROWS:
-        hashes = docs.sparkSession.sparkContext.broadcast(frozenset(r["hash"] for r in wanted.select("hash").toLocalIterator()))
-    else:
-        hashes = None
+        hashes = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r["hash"] for r in wanted.select("hash").toLocalIterator()), np.int64)))
 
-    def whole(keys: list[int]):
-        identity = _identity(keys)
-        return (*identity, _signed(keys)) if hashes is None or identity[0] in hashes.value else None
+    def whole(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
+        own, parities = found.identities()
+        held = hashes.value if hashes is not None else None
+        keep = np.ones(len(own), bool) if held is None else (held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own) if len(held) else np.zeros(len(own), bool)
+        line, _, keys = found.heads(np.where(keep, found.sizes, 0))
+        offsets = np.concatenate([[0], np.cumsum(found.sizes[keep])])
+        return [pa.array(own[keep]), pa.array(parities[keep]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))]
 
-    sets = _lines(docs, ranks, "hash long, parity long, keys array<long>", whole).drop("doc_id", "text_hash", "line").join(wanted, ["hash", "parity"], "left_semi").dropDuplicates(["hash", "parity"])
+    sets = _each(docs, ranks, "hash long, parity long, keys array<long>", whole).join(wanted, ["hash", "parity"], "left_semi").dropDuplicates(["hash", "parity"])
     sets = cut_lineage(sets)
     both = pairs.join(sets.select(F.col("hash").alias("hash_a"), F.col("parity").alias("parity_a"), F.col("keys").alias("keys_a")), ["hash_a", "parity_a"]).join(sets.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), F.col("keys").alias("keys_b")), ["hash_b", "parity_b"])
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     return both.where(shared >= F.lit(threshold) * (F.size("keys_a") + F.size("keys_b") - shared) - 1e-9).select("hash_a", "parity_a", "hash_b", "parity_b")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if its rows are within BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def later_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document that loses lines: doc_id, text_hash and ``gone``, the sorted numbers of the lines."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
-    lines = cut_lineage(_lines(docs, ranks, "hash long, parity long", _identity))
-    firsts = cut_lineage(lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    pairs = similar_sets(docs, ranks, threshold)
+    lines = cut_lineage(line_places(docs, ranks))
+    first = F.min(F.struct("doc_id", "line")).alias("first")
+    repeated = cut_lineage(lines.groupBy("hash", "parity").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    pairs = cut_lineage(similar_sets(docs, ranks, threshold))
     ends = pairs.unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("parity_b").alias("parity_a"), F.col("hash_a").alias("hash_b"), F.col("parity_a").alias("parity_b")))
-    other = firsts.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), F.col("first").alias("first_b"))
-    earliest = ends.join(other, ["hash_b", "parity_b"]).groupBy(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).agg(F.min("first_b").alias("first_b"))
-    known = firsts.join(earliest, ["hash", "parity"], "left").select("hash", "parity", F.least("first", F.coalesce("first_b", "first")).alias("first"))
-    gone = lines.join(known, ["hash", "parity"]).where(F.struct("doc_id", "line") > F.col("first"))
+    paired = _bounded(cut_lineage(ends.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).distinct()))
+    firsts = lines.join(paired, ["hash", "parity"], "left_semi").groupBy("hash", "parity").agg(first)
+    other = firsts.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), "first")
+    earliest = ends.join(other, ["hash_b", "parity_b"]).select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity"), "first")
+    # a line goes if any line with its words or with similar ones comes before it
+    known = repeated.unionByName(earliest).groupBy("hash", "parity").agg(F.min("first").alias("first"))
+    gone = lines.join(_bounded(cut_lineage(known)), ["hash", "parity"]).where(F.struct("doc_id", "line") > F.col("first"))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -178,7 +227,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     are unchanged.
     """
     gone = cut_lineage(later_lines(docs, threshold).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone")))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = _bounded(gone)
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
     left = docs.join(gone, same, "left").drop("__doc_id", "__text_hash")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")

@@ -32,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that may be broadcast; with more, a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, checkpointed; to be broadcast if a count finds no more rows than ``most``."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,12 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import BROADCAST_ROWS, bounded_broadcast, cut_lineage
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
-#: Rows that may be broadcast; with more, the joins shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a task takes apart at once.
 CHUNK_BYTES = 4 << 20
 
@@ -195,11 +193,6 @@ def similar_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     return both.where(shared >= F.lit(threshold) * (F.size("keys_a") + F.size("keys_b") - shared) - 1e-9).select("hash_a", "parity_a", "hash_b", "parity_b")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A checkpointed table, to be broadcast if its rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def later_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document that loses lines: doc_id, text_hash and ``gone``, the sorted numbers of the lines."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
@@ -208,13 +201,13 @@ def later_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     repeated = cut_lineage(lines.groupBy("hash", "parity").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     pairs = cut_lineage(similar_sets(docs, ranks, threshold))
     ends = pairs.unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("parity_b").alias("parity_a"), F.col("hash_a").alias("hash_b"), F.col("parity_a").alias("parity_b")))
-    paired = _bounded(cut_lineage(ends.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).distinct()))
+    paired = bounded_broadcast(ends.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).distinct())
     firsts = lines.join(paired, ["hash", "parity"], "left_semi").groupBy("hash", "parity").agg(first)
     other = firsts.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), "first")
     earliest = ends.join(other, ["hash_b", "parity_b"]).select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity"), "first")
     # a line goes if any line with its words or with similar ones comes before it
     known = repeated.unionByName(earliest).groupBy("hash", "parity").agg(F.min("first").alias("first"))
-    gone = lines.join(_bounded(cut_lineage(known)), ["hash", "parity"]).where(F.struct("doc_id", "line") > F.col("first"))
+    gone = lines.join(bounded_broadcast(known), ["hash", "parity"]).where(F.struct("doc_id", "line") > F.col("first"))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -226,8 +219,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first. Equal rows share their places, so neither is later than the other. A null text stays null; other columns
     are unchanged.
     """
-    gone = cut_lineage(later_lines(docs, threshold).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone")))
-    gone = _bounded(gone)
+    gone = bounded_broadcast(later_lines(docs, threshold).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone")))
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
     left = docs.join(gone, same, "left").drop("__doc_id", "__text_hash")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")

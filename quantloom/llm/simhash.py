@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bounded_broadcast, cut_lineage
 
 SEED = 42
 
@@ -111,7 +111,12 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, most: int = 3) -> DataFrame:
     Among rows of that doc_id the least text hash stays, and one of equal rows.
     """
     found = near_duplicates(docs, shingle=shingle, most=most)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias("__doc_id"), F.col("row.text_hash").alias("__text_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    counted = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = counted.groupBy("component_id").agg(F.min(row).alias("row"))
+    marked = cut_lineage(counted.alias("c").join(kept.alias("k"), F.expr("c.component_id <=> k.component_id")).select("doc_id", "text_hash", "n", (row == F.col("k.row")).alias("stays")))
+    gone = bounded_broadcast(marked.where("not stays").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__text_hash"))
+    left = docs.join(gone, same, "left_anti")
+    repeats = marked.where("stays and n > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if repeats else left

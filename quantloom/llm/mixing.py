@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, n_blank_words
+from .common import bounded_broadcast, cut_lineage, n_blank_words
 
 #: Bins of finish times; also the bound on the rows that one task sums and on what is broadcast.
 TIME_BINS = 4096
+#: Sources whose bounds may be broadcast.
+MANY_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], budget_share: float, max_epochs: int) -> DataFrame:
@@ -79,7 +81,7 @@ def mix_bounds(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_sh
 
 
 def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target and taken (struct ``mix``).
+    """All rows and columns of ``docs`` with size, source_size, target and taken (struct ``__mix``).
 
     ``taken`` counts the words that the mix takes of a document, repeats counted: up to ``max_epochs`` times its size.
     Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none. Rows that agree in doc_id, source and size share a place in
@@ -88,6 +90,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_s
     """
     bounds = mix_bounds(docs, weights=weights, budget_share=budget_share, max_epochs=max_epochs, seed=seed)
     bounds = bounds.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("last").alias("__last"))
+    bounds = bounded_broadcast(bounds, MANY_SOURCES)
     keyed = docs.withColumns({"__size": n_blank_words(F.col("text")), "__key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
     placed = keyed.join(bounds, F.col("source").eqNullSafe(F.col("__source")), "left")
     here = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__size").alias("size"))

@@ -547,3 +547,25 @@ def trajectories(starts: DataFrame, state: str, moves: Sequence[float], steps: i
 def expected_value(paths: DataFrame, payoff, keys: Sequence[str]) -> DataFrame:
     """(keys, value): the mean of a payoff Column over all paths."""
     return paths.groupBy(*keys).agg(F.coalesce(F.avg(payoff), F.lit(0.0)).alias("value"))
+
+
+def forest_preset(which: int) -> dict:
+    """Parameters for ``pyspark.ml.classification.RandomForestClassifier``: three settings against overfitting.
+
+    1: many trees on few features each; 2: more trees, fewer features, leaves with 5 % of the rows; 3: bagged trees on all
+    features.
+    """
+    presets = {1: {"numTrees": 1000, "featureSubsetStrategy": "sqrt"}, 2: {"numTrees": 5000, "featureSubsetStrategy": "log2", "minWeightFractionPerNode": 0.05}, 3: {"numTrees": 1000, "featureSubsetStrategy": "all"}}
+    if which not in presets:
+        raise InvalidParameter(f"preset {which}")
+    return presets[which]
+
+
+def kmeans_rows(df: DataFrame, features: Sequence[str], k: int, max_iter: int = 300, seed: int = 42) -> DataFrame:
+    """``df`` with a column ``cluster``: k-means over all rows, for data too large for one matrix."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    assembled = VectorAssembler(inputCols=list(features), outputCol="__features").transform(df)
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="__features", predictionCol="cluster").fit(assembled)
+    return model.transform(assembled).drop("__features")

@@ -80,9 +80,23 @@ class Lines:
         return line, place, self.keys[self.starts[line] + place] if total else np.zeros(0, np.uint64)
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+#: Tabulation hashing: a random word for each of the first bytes of a word and each value of the byte.
+_PLACES = 256
+_TABLE = np.random.default_rng(8).integers(0, 1 << 64, (_PLACES, 256), np.uint64)
+
+
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes of distinct, non-empty words; those longer than the table are hashed one by one."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    data, starts, sizes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    h = np.bitwise_xor.reduceat(_TABLE[np.minimum(place, _PLACES - 1), data], starts) ^ sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in np.flatnonzero(sizes > _PLACES):
+        h[k] = xxhash.xxh64_intdigest(words[int(k)].as_py())
+    return h
 
 
 def word_keys(words: pa.Array, ranks: np.ndarray) -> np.ndarray:

@@ -29,13 +29,17 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds; a distance above its maximum rejects a document that reaches the minimum length."""
+    """Thresholds; a distance above its maximum rejects a document that reaches the minimum length.
+
+    Short texts scatter more: ``word_slack`` over the number of words is added to the maximum for words.
+    """
 
     min_words: int = 50
     max_repeat_share: float = 0.5
     max_char_distance: float = 0.28
     min_chars_judged: int = 200
-    max_word_distance: float = 0.31
+    max_word_distance: float = 0.285
+    word_slack: float = 3.0
     min_words_judged: int = 100
 
 
@@ -146,7 +150,7 @@ def verdict(counts: Column, references: dict[str, tuple[list[float], dict[str, f
     char = F.when(counts["n_chars"] >= rules.min_chars_judged, least([char_distance(counts, r[0]) for r in references.values()])).otherwise(F.lit(0.0))
     word = F.when(counts["n_words"] >= rules.min_words_judged, least([word_distance(counts, r[1]) for r in references.values()])).otherwise(F.lit(0.0))
     made = F.struct(failed.alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
-    return let(made, lambda m: F.struct(m["base_failed"].alias("base_failed"), m["char_distance"].alias("char_distance"), m["word_distance"].alias("word_distance"), (~m["base_failed"] & (m["char_distance"] <= rules.max_char_distance) & (m["word_distance"] <= rules.max_word_distance)).alias("kept")))
+    return let(made, lambda m: F.struct(m["base_failed"].alias("base_failed"), m["char_distance"].alias("char_distance"), m["word_distance"].alias("word_distance"), (~m["base_failed"] & (m["char_distance"] <= rules.max_char_distance) & (m["word_distance"] <= rules.max_word_distance + rules.word_slack / F.greatest(counts["n_words"], F.lit(1)))).alias("kept")))
 
 
 def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

@@ -19,4 +19,3 @@ def spark():
     session.stop()
 
 
-SF = "/root/testdata/sf0.001"

@@ -40,43 +40,70 @@ OUTSIDE_WORDS = {
     "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "masthead", "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "login", "toolbar",
 }
 COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: Parts of class names that tell a state of the element: "has-sidebar" is no sidebar, "comments-open" no comment.
+STATE_WORDS = {"has", "have", "with", "without", "no", "not", "is", "show", "hide", "hides", "single", "open", "closed", "enabled", "disabled", "free"}
 
 _MARKUP = re.compile(r"<!--.*?-->|<!--[^>]*>?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
-def _label(tag: str, attributes: str, within_article: bool) -> str:
-    """The tag, with ``!`` if by tag, role, class or id it is no part of an article, and ``!!`` for reader comments."""
-    words, role, hidden = set(), "", False
+def _named(value: str) -> set[str]:
+    """What a class or id attribute names: its whole names, and the parts of those that don't tell a state."""
+    words = set()
+    for name in value.split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        words |= {name} if parts & STATE_WORDS else parts
+    return words
+
+
+def _label(tag: str, attributes: str, within_article: bool) -> tuple[str, bool]:
+    """The tag, with ``!`` if by tag, role, class or id it is no part of an article, and ``!!`` for reader comments.
+
+    The flag tells that only class or id say so. The page, its body and main are never marked by them, and an article
+    only where it is called a comment by a whole name.
+    """
+    words, names, role, hidden = set(), set(), "", False
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words.update(re.split(r"[^a-z0-9]+", value))
+                words |= _named(value)
+                names.update(value.split())
             elif name == "role":
                 role = value
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
+    if tag in ("main", "html", "body") or (tag == "article" and not names & COMMENT_WORDS):
+        return (f"{tag}!" if hidden else tag), False
+    hard = tag in OUTSIDE or (tag == "header" and not within_article) or role in OUTSIDE_ROLES or hidden
     if words & COMMENT_WORDS:
-        return f"{tag}!!"
-    if tag in ("article", "main", "html", "body"):
-        return f"{tag}!" if hidden else tag
-    outside = tag in OUTSIDE or (tag == "header" and not within_article) or role in OUTSIDE_ROLES or hidden or bool(words & OUTSIDE_WORDS) or (bool(words & {"header"}) and not within_article)
-    return f"{tag}!" if outside else tag
+        return f"{tag}!!", not hard
+    outside = hard or bool(words & OUTSIDE_WORDS) or ("header" in words and not within_article)
+    return (f"{tag}!" if outside else tag), not hard
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of every block with text, in page order: character references decoded, white space folded."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # (tag, label)
+    """(path, text) of every block with text, in page order: character references decoded, white space folded.
+
+    A mark that only a class or id gives is taken back where the element holds most of the text that no tag, role or
+    hidden attribute excludes. Only that of comments stays then, if an unmarked article or main has text.
+    """
+    out: list[tuple[tuple[list, ...], str]] = []
+    stack: list[list] = []  # [tag, label, may be taken back, characters in it]
+    total = 0
     held: list[str] = []
 
     def end_block() -> None:
+        nonlocal total
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(("/".join(label for _, label in stack), text))
+                out.append((tuple(stack), text))
+                if not any(e[1].endswith("!") and not e[2] for e in stack):
+                    total += len(text)
+                    for e in stack:
+                        e[3] += len(text)
 
     at, size = 0, len(page)
     while at < size:
@@ -105,10 +132,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 at = end.end() if end else (size if tag in ("script", "style") else at)
             continue
         if tag in INLINE:
-            if not closing and attributes and (label := _label(tag, attributes, True)) != tag:
+            if not closing and attributes and (label := _label(tag, attributes, True)[0]) != tag:
                 end_block()
-                stack.append((tag, label))
-            elif closing and any(t == tag for t, _ in stack):
+                stack.append([tag, label, False, 0])
+            elif closing and any(e[0] == tag for e in stack):
                 end_block()
                 while stack.pop()[0] != tag:
                     pass
@@ -117,7 +144,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
+            if any(e[0] == tag for e in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
@@ -125,14 +152,19 @@ def blocks(page: str) -> list[tuple[str, str]]:
             stack.pop()
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        within = any(t in ("article", "main") for t, _ in stack)
-        label = _label(tag, attributes, within)
-        if tag in ("article", "main") and label == tag and not any(x.endswith("!!") for _, x in stack):
+        within = any(e[0] in ("article", "main") for e in stack)
+        label, soft = _label(tag, attributes, within)
+        if tag in ("article", "main") and label == tag and not any(e[1].endswith("!!") for e in stack):
             while stack and stack[-1][1].endswith("!"):  # of an element before it that was never closed
                 stack.pop()
-        stack.append((tag, label))
+        stack.append([tag, label, soft, 0])
     end_block()
-    return out
+    told = any(any(e[0] in ("article", "main") for e in elements) and not any(e[1].endswith("!") for e in elements) for elements, _ in out)
+    for elements, _ in out:
+        for e in elements:
+            if e[2] and 2 * e[3] > total and not (told and e[1].endswith("!!")):
+                e[1] = e[0]
+    return [("/".join(e[1] for e in elements), text) for elements, text in out]
 
 
 class Wrapper:

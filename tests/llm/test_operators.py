@@ -63,6 +63,22 @@ def test_extract_whole_table(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LABELLED = [
+    f"<body class='single comments-open'><article><p>{prose(1, 30)}</p></article>",
+    f"<body><article class='post comments-closed'><p>{prose(1, 30)}</p></article>",
+    f"<body><div class='nav'><p>menu</p></div><div class='content has-sidebar'><p>{prose(1, 30)}</p></div>",
+    f"<body><article><div class='related-posts'>so</div><div class='text sidebar'><p>{prose(1, 30)}</p></div></article>",
+    f"<body><p class='menu'>menu</p><div class='post sidebar'><p>{prose(1, 30)}</p></div>",
+    f"<body><article><p>{prose(1, 30)}</p></article><div id='comments'><article class='comment'><p>{prose(2, 90)}</p></article></div>",
+    f"<body><article><p>{prose(1, 30)}</p><div class='post-comments'><p>{prose(2, 90)}</p></div></article><article class='comment'><p>so</p></article>",
+]
+
+
+@pytest.mark.parametrize("text", LABELLED)
+def test_class_names_never_take_the_whole_text(text):
+    assert html.main_text(text, None) == prose(1, 30)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/pabdivscript!-=\"' &;é\n", max_size=120))
 def test_html_never_fails(text):

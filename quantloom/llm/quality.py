@@ -2,8 +2,9 @@
 
 Two histograms per document, of character classes and of common words, are compared with references by the
 Jensen-Shannon distance (square root of the divergence, base 2, so 0 to 1). A reference is the sum of the histograms
-of all documents of a language, so it covers the whole corpus; a document is judged by the nearest reference. Texts
-too short to have a stable histogram are not judged by it.
+of all documents of a language, whichever languages there are, and its common words are the most frequent of these
+documents. A document is judged by the reference of its own language; one without such a reference is not judged by
+words, and by the nearest reference for characters. Texts too short to have a stable histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -15,14 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_CLASS, blank_words, cut_lineage, let
 
-# Frequent words of each language that has a reference.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "auf", "für", "ist", "nicht", "ein", "dem", "des"],
-    "en": ["the", "of", "and", "to", "in", "is", "a", "that", "it", "for", "was", "with", "on", "as", "by"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un", "para", "con", "una"],
-    "fr": ["le", "de", "la", "et", "les", "des", "un", "une", "du", "en", "que", "est", "pour", "dans", "qui"],
-}
-WORD_BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
+#: Common words of a language, and how many candidates are counted exactly to find them.
+N_COMMON, N_CANDIDATES = 15, 40
+#: Words that a task follows for each language to find the candidates: what it misses is rarer than 1 in some 4,000.
+N_TRACKED = 16_384
 #: Symbols that the base rules count.
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -31,7 +28,8 @@ SYMBOLS = r"[#*$%&|<>]"
 class QualityRules:
     """Thresholds; a distance above its maximum rejects a document that reaches the minimum length.
 
-    Short texts scatter more: ``word_slack`` over the number of words is added to the maximum for words.
+    Short texts scatter more: ``word_slack`` over the number of words is added to the maximum for words. A language has
+    a reference if at least ``min_reference_docs`` documents with a text are of it.
     """
 
     min_words: int = 50
@@ -41,13 +39,29 @@ class QualityRules:
     max_word_distance: float = 0.285
     word_slack: float = 3.0
     min_words_judged: int = 100
+    min_reference_docs: int = 20
 
 
 #: Windows of a text are sorted as longs that hold this many low bits of their place; longer texts sort pairs.
 PLACE_BITS = 21
 
 
-def with_text_counts(docs: DataFrame) -> DataFrame:
+def common_candidates(docs: DataFrame, least_docs: int) -> dict[str, list[str]]:
+    """The most frequent words, in lower case, of each language of at least ``least_docs`` documents, from all documents.
+
+    Each task keeps a sketch of frequent words for each language, so no words are shuffled.
+    """
+    known = docs.where("lang is not null and text is not null").select("lang", "text")
+    large = [r["lang"] for r in known.groupBy("lang").count().where(F.col("count") >= least_docs).collect()]
+    if not large:
+        return {}
+    words = known.where(F.col("lang").isin(large)).select("lang", F.explode(blank_words(F.lower("text"))).alias("word"))
+    found = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {N_CANDIDATES}, {N_TRACKED})").alias("top"))
+    made = {r["lang"]: sorted(x["item"] for x in r["top"]) for r in found.collect()}
+    return {lang: made.get(lang, []) for lang in sorted(large)}
+
+
+def with_text_counts(docs: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
     """``docs`` with the struct ``__counts`` of all counts of a text; null counts as empty.
 
     Each step is a column of its own, so that it is computed once per row and stays in generated code. The row number
@@ -83,7 +97,7 @@ def with_text_counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("__repeat", F.aggregate(gaps, F.lit(0), lambda a, b: a + b))
 
     # Runs of equal common words in sorted order give their counts.
-    forms = [f for w in WORD_BINS for f in {w, w.capitalize(), w.upper()}]
+    forms = sorted({f for words in candidates.values() for w in words for f in (w, w.capitalize(), w.upper())})
     common = F.sort_array(F.transform(F.filter("__words", lambda x: x.isin(forms)), lambda x: F.lower(x)))
     df = df.withColumn("__common", common)
     ends = F.filter(F.transform("__common", lambda x, k: F.when(F.coalesce(F.get("__common", k + 1) != x, F.lit(True)), k)), lambda k: k.isNotNull())
@@ -93,26 +107,31 @@ def with_text_counts(docs: DataFrame) -> DataFrame:
     parts = [F.col("__n_chars") - F.col("__word_chars"), F.col("__upper"), F.col("__digit"), F.col("__symbol"), F.col("__marked") - F.col("__upper") - F.col("__digit") - F.col("__symbol")]
     counts = F.struct(
         F.col("__n_chars").cast("long").alias("n_chars"), F.col("__n").cast("long").alias("n_words"), F.col("__word_chars").cast("long").alias("word_chars"), F.col("__symbol").cast("long").alias("n_symbols"), F.col("__dups").cast("long").alias("n_dup_lines"), F.col("__repeat").cast("long").alias("n_repeat_words"),
-        F.array(*parts, F.col("__n_chars") - sum(parts[1:], parts[0])).alias("char_bins"), runs.alias("word_runs"), (F.col("__n") - F.size("__common")).alias("n_other_words"),
+        F.array(*parts, F.col("__n_chars") - sum(parts[1:], parts[0])).alias("char_bins"), runs.alias("word_runs"),
     )
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias("__row"), counts.alias("__counts"))
 
 
-def language_references(counted: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Shares of character classes and of common words per language, from all documents of the language.
+def language_references(counted: DataFrame, candidates: dict[str, list[str]]) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Shares of character classes and of common words per language of ``candidates``, from all its documents.
 
-    counted: lang and the struct ``__counts``. The driver gets a row for each language and word of COMMON_WORDS at most.
+    counted: lang and the struct ``__counts``. The driver gets a row for each language and candidate at most. Equally
+    frequent words are taken in alphabetical order.
     """
-    known = counted.where(F.col("lang").isin(list(COMMON_WORDS)))
+    if not candidates:
+        return {}
+    known = counted.where(F.col("lang").isin(list(candidates)))
     n = 6
-    sums = known.groupBy("lang").agg(F.sum("__counts.n_other_words").alias("other"), *[F.sum(F.col("__counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
+    sums = known.groupBy("lang").agg(F.sum("__counts.n_words").alias("words"), *[F.sum(F.col("__counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
+    own = F.create_map(*[c for lang, words in candidates.items() for c in (F.lit(lang), F.array(*map(F.lit, words)).cast("array<string>"))])
     # the outer form, since for the other a filter on the size of the runs is pushed below all steps
-    runs = known.select("lang", F.inline_outer("__counts.word_runs")).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    runs = known.select("lang", F.inline_outer("__counts.word_runs")).where(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word"))).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     made = {}
     for r in sorted(sums, key=lambda r: r["lang"]):
         chars = [r[f"c{i}"] for i in range(n)]
-        words = {x["word"]: x["n"] for x in runs if x["lang"] == r["lang"] and x["word"] is not None} | {"": r["other"]}
-        made[r["lang"]] = ([v / max(1, sum(chars)) for v in chars], {w: v / max(1, sum(words.values())) for w, v in sorted(words.items())})
+        words = dict(sorted(((x["word"], x["n"]) for x in runs if x["lang"] == r["lang"]), key=lambda x: (-x[1], x[0]))[:N_COMMON])
+        words[""] = r["words"] - sum(words.values())
+        made[r["lang"]] = ([v / max(1, sum(chars)) for v in chars], {w: v / max(1, r["words"]) for w, v in sorted(words.items())})
     return made
 
 
@@ -126,29 +145,35 @@ def distance(terms: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def char_distance(counts: Column, shares: list[float]) -> Column:
-    """Jensen-Shannon distance of the character classes to a reference."""
-    return distance(F.zip_with(counts["char_bins"], F.array(*map(F.lit, shares)), lambda x, q: divergence_terms(x / counts["n_chars"], q)))
+def char_distance(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of the character classes to a reference, an array."""
+    return distance(F.zip_with(counts["char_bins"], shares, lambda x, q: divergence_terms(x / counts["n_chars"], q)))
 
 
-def word_distance(counts: Column, shares: dict[str, float]) -> Column:
-    """Jensen-Shannon distance of the common words, all others in one bin, to a reference.
+def word_distance(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of the common words, all others in one bin, to a reference, a map.
 
     A bin that the document lacks adds the reference's share, so only the words it has are visited.
     """
-    table = F.create_map(*[F.lit(x) for w, q in shares.items() for x in (w, q)])
-    runs = F.concat(counts["word_runs"], F.array(F.struct(F.lit("").alias("word"), counts["n_other_words"].alias("n"))))
-    q = lambda r: F.coalesce(F.try_element_at(table, r["word"]), F.lit(0.0))
+    own = F.filter(counts["word_runs"], lambda r: F.map_contains_key(shares, r["word"]))
+    other = counts["n_words"] - F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    runs = F.concat(F.transform(own, lambda r: F.struct(r["word"].alias("word"), r["n"].cast("long").alias("n"))), F.array(F.struct(F.lit("").alias("word"), other.alias("n"))))
+    q = lambda r: F.coalesce(F.try_element_at(shares, r["word"]), F.lit(0.0))
     seen = F.transform(runs, lambda r: divergence_terms(r["n"] / counts["n_words"], q(r)) - q(r))
-    return distance(F.concat(seen, F.array(F.lit(float(sum(shares.values()))))))
+    return distance(F.concat(seen, F.array(F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, b: a + b))))
 
 
-def verdict(counts: Column, references: dict[str, tuple[list[float], dict[str, float]]], rules: QualityRules) -> Column:
+def verdict(counts: Column, lang: Column, references: dict[str, tuple[list[float], dict[str, float]]], rules: QualityRules) -> Column:
     """Struct base_failed, char_distance, word_distance, kept; a distance that isn't judged is 0."""
     failed = (counts["n_words"] < rules.min_words) | (100 * counts["n_repeat_words"] > 100 * rules.max_repeat_share * counts["n_words"])
-    least = lambda values: F.array_min(F.array(F.lit(1.0), *values)) if references else F.lit(0.0)
-    char = F.when(counts["n_chars"] >= rules.min_chars_judged, least([char_distance(counts, r[0]) for r in references.values()])).otherwise(F.lit(0.0))
-    word = F.when(counts["n_words"] >= rules.min_words_judged, least([word_distance(counts, r[1]) for r in references.values()])).otherwise(F.lit(0.0))
+    char = word = F.lit(0.0)
+    if references:
+        array = lambda shares: F.array(*map(F.lit, shares))
+        chars = F.try_element_at(F.create_map(*[c for name, r in references.items() for c in (F.lit(name), array(r[0]))]), lang)
+        words = F.try_element_at(F.create_map(*[c for name, r in references.items() for c in (F.lit(name), F.create_map(*[F.lit(x) for pair in r[1].items() for x in pair]))]), lang)
+        nearest = F.array_min(F.array(F.lit(1.0), *[char_distance(counts, array(r[0])) for r in references.values()]))
+        char = F.when(counts["n_chars"] >= rules.min_chars_judged, F.when(chars.isNotNull(), char_distance(counts, chars)).otherwise(nearest)).otherwise(char)
+        word = F.when((counts["n_words"] >= rules.min_words_judged) & words.isNotNull(), word_distance(counts, words)).otherwise(word)
     made = F.struct(failed.alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
     return let(made, lambda m: F.struct(m["base_failed"].alias("base_failed"), m["char_distance"].alias("char_distance"), m["word_distance"].alias("word_distance"), (~m["base_failed"] & (m["char_distance"] <= rules.max_char_distance) & (m["word_distance"] <= rules.max_word_distance + rules.word_slack / F.greatest(counts["n_words"], F.lit(1)))).alias("kept")))
 
@@ -157,16 +182,18 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     """Per document: doc_id, the counts, both distances, base_failed and kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null text has no words and fails; documents without a language, or of one that has
-    no reference, take no part in the references and are judged by the nearest one; with no references at all only
-    the base rules decide. Repeated rows stay repeated. Counts are checkpointed, so texts are read once.
+    no reference, take no part in the references; with no references at all only the base rules decide. Repeated rows
+    stay repeated. Counts are checkpointed, so texts are read twice: for the common words, and for the counts.
     """
-    counted = cut_lineage(with_text_counts(docs.select("doc_id", "lang", "text")).drop("text"))
-    judged = counted.withColumn("verdict", verdict(F.col("__counts"), language_references(counted), rules))
+    candidates = common_candidates(docs, rules.min_reference_docs)
+    counted = cut_lineage(with_text_counts(docs.select("doc_id", "lang", "text"), candidates).drop("text"))
+    judged = counted.withColumn("verdict", verdict(F.col("__counts"), F.col("lang"), language_references(counted, candidates), rules))
     return judged.select("doc_id", *[f"__counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "verdict.base_failed", "verdict.kept", "verdict.char_distance", "verdict.word_distance")
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns unchanged. Texts are read twice, and never shuffled."""
-    counted = with_text_counts(docs)
-    references = language_references(counted)
-    return counted.where(verdict(F.col("__counts"), references, rules)["kept"] & (F.col("__row") >= 0)).drop("__row", "__counts")
+    """The rows of ``docs`` that are kept, all columns unchanged. Texts are read three times, and never shuffled."""
+    candidates = common_candidates(docs, rules.min_reference_docs)
+    counted = with_text_counts(docs, candidates)
+    references = language_references(counted, candidates)
+    return counted.where(verdict(F.col("__counts"), F.col("lang"), references, rules)["kept"] & (F.col("__row") >= 0)).drop("__row", "__counts")

@@ -363,6 +363,17 @@ def test_quality_rejects_what_is_unlike_its_language(docs):
     assert quality.keep_quality(docs([])).count() == 0
 
 
+def test_quality_judges_by_the_own_language(docs):
+    russian = "и в не на я что с он как это по но они к у из мы за вы так река камень небо дерево дом окно".split()
+    filler = lambda k: " " + " ".join(f"{c}{k}{d}" for c in "abcdefghij" for d in range(10))
+    rows = [(k, prose(k, 120) + filler(k), "en") for k in range(30)] + [(100 + k, prose(k, 220, russian), "ru") for k in range(30)]
+    alone = [(200, prose(1, 220, russian), "bg"), (201, prose(2, 220, russian), None), (202, " ".join(f"слово{i}" for i in range(220)), "ru")]
+    judged = {r["doc_id"]: r for r in quality.judge_quality(docs(rows + alone)).collect()}
+    assert {k for k, r in judged.items() if r["kept"]} == {r[0] for r in rows} | {200, 201}
+    assert judged[200]["word_distance"] == judged[201]["word_distance"] == 0 < judged[100]["word_distance"]
+    assert {r["doc_id"] for r in quality.keep_quality(docs(rows + alone)).collect()} == {r[0] for r in rows} | {200, 201}
+
+
 def test_extra_columns_do_not_clash(docs):
     frame = docs([(1, prose(1, 60), "en", "a"), (2, prose(2, 60), "en", "b")]).withColumns({"size": F.lit(1), "target": F.lit(2), "key": F.lit(3), "mark": F.lit(4), "counts": F.lit(5), "line": F.lit(6), "gone": F.lit(7), "words": F.lit(8)})
     for keep in (quality.keep_quality, lines.keep_first_lines, simhash.keep_one):

@@ -269,6 +269,64 @@ def gsadf(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window:
     return per_key(df, keys, idx, [value], "start long, end long, statistic double", make)
 
 
+def adf_ends(y: np.ndarray, lags: int, min_window: int) -> np.ndarray:
+    """t statistics of ``adf_array(y[:e], lags)`` for every e from ``min_window``, moments carried from end to end."""
+    ends = np.arange(min_window, len(y) + 1)
+    out, d, k = np.zeros(len(ends)), np.diff(y), lags + 2
+    rows = ends - 1 - lags
+    tested = np.flatnonzero(rows > k)
+    if not len(tested):
+        return out
+    n = len(d) - lags
+    level = y[lags:-1]
+    x = np.column_stack([np.ones(n), level, *[d[lags - j : len(d) - j] for j in range(1, lags + 1)]])
+    centre, scale = level.mean(), level.std() or 1.0  # for precision; the statistic doesn't depend on them
+    x[:, 1] = (level - centre) / scale
+    spread = d.std() or 1.0
+    x[:, 2:] /= spread
+    t = d[lags:] / spread
+    at = rows[tested] - 1
+    g = np.cumsum(x[:, :, None] * x[:, None, :], axis=0)[at]
+    b = np.cumsum(x * t[:, None], axis=0)[at]
+    tt = np.cumsum(t * t)[at]
+    good = np.linalg.cond(g) < 1e9
+    if good.any():
+        inverse = np.linalg.inv(g[good])
+        beta = np.einsum("nij,nj->ni", inverse, b[good])
+        rest = tt[good] - np.einsum("ni,ni->n", beta, b[good])
+        exact = rest <= 1e-7 * tt[good]
+        error = np.sqrt(np.maximum(rest / (rows[tested[good]] - k) * inverse[:, 1, 1], 0.0))
+        out[tested[good]] = np.where(error > 0, beta[:, 1] / np.where(error > 0, error, 1.0), 0.0)
+        good[np.flatnonzero(good)[exact]] = False
+    for i in tested[~good]:  # nearly singular or exact fits: each on its own
+        out[i] = adf_array(y[: ends[i]], lags)[0]
+    return out
+
+
+def gsadf_stat(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1) -> DataFrame:
+    """(keys, statistic): the largest finite test over every span [start, end) of at least ``min_window`` rows of a key.
+
+    A start is a row of its own that carries its key's series from there, so the starts of a long key are spread; the
+    tests of a start come from running moments. Minus infinity without any test.
+    """
+    ship_package(df.sparkSession)
+    keys = list(keys)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
+    series = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(idx, value))), lambda r: r[value]).alias("__y"))
+    n = F.greatest(F.size("__y") - min_window + 1, F.lit(1))
+    starts = series.select(*keys, "__y", F.explode(F.sequence(F.lit(0), n - 1)).alias("__start"))
+    starts = starts.repartition(*keys, "__start").select(*keys, F.expr("slice(__y, __start + 1, size(__y))").alias("__y"))
+
+    def run(frames):
+        for frame in frames:
+            made = frame[keys].copy()
+            stats = [adf_ends(np.asarray(y, float), lags, min_window) for y in frame["__y"]]
+            made["statistic"] = [float(s[np.isfinite(s)].max()) if np.isfinite(s).any() else float("-inf") for s in stats]
+            yield made
+
+    return sup_statistic(starts.mapInPandas(run, f"{fields}, statistic double"), keys)
+
+
 def sup_statistic(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, statistic): the largest finite one, minus infinity without any."""
     finite = (F.abs("statistic") < float("inf")) & ~F.isnan("statistic")

@@ -459,7 +459,7 @@ add("kontoyiannis_entropy", lambda s, d: X.kontoyiannis_entropy(P.with_quantile_
 add("adf_test", lambda s, d: X.adf_test(event_series(s, d), ["key"], "idx", "x", 1))
 add("sadf", lambda s, d: X.sadf(event_series(s, d), ["key"], "idx", "x", 20, 1))
 add("sadf_stat", lambda s, d: X.sup_statistic(X.sadf(event_series(s, d), ["key"], "idx", "x", 20, 1), ["key"]))
-add("gsadf_stat", lambda s, d: X.sup_statistic(X.gsadf(event_series(s, d).groupBy("key", F.floor(F.col("idx") / 40).alias("part")).agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("l")).select("key", "part", F.inline("l")), ["key", "part"], "idx", "x", 20, 1), ["key", "part"]))
+add("gsadf_stat", lambda s, d: X.gsadf_stat(event_series(s, d), ["key"], "idx", "x", 20, 1))
 add("find_min_d", lambda s, d: X.find_min_d(event_series(s, d), ["key"], "idx", "x", 1.0, 0.1, 1e-2))
 add("hasbrouck_lambda", lambda s, d: X.hasbrouck_lambda(event_series(s, d).where("r is not null").withColumn("g", F.signum(F.col("x") - F.col("p"))), "r", "g", ["key"], 400, 7))
 add("sequential_bootstrap", lambda s, d: R.sequential_bootstrap(spans(event_series(s, d).where("idx < 40")), ["key"], 40, 20, 7))

@@ -45,6 +45,16 @@ def test_adf_tells_walks_from_noise():
     assert X.adf_array(noise[:3], 1) == (0.0, [])
 
 
+def test_gsadf_covers_the_whole_series(spark):
+    rng = np.random.default_rng(2)
+    y = {1: np.cumsum(rng.normal(size=70)) + 50, 2: np.concatenate([rng.normal(size=30), 1.1 ** np.arange(35)]), 3: rng.normal(size=9)}
+    rows = spark.createDataFrame([(k, i, float(v)) for k, x in y.items() for i, v in enumerate(x)], "key int, idx long, x double")
+    made = {r["key"]: r["statistic"] for r in X.gsadf_stat(rows, ["key"], "idx", "x", 20, 1).collect()}
+    best = lambda x: max((X.adf_array(x[a:b], 1)[0] for a in range(len(x) - 19) for b in range(a + 20, len(x) + 1)), default=-math.inf)
+    assert set(made) == {1, 2, 3} and made[3] == -math.inf
+    assert all(math.isclose(made[k], best(y[k]), rel_tol=1e-6) for k in (1, 2))
+
+
 def test_trend_scanning_finds_the_line(spark):
     df = spark.createDataFrame([(1, i, float(i if i < 30 else 60 - i)) for i in range(60)], "key int, idx long, x double")
     made = {r["idx"]: r for r in X.trend_scanning(df, ["key"], "idx", "x", 10, 3).collect()}

@@ -320,8 +320,11 @@ def standard_bootstrap(df: DataFrame, idx: str, n_rows: int, n_samples: int, see
 def sequential_draws(spans: Sequence[tuple[int, int]], n_bars: int, n: int, rng: np.random.Generator) -> list[int]:
     """Events drawn one by one, each with probability by its uniqueness given those drawn before."""
     chosen, cover = [], np.zeros(n_bars)
+    first, size = np.array([a for a, _ in spans], int), np.array([b - a + 1 for a, b in spans], int)
+    stop = np.where(size > 0, first + size, first)
     for _ in range(n):
-        u = np.array([(1 / (1 + cover[a : b + 1])).mean() if a <= b else 0.0 for a, b in spans])
+        upto = np.concatenate([[0.0], np.cumsum(1 / (1 + cover))])
+        u = np.where(size > 0, upto[stop] - upto[first], 0.0) / np.maximum(size, 1)
         p = u / u.sum() if u.sum() > 1e-15 else np.full(len(spans), 1 / len(spans))
         i = int(rng.choice(len(spans), p=p))
         chosen.append(i)
@@ -336,29 +339,37 @@ def mean_uniqueness(spans: Sequence[tuple[int, int]], chosen: Sequence[int], n_b
     return float(np.mean([(1 / np.maximum(cover[spans[i][0] : spans[i][1] + 1], 1)).mean() for i in chosen])) if chosen else 0.0
 
 
-def sequential_bootstrap(events: DataFrame, keys: Sequence[str], n_bars: int, n: int, seed: int = 0) -> DataFrame:
-    """(keys, draw, event_id): one sequential bootstrap per key, keys in parallel."""
+def clamped_spans(start: np.ndarray, end: np.ndarray, n_bars: int | None) -> tuple[list[tuple[int, int]], int]:
+    """Spans that end at the last bar at most, and the number of bars: by default up to the key's last start."""
+    bars = int(start.max()) + 1 if n_bars is None else n_bars
+    return [(int(a), min(int(b), bars - 1)) for a, b in zip(start, end, strict=True)], bars
+
+
+def sequential_bootstrap(events: DataFrame, keys: Sequence[str], n_bars: int | None = None, n: int | None = None, seed: int = 0) -> DataFrame:
+    """(keys, draw, event_id): one sequential bootstrap per key, keys in parallel; by default of as many draws as events."""
     from .scans import per_key
 
     def make(event_id: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
-        spans = [(int(a), min(int(b), n_bars - 1)) for a, b in zip(start, end, strict=True)]
-        chosen = sequential_draws(spans, n_bars, n, np.random.default_rng([seed, int(start.sum()) & 0xFFFFFFFF]))
-        return {"draw": np.arange(n), "event_id": event_id[chosen]}
+        spans, bars = clamped_spans(start, end, n_bars)
+        draws = len(spans) if n is None else n
+        chosen = sequential_draws(spans, bars, draws, np.random.default_rng([seed, int(start.sum()) & 0xFFFFFFFF]))
+        return {"draw": np.arange(draws), "event_id": event_id[chosen]}
 
     return per_key(events, keys, "event_id", ["event_id", "start", "end"], "draw long, event_id long", make)
 
 
-def compare_bootstraps(events: DataFrame, keys: Sequence[str], n_bars: int, n: int, n_trials: int, seed: int = 0) -> DataFrame:
-    """(keys, sequential, standard): mean uniqueness of both bootstraps over trials."""
+def compare_bootstraps(events: DataFrame, keys: Sequence[str], n_bars: int | None, n: int | None, n_trials: int, seed: int = 0) -> DataFrame:
+    """(keys, sequential, standard): mean uniqueness of both bootstraps over trials; defaults as for one bootstrap."""
     from .scans import per_key
 
     def make(start: np.ndarray, end: np.ndarray) -> dict:
-        spans = [(int(a), min(int(b), n_bars - 1)) for a, b in zip(start, end, strict=True)]
+        spans, bars = clamped_spans(start, end, n_bars)
+        draws = len(spans) if n is None else n
         seq, std = [], []
         for t in range(n_trials):
             rng = np.random.default_rng([seed, t])
-            seq.append(mean_uniqueness(spans, sequential_draws(spans, n_bars, n, rng), n_bars))
-            std.append(mean_uniqueness(spans, rng.integers(len(spans), size=n).tolist(), n_bars))
+            seq.append(mean_uniqueness(spans, sequential_draws(spans, bars, draws, rng), bars))
+            std.append(mean_uniqueness(spans, rng.integers(len(spans), size=draws).tolist(), bars))
         return {"sequential": float(np.mean(seq)), "standard": float(np.mean(std))}
 
     return per_key(events, keys, "event_id", ["start", "end"], "sequential double, standard double", make)

@@ -462,8 +462,8 @@ add("sadf_stat", lambda s, d: X.sup_statistic(X.sadf(event_series(s, d), ["key"]
 add("gsadf_stat", lambda s, d: X.gsadf_stat(event_series(s, d), ["key"], "idx", "x", 20, 1))
 add("find_min_d", lambda s, d: X.find_min_d(event_series(s, d), ["key"], "idx", "x", 1.0, 0.1, 1e-2))
 add("hasbrouck_lambda", lambda s, d: X.hasbrouck_lambda(event_series(s, d).where("r is not null").withColumn("g", F.signum(F.col("x") - F.col("p"))), "r", "g", ["key"], 400, 7))
-add("sequential_bootstrap", lambda s, d: R.sequential_bootstrap(spans(event_series(s, d).where("idx < 40")), ["key"], 40, 20, 7))
-add("compare_bootstraps", lambda s, d: R.compare_bootstraps(spans(event_series(s, d).where("idx < 40")), ["key"], 40, 10, 4, 7))
+add("sequential_bootstrap", lambda s, d: R.sequential_bootstrap(spans(event_series(s, d)), ["key"], None, None, 7))
+add("compare_bootstraps", lambda s, d: R.compare_bootstraps(spans(event_series(s, d)), ["key"], None, None, 4, 7))
 add("otr_mesh", lambda s, d: R.otr_mesh(ou_params(s, d), [0.5, 1.0], [0.5, 1.0], 4, 7, 0.01, 500))
 add("mean_decrease_accuracy", lambda s, d: R.mean_decrease_accuracy(embedding_columns(s, d).withColumns({"y": (F.col("e0") > 0).cast("int"), "key": F.col("vec_id") % 4}), DIMS[:4], "y", lambda x: (x[:, 0] > 0).astype(int), ["key"], "vec_id", 7))
 add("cv_score", lambda s, d: (lambda e: R.cv_scores(e, DIMS, "y", O.PurgedKFold(4, 0.01).split(e.select(F.lit(0).alias("one"), F.col("idx"), F.col("idx").alias("start"), (F.col("idx") + 3).alias("end")), ["one"]).drop("one"), "idx", R.nearest_centroid))(labelled_vectors(s, d)))

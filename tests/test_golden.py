@@ -55,6 +55,18 @@ def test_gsadf_covers_the_whole_series(spark):
     assert all(math.isclose(made[k], best(y[k]), rel_tol=1e-6) for k in (1, 2))
 
 
+def test_bootstraps_draw_from_the_whole_key(spark):
+    from quantloom.plans.catalogue import QUERIES
+    from quantloom.sources.tables import event_series
+
+    sf = "/root/testdata/sf0.001"
+    sizes = {r["key"]: r["count"] for r in event_series(spark, sf).groupBy("key").count().collect()}
+    made = QUERIES["sequential_bootstrap"](spark, sf).groupBy("key").agg(F.count("*").alias("n"), F.max("event_id").alias("last")).collect()
+    assert {r["key"]: r["n"] for r in made} == sizes and max(sizes.values()) > 41
+    assert any(r["last"] >= 40 for r in made) and all(r["last"] < sizes[r["key"]] for r in made)
+    assert {r["key"] for r in QUERIES["compare_bootstraps"](spark, sf).collect()} == set(sizes)
+
+
 def test_trend_scanning_finds_the_line(spark):
     df = spark.createDataFrame([(1, i, float(i if i < 30 else 60 - i)) for i in range(60)], "key int, idx long, x double")
     made = {r["idx"]: r for r in X.trend_scanning(df, ["key"], "idx", "x", 10, 3).collect()}

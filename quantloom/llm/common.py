@@ -20,26 +20,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` is used; only where none is set (tests) a temporary one is made.
+    Where none is set, a local master (tests) gets a temporary folder; a cluster must name one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the cluster names, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Rows of a narrow table that may be broadcast; with more, a join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table, as Spark holds its rows, that may be broadcast; with more, a join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a row takes beside its strings and arrays: the row's own header, eight a column, and its place in the hash table.
+_ROW_BYTES = 48
+
+
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a (checkpointed) table take in memory."""
+    wide = [F.octet_length(f"`{n}`") if t == "string" else 16 + 8 * F.size(f"`{n}`") for n, t in df.dtypes if t == "string" or t.startswith("array")]
+    more = [F.coalesce(w.cast("long"), F.lit(0)) for w in wide]
+    return df.agg(F.coalesce(F.sum(sum(more, F.lit(_ROW_BYTES + 8 * len(df.columns)).cast("long"))), F.lit(0))).first()[0]
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, checkpointed; to be broadcast if a count finds no more rows than ``most``."""
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, checkpointed; to be broadcast if it takes no more than ``most`` bytes."""
     df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if held_bytes(df) <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
 
 
 def let(value: Column, body) -> Column:

@@ -1,12 +1,16 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Two lines match if the Jaccard similarity of their sets is at least the threshold, and
-a line goes if one that comes earlier, by document id and line number, matches it. Lines with equal sets are one entry
-of the join; the others meet on the rarest words of their sets. With words in one order of rarity for all sets, a
-matching pair shares a word within the first |s| - ceil(t |s|) + 1 of each (prefix filter), the sizes are within t of
-each other (length filter), the places of the first shared word leave room for the overlap (positional filter), and
-the parity signatures, one bit flipped per word, differ in no more bits than the sets may in words. What is left is
-verified on the sets themselves.
+a line goes if one that comes earlier matches it. Lines with equal sets are one class, and only the first line of a
+class takes part in the join. Classes meet on the rarest words of their sets: with words in one order of rarity for
+all sets, a matching pair shares a word within the first |s| - ceil(t |s|) + 1 of each (prefix filter), the sizes are
+within t of each other (length filter), the places of the first shared word leave room for the overlap (positional
+filter), and the parity signatures, one bit flipped per word, differ in no more bits than the sets may in words.
+
+A class needs one earlier partner, not all of them. The classes that share a rare word lie in one task in order of
+their first lines, and each looks for the first partner that passes the filters, so a group of near copies costs about
+its size and no list of its pairs is made. Partners are verified on the words of the two lines; a class whose partner
+fails looks for further ones, always sixteen times as many, until one holds or none is left.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, cut_lineage
+from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_name, shuffle_partitions
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
@@ -135,28 +139,11 @@ def rank_words(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _each(docs: DataFrame, ranks, shape: str, emit) -> DataFrame:
-    """Rows that ``emit(part, lines)`` makes, as arrays, of each part of the texts."""
-    names = [c.split()[0] for c in shape.split(", ")]
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, 2):
-                found = Lines(part.column(2))
-                found.sorted_by(word_keys(found.words, ranks.value))
-                yield pa.RecordBatch.from_arrays(emit(part, found), names)
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(make, shape)
-
-
-def line_places(docs: DataFrame, ranks) -> DataFrame:
-    """(doc_id, text_hash, line, hash, parity) of every line with words."""
-
-    def emit(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
-        rows = pa.array(found.rows)
-        return [part.column(0).take(rows), part.column(1).take(rows), pa.array(found.places, pa.int32()), *map(pa.array, found.identities())]
-
-    return _each(docs, ranks, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line int, hash long, parity long", emit)
+#: Entries of one word that a task compares; the classes of a word with more are dealt to several tasks.
+WORD_ENTRIES = 100_000
+#: Entries that a task compares at once, about; and pairs of them.
+BUCKET_ENTRIES, PAIRS_AT_ONCE = 50_000, 1 << 18
+_LOW32 = 0xFFFFFFFF
 
 
 def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -165,82 +152,329 @@ def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.where((sizes >= threshold * (sizes + 1) - 1e-9) | (sizes - 1 >= threshold * sizes - 1e-9), lengths, 0)
 
 
-def similar_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
-    """Pairs of different line sets, (hash_a, parity_a, hash_b, parity_b), whose Jaccard similarity reaches the threshold."""
-
-    def prefixes(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
-        hashes, parities = found.identities()
-        once = np.zeros(len(hashes), bool)
-        once[np.unique(np.stack([hashes, parities]), axis=1, return_index=True)[1] if len(hashes) else []] = True
-        line, place, keys = found.heads(np.where(once, prefix_lengths(found.sizes, threshold), 0))
-        # the last bits of a key tell few words apart; without them rows pack better
-        return [pa.array((keys >> np.uint64(16)).astype(np.int64)), pa.array(hashes[line]), pa.array(parities[line]), pa.array(found.sizes[line], pa.int32()), pa.array(place, pa.int32())]
-
-    tokens = _each(docs, ranks, "token long, hash long, parity long, size int, place int", prefixes)
-    # dealt by token once: equal sets of several parts become one, then pairs meet where they lie
-    tokens = tokens.repartition(F.col("token")).groupBy("token", "hash", "parity", "size", "place").agg(F.lit(1).alias("one")).drop("one")
-    a, b = tokens.alias("a"), tokens.alias("b")
-    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
-    smaller = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & ((F.col("a.hash") < F.col("b.hash")) | ((F.col("a.hash") == F.col("b.hash")) & (F.col("a.parity") < F.col("b.parity")))))
-    near = (F.col("a.size") >= F.lit(threshold) * F.col("b.size") - 1e-9) & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
-    alike = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= F.col("a.size") + F.col("b.size") - 2 * overlap
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & near & alike)
-    pairs = cut_lineage(pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("hash", "parity")]).distinct())
-
-    wanted = cut_lineage(pairs.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).unionByName(pairs.select(F.col("hash_b").alias("hash"), F.col("parity_b").alias("parity"))).distinct())
-    hashes = None
-    if wanted.count() <= BROADCAST_ROWS:
-        hashes = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r["hash"] for r in wanted.select("hash").toLocalIterator()), np.int64)))
-
-    def whole(part: pa.RecordBatch, found: Lines) -> list[pa.Array]:
-        own, parities = found.identities()
-        held = hashes.value if hashes is not None else None
-        keep = np.ones(len(own), bool) if held is None else (held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own) if len(held) else np.zeros(len(own), bool)
-        line, _, keys = found.heads(np.where(keep, found.sizes, 0))
-        offsets = np.concatenate([[0], np.cumsum(found.sizes[keep])])
-        return [pa.array(own[keep]), pa.array(parities[keep]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))]
-
-    sets = _each(docs, ranks, "hash long, parity long, keys array<long>", whole).join(wanted, ["hash", "parity"], "left_semi").dropDuplicates(["hash", "parity"])
-    sets = cut_lineage(sets)
-    both = pairs.join(sets.select(F.col("hash").alias("hash_a"), F.col("parity").alias("parity_a"), F.col("keys").alias("keys_a")), ["hash_a", "parity_a"]).join(sets.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), F.col("keys").alias("keys_b")), ["hash_b", "parity_b"])
-    shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    return both.where(shared >= F.lit(threshold) * (F.size("keys_a") + F.size("keys_b") - shared) - 1e-9).select("hash_a", "parity_a", "hash_b", "parity_b")
+def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
+    """A row for every line with words: doc_id, at, the identity (hash, parity) and size of its set, and its prefix.
+
+    ``at`` is the line's number, then 32 bits of the text's hash, so that (doc_id, at) orders all lines. ``prefix`` has
+    32 bits of the key of each of the rarest words; it is empty where an earlier line of the same part has the set.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                found = Lines(part.column(2))
+                found.sorted_by(word_keys(found.words, ranks.value))
+                hashes, parities = found.identities()
+                texts = part.column(1).to_numpy()[found.rows].astype(np.int64) & _LOW32
+                at = found.places.astype(np.int64) << 32 | texts
+                sets, docs = _dense(hashes, parities), order_of(part.column(0))[found.rows]
+                order = np.lexsort((at, docs, sets))
+                once = np.zeros(len(hashes), bool)
+                once[order[np.concatenate([[True], sets[order][1:] != sets[order][:-1]])] if len(order) else order] = True
+                lengths = np.where(once, prefix_lengths(found.sizes, threshold), 0)
+                keys = found.heads(lengths)[2]
+                tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "size", "prefix"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(make, f"doc_id {id_type}, at long, hash long, parity long, size int, prefix array<int>")
+
+
+def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
+    """The bucket of each entry: by its word, and for a word with many entries also by its set."""
+    mixed = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if len(heavy[0]) and len(tokens):
+        at = np.minimum(np.searchsorted(heavy[0], tokens), len(heavy[0]) - 1)
+        parts = np.where(heavy[0][at] == tokens, heavy[1][at], 1)
+        mixed ^= (hashes.view(np.uint64) % parts.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
+    """The prefix entries of all sets as arrays, dealt to buckets of words."""
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, at, hashes, parities, sizes, prefix = batch.columns
+            tokens, rows = prefix.flatten().to_numpy(), pc.list_parent_indices(prefix).to_numpy()
+            places = np.arange(len(rows)) - (prefix.offsets.to_numpy() - prefix.offsets[0].as_py())[rows]
+            buckets = _spread(tokens, hashes.to_numpy()[rows], heavy.value, n_buckets)
+            order = np.argsort(buckets, kind="stable")
+            rows, buckets = rows[order], buckets[order]
+            cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(rows) else np.zeros(0, np.int64)
+            ends, taken = pa.array(np.append(cuts, len(rows)), pa.int32()), pa.array(rows)
+            flat = [pa.array(tokens[order]), *[c.take(taken) for c in (hashes, parities, sizes)], pa.array(places[order], pa.int32()), doc.take(taken), at.take(taken)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), *[pa.ListArray.from_arrays(ends, c) for c in flat]], names)
+
+    shape = f"bucket int, token array<int>, hash array<long>, parity array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
+    names = [c.split()[0] for c in shape.split(", ")]
+    return sets.where(F.size("prefix") > 0).mapInArrow(deal, shape)
+
+
+class Entries:
+    """The prefix entries of one bucket; looks for the earlier partners of each set."""
+
+    def __init__(self, rows: pa.Table, threshold: float):
+        flat = {n: rows.column(n).combine_chunks().flatten() for n in rows.column_names if n != "bucket"}
+        doc, at = flat["doc_id"], flat["at"].to_numpy()
+        docs = order_of(doc)
+        token, hashes, parity = flat["token"].to_numpy().astype(np.int64) & _LOW32, flat["hash"].to_numpy(), flat["parity"].to_numpy()
+        rank = _dense(docs, at)
+        # copies of a set meet here: the first line stands for all; a set in several parts seeks if any does
+        sets = _dense(hashes, parity)
+        both = token << 32 | sets
+        order = np.lexsort((flat["place"].to_numpy(), rank, both))
+        first = np.concatenate([[True], both[order][1:] != both[order][:-1]]) if len(order) else np.zeros(0, bool)
+        seek = flat["seek"].to_numpy(zero_copy_only=False)[order] if "seek" in flat else np.ones(len(order), bool)
+        seek = np.logical_or.reduceat(seek, np.flatnonzero(first)) if len(order) else seek
+        order = order[first]
+        size = flat["size"].to_numpy()[order].astype(np.int64)
+        kind = np.floor(np.log(size) / np.log(max(1 / threshold, 1.1))).astype(np.int64)  # matching sets differ by one kind at most
+        if len(rank) and (rank.max() >= 1 << 26 or kind.max() > 62):
+            raise ValueError("a bucket has too many lines or too long ones")
+        by = np.argsort(self._key(token[order], kind, rank[order]))
+        order, self.kind, self.rank, self.token, self.seek, self.size = order[by], kind[by], rank[order][by], token[order][by], seek[by], size[by]
+        self.place, self.hash, self.parity = flat["place"].to_numpy()[order].astype(np.int64), hashes[order], parity[order]
+        self.doc, self.at, self.threshold = doc.take(pa.array(order)), at[order], threshold
+        self.keys = self._key(self.token, self.kind, self.rank)
+
+    @staticmethod
+    def _key(token: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return token.astype(np.uint64) << np.uint64(32) | kind.astype(np.uint64) << np.uint64(26) | rank.astype(np.uint64)
+
+    def partners(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries b and a: a's line is earlier and passes the filters, ``most`` for each b; and whether b may have more."""
+        made_b, made_a, found = [], [], np.zeros(len(self.keys), np.int64)
+        for step in (0, -1, 1):
+            active = np.flatnonzero(self.seek & (found < most) & (self.kind + step >= 0))
+            kind = self.kind[active] + step
+            low = np.searchsorted(self.keys, self._key(self.token[active], kind, np.zeros(len(active), np.int64)))
+            high = np.searchsorted(self.keys, self._key(self.token[active], kind, self.rank[active]))
+            width = 4
+            while (left := (low < high) & (found[active] < most)).any():
+                active, low, high = active[left], low[left], high[left]
+                stop = np.minimum(low + width, high)
+                upto = np.cumsum(stop - low)
+                cuts = np.append(np.flatnonzero(np.diff(upto // PAIRS_AT_ONCE, prepend=-1)), len(active))
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    n = stop[x:y] - low[x:y]
+                    b = np.repeat(active[x:y], n)
+                    a = np.arange(len(b)) + np.repeat(low[x:y] - (np.cumsum(n) - n), n)
+                    b, a = self._pass(b, a)
+                    if len(b):
+                        starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                        runs = np.diff(np.append(starts, len(b)))
+                        keep = np.arange(len(b)) - np.repeat(starts, runs) < most - found[b]
+                        found[b[starts]] = np.minimum(found[b[starts]] + runs, most)
+                        made_b.append(b[keep]), made_a.append(a[keep])
+                low, width = stop, 4 * width
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *made_b]), np.concatenate([none, *made_a]), found >= most
+
+    def _pass(self, b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that pass the length, positional and parity filters."""
+        size_b, size_a = self.size[b], self.size[a]
+        sizes = size_b + size_a
+        need = np.ceil(self.threshold / (1 + self.threshold) * sizes - 1e-9).astype(np.int64)
+        ok = np.minimum(size_b - self.place[b], size_a - self.place[a]) >= need
+        ok &= np.bitwise_count((self.parity[b] ^ self.parity[a]).view(np.uint64)) <= sizes - 2 * need  # of signed numbers it counts the bits of the absolute value
+        ok &= np.minimum(size_b, size_a) >= self.threshold * np.maximum(size_b, size_a) - 1e-9
+        b, a = b[ok], a[ok]
+        other = (self.hash[b] != self.hash[a]) | (self.parity[b] != self.parity[a])
+        return b[other], a[other]
+
+
+def order_of(ids: pa.Array) -> np.ndarray:
+    """Dense ranks of ids, null first."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _dense(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Dense ranks of (major, minor)."""
+    order = np.lexsort((minor, major))
+    major, minor = major[order], minor[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])])) if len(order) else 0
+    return out
+
+
+def earlier_partners(entries: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(hash, parity, doc_id, at) of sets with (doc_a, at_a) of ``most`` possible partners from each task, and ``more``.
+
+    entries: bucket and arrays. ``more`` tells that there may be others.
+    """
+    id_type = entries.schema["doc_id"].dataType.elementType.simpleString()
+    shape = f"hash long, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, more boolean"
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def look(rows: pa.Table) -> pa.RecordBatch:
+        e = Entries(rows, threshold)
+        b, a, more = e.partners(most)
+        if most == 1:  # of the words of a set, the one with the earliest partner
+            order = np.lexsort((e.rank[a], e.parity[b], e.hash[b]))
+            b, a = b[order], a[order]
+            keep = np.concatenate([[True], (e.hash[b][1:] != e.hash[b][:-1]) | (e.parity[b][1:] != e.parity[b][:-1])]) if len(b) else np.zeros(0, bool)
+            b, a = b[keep], a[keep]
+        partners = [pa.array(e.hash[b]), pa.array(e.parity[b]), e.doc.take(pa.array(b)), pa.array(e.at[b]), e.doc.take(pa.array(a)), pa.array(e.at[a]), pa.array(more[b])]
+        return pa.RecordBatch.from_arrays(partners, names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for batch in batches:
+            buckets = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y > x:
+                    if held and buckets[x] != bucket:
+                        yield look(pa.Table.from_batches(held))
+                        held = []
+                    bucket = buckets[x]
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield look(pa.Table.from_batches(held))
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, shape)
+
+
+def heavy_words(sets: DataFrame) -> tuple[int, list[tuple[int, int]]]:
+    """How many prefix entries there are; and the words of very many, each with the number of parts it is dealt to.
+
+    Counts cover all entries: first by half a word's key, then exactly where that is over the limit. The limit grows
+    with the entries, so the driver gets 20,000 words at most.
+    """
+    tokens = sets.select(F.explode("prefix").alias("token"))
+    coarse = cut_lineage(tokens.groupBy(F.shiftright("token", 16).alias("half")).agg(F.count(F.lit(1)).alias("n")))
+    total = coarse.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(WORD_ENTRIES, total // 20_000)
+    halves = [r["half"] for r in coarse.where(F.col("n") > limit).select("half").collect()]  # 65,536 rows at most
+    if not halves:
+        return total, []
+    counts = tokens.join(F.broadcast(coarse.where(F.col("n") > limit).select("half")), F.shiftright("token", 16) == F.col("half"), "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return total, sorted((r["token"], -(-r["n"] // limit)) for r in counts.where(F.col("n") > limit).collect())
+
+
+def with_line_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, line) of the lines (doc_id, at) that ``wanted`` lists."""
+    bits = F.xxhash64("text").bitwiseAND(F.lit(_LOW32))
+    lines = wanted.groupBy(F.col("doc_id").alias("doc"), F.col("at").bitwiseAND(F.lit(_LOW32)).alias("bits")).agg(F.collect_set("at").alias("ats"))
+    held = docs.select("doc_id", "text", bits.alias("own")).join(bounded_broadcast(lines), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("bits")))
+    held = held.select("doc_id", "ats", F.split("text", "\n").alias("lines")).select("doc_id", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))).alias("x"))
+    return held.select("doc_id", "x.at", "x.line").dropDuplicates(["doc_id", "at"])  # of equal rows
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` with the flag ``holds``: whether the words of the two lines are similar enough.
+
+    A line may be the partner of many others, so its words go out in as many copies as it takes.
+    """
+    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at"))).distinct()
+    texts = cut_lineage(with_line_text(docs, ends))
+    copies = pairs.groupBy("doc_a", "at_a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("copies"))
+    a = copies.join(texts.select(F.col("doc_id").alias("doc"), F.col("at").alias("place"), F.col("line").alias("line_a")), F.expr("doc_a <=> doc and at_a = place"))
+    a = a.select(F.col("doc_a").alias("doc"), F.col("at_a").alias("place"), "line_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    numbered = pairs.alias("p").join(copies.alias("c"), F.expr("p.doc_a <=> c.doc_a and p.at_a = c.at_a")).select("p.*", F.pmod(F.xxhash64("p.doc_id", "p.at"), F.col("copies")).alias("part"))
+    met = numbered.alias("p").join(texts.alias("b"), F.expr("p.doc_id <=> b.doc_id and p.at = b.at")).select("p.*", F.col("line").alias("line_b"))
+    met = met.alias("p").join(a.alias("a"), F.expr("p.doc_a <=> a.doc and p.at_a = a.place and p.part = a.copy"))
+    words = met.select("p.hash", "p.parity", "p.more", *[F.array_distinct(blank_words(ascii_lower(F.col(f"line_{x}")))).alias(f"words_{x}") for x in "ab"])
+    sized = words.select("hash", "parity", "more", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), (F.size("words_a") + F.size("words_b")).alias("sizes"))
+    return cut_lineage(sized.select("hash", "parity", "more", (F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).alias("holds")))
+
+
+def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(hash, parity) of every class for which a class of another set with an earlier first line is similar enough."""
+    spark = docs.sparkSession
+    total, heavy = heavy_words(sets)
+    n_buckets = max(8 * shuffle_partitions(spark), total // BUCKET_ENTRIES)
+    held = spark.sparkContext.broadcast((np.array([t for t, _ in heavy], np.int32), np.array([g for _, g in heavy], np.int64)))
+    found = earlier_partners(first_entries(sets, held, n_buckets), threshold, 1)
+    best = F.min_by(F.struct("doc_id", "at", "doc_a", "at_a"), F.struct("doc_a", "at_a")).alias("best")
+    pairs = found.groupBy("hash", "parity").agg(best, F.max("more").alias("more")).select("hash", "parity", "best.*", "more")
+    done = verified(docs, cut_lineage(pairs), threshold)
+    matched, most = done.where("holds").select("hash", "parity"), 16
+    # those whose partner failed, and those that met only a part of a word's classes
+    seekers = done.where("not holds and more").select("hash", "parity")
+    if heavy:
+        words = spark.createDataFrame([t for t, _ in heavy], "int").withColumnRenamed("value", "token")
+        wide = sets.where(F.size("prefix") > 0).select("hash", "parity", F.explode("prefix").alias("token")).join(F.broadcast(words), "token", "left_semi").select("hash", "parity").distinct()
+        seekers = seekers.unionByName(wide.join(matched, ["hash", "parity"], "left_anti")).distinct()
+    seekers = cut_lineage(seekers)
+    while not seekers.isEmpty():
+        pairs = earlier_partners(_entries_of(sets, seekers, held, n_buckets), threshold, most)
+        done = verified(docs, cut_lineage(pairs.groupBy("hash", "parity", "doc_id", "at", "doc_a", "at_a").agg(F.max("more").alias("more"))), threshold)
+        state = cut_lineage(done.groupBy("hash", "parity").agg(F.max("holds").alias("holds"), F.max("more").alias("more")))
+        matched = matched.unionByName(state.where("holds").select("hash", "parity"))
+        seekers, most = state.where("not holds and more").select("hash", "parity"), 16 * most
+    return cut_lineage(matched.distinct())
+
+
+def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> DataFrame:
+    """The entries of all words of the seekers, those of the seekers marked and sent to every part of their words."""
+    flat = sets.select("doc_id", "at", "hash", "parity", "size", F.posexplode("prefix").alias("place", "token"))
+    seekers = bounded_broadcast(seekers)
+    own = cut_lineage(flat.join(seekers, ["hash", "parity"], "left_semi"))
+    words = bounded_broadcast(own.select("token").distinct())
+    every = flat.join(words, "token", "left_semi").withColumn("seek", F.lit(False)).unionByName(own.withColumn("seek", F.lit(True)))
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+    names = ["bucket", "token", "hash", "parity", "size", "place", "doc_id", "at", "seek"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = heavy.value
+        for batch in batches:
+            columns = {n: batch.column(n) for n in names[1:]}
+            token, hashes, seek = columns["token"].to_numpy(), columns["hash"].to_numpy(), columns["seek"].to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, token), len(known) - 1) if len(known) else np.zeros(len(token), np.int64)
+            times = np.where(seek & (known[at] == token), parts[at], 1) if len(known) else np.ones(len(token), np.int64)
+            rows = np.repeat(np.arange(len(token)), times)
+            part = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+            spread = np.where(times[rows] > 1, part, hashes[rows])
+            buckets = _spread(token[rows], spread, heavy.value, n_buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), *[columns[n].take(pa.array(rows)) for n in names[1:]]], names)
+
+    shape = f"bucket int, token int, hash long, parity long, size int, place int, doc_id {id_type}, at long, seek boolean"
+    dealt = every.select(*names[1:]).mapInArrow(deal, shape)
+    packed = dealt.groupBy("bucket").agg(F.collect_list(F.struct(*names[1:])).alias("e"))
+    return packed.select("bucket", *[F.col(f"e.{n}").alias(n) for n in names[1:]])
 
 
 def later_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per document that loses lines: doc_id, text_hash and ``gone``, the sorted numbers of the lines."""
+    """Per document that loses lines: doc_id, text_bits and ``gone``, the sorted numbers of the lines."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
-    lines = cut_lineage(line_places(docs, ranks))
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    repeated = cut_lineage(lines.groupBy("hash", "parity").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    pairs = cut_lineage(similar_sets(docs, ranks, threshold))
-    ends = pairs.unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("parity_b").alias("parity_a"), F.col("hash_a").alias("hash_b"), F.col("parity_a").alias("parity_b")))
-    paired = bounded_broadcast(ends.select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity")).distinct())
-    firsts = lines.join(paired, ["hash", "parity"], "left_semi").groupBy("hash", "parity").agg(first)
-    other = firsts.select(F.col("hash").alias("hash_b"), F.col("parity").alias("parity_b"), "first")
-    earliest = ends.join(other, ["hash_b", "parity_b"]).select(F.col("hash_a").alias("hash"), F.col("parity_a").alias("parity"), "first")
-    # a line goes if any line with its words or with similar ones comes before it
-    known = repeated.unionByName(earliest).groupBy("hash", "parity").agg(F.min("first").alias("first"))
-    gone = lines.join(bounded_broadcast(known), ["hash", "parity"]).where(F.struct("doc_id", "line") > F.col("first"))
-    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """All rows and columns of ``docs`` with the later lines removed from ``text``, and the array ``__gone`` of their numbers.
+    sets = cut_lineage(line_sets(docs, ranks, threshold))
+    matched = classes_with_earlier_match(docs, sets, threshold)
+    lines = sets.select("doc_id", "at", "hash", "parity")
+    repeated = lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # all lines of a matched class go, and those after the first of any other
+    known = repeated.join(matched.withColumn("whole", F.lit(True)), ["hash", "parity"], "full").select("hash", "parity", F.coalesce("whole", F.lit(False)).alias("whole"), "first.*", F.coalesce("n", F.lit(1)).alias("n"))
+    known = cut_lineage(known.select("hash", "parity", "whole", F.col("doc_id").alias("doc_f"), F.col("at").alias("at_f"), "n"))
+    large = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1000 + 1
+    met = [lines.join(F.broadcast(known.where(F.col("n") >= large)), ["hash", "parity"]), lines.join(bounded_broadcast(known.where(F.col("n") < large)), ["hash", "parity"])]  # of the large ones there are 1,000 at most
+    later = F.col("whole") | (F.struct("doc_id", "at") > F.struct(F.col("doc_f").alias("doc_id"), F.col("at_f").alias("at")))
+    gone = met[0].unionByName(met[1]).where(later)
+    return gone.groupBy("doc_id", F.col("at").bitwiseAND(F.lit(_LOW32)).alias("text_bits")).agg(F.sort_array(F.collect_set(F.shiftright("at", 32).cast("int"))).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, gone: str = "__gone") -> DataFrame:
+    """All rows and columns of ``docs`` with the later lines removed from ``text``, and an array ``gone`` of their numbers.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; lines are split at \\n. Lines without words stay. A line goes
-    if an earlier one, by (doc_id, line number), matches it, whether or not that one stays itself. A null doc_id comes
-    first. Equal rows share their places, so neither is later than the other. A null text stays null; other columns
-    are unchanged.
+    if an earlier one matches it, whether or not that one stays itself. Lines come in order of doc_id (null first), line
+    number, and for texts that share a doc_id a hash of the text; equal rows share their places, so neither is later than
+    the other. A null text stays null; ``gone`` is null where no line goes; other columns are unchanged.
     """
-    gone = bounded_broadcast(later_lines(docs, threshold).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone")))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
-    left = docs.join(gone, same, "left").drop("__doc_id", "__text_hash")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return left.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    lost = later_lines(docs.select("doc_id", "text"), threshold)
+    doc, bits = free_name(docs, "__doc_id"), free_name(docs, "__text_bits")
+    lost = bounded_broadcast(lost.select(F.col("doc_id").alias(doc), F.col("text_bits").alias(bits), F.col("gone").alias(gone)))
+    same = F.col("doc_id").eqNullSafe(column(doc)) & (F.xxhash64("text").bitwiseAND(F.lit(_LOW32)) == column(bits))
+    left = docs.join(lost, same, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(column(gone), i)), "\n")
+    text = F.when(column(gone).isNull(), F.col("text")).otherwise(kept).alias("text")
+    return left.select(*[text if c == "text" else column(c) for c in docs.columns], column(gone))
 
 
 def keep_first_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without later lines; rows that lose lines and have no word left go. Columns stay as they are."""
-    done = dedup_lines(docs, threshold)
-    return done.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__gone")
+    gone = free_name(docs, "__gone")
+    done = dedup_lines(docs, threshold, gone)
+    return done.where(column(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns(docs))

@@ -23,8 +23,6 @@ from .common import bounded_broadcast, cut_lineage, n_blank_words
 
 #: Bins of finish times; also the bound on the rows that one task sums and on what is broadcast.
 TIME_BINS = 4096
-#: Sources whose bounds may be broadcast.
-MANY_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], budget_share: float, max_epochs: int) -> DataFrame:
@@ -90,7 +88,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_s
     """
     bounds = mix_bounds(docs, weights=weights, budget_share=budget_share, max_epochs=max_epochs, seed=seed)
     bounds = bounds.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("last").alias("__last"))
-    bounds = bounded_broadcast(bounds, MANY_SOURCES)
+    bounds = bounded_broadcast(bounds)
     keyed = docs.withColumns({"__size": n_blank_words(F.col("text")), "__key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
     placed = keyed.join(bounds, F.col("source").eqNullSafe(F.col("__source")), "left")
     here = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__size").alias("size"))

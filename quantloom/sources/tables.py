@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from ..operators.series import with_idx
+from ..operators.series import Ordered, simple_returns, with_idx
 from ..shipping import ship_package
 
 TICK_SCHEMA = "key string, ts timestamp, seq long, price double, volume double"
@@ -44,14 +44,14 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events per user in order: key, idx, ts, event_id, event_type, x, the one before (p), the simple return r (null first)."""
+    """events per user in order: key, idx, ts, event_id, event_type, x, the one before (p), the simple return r (null first, 0 after a 0)."""
     d = with_idx(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", "event_type", F.col("value").alias("x")), ["key"], ["ts", "event_id"])
-    w = Window.partitionBy("key").orderBy("idx")
-    return d.withColumn("p", F.lag("x").over(w)).withColumn("r", (F.col("x") - F.col("p")) / F.col("p"))
+    o = Ordered(["key"], ["idx"])
+    return d.withColumns({"p": F.lag("x").over(o.over), "r": simple_returns("x", o)})
 
 
 #: The same in SQL.
-SERIES_SQL = "s as (select *, (x - p) / p as r from (select user_id as key, row_number() over w - 1 as idx, ts, event_id, event_type, value as x, lag(value) over w as p from events window w as (partition by user_id order by ts, event_id)))"
+SERIES_SQL = "s as (select *, case when p = 0 then 0 else (x - p) / p end as r from (select user_id as key, row_number() over w - 1 as idx, ts, event_id, event_type, value as x, lag(value) over w as p from events window w as (partition by user_id order by ts, event_id)))"
 
 
 def spans(series: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import cut_lineage
 HEAD_TOKENS = 400_000
 #: Distinct pre-tokens that a task holds before it passes them on.
 FLUSH_AT = 200_000
-# The tokenizer's own split pattern, and the same for texts below U+0250 in Python's syntax.
+# The tokenizer's own split pattern, and the same for characters below U+0250 in Python's syntax.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS, _BLANKS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 SPLIT_LATIN = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+"
@@ -36,7 +36,6 @@ class PreTokens:
         import json
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,7 +48,7 @@ class PreTokens:
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
         self.other = re.compile("[İɐ-\U0010ffff]")
-        self.latin, self.any = re.compile(SPLIT_LATIN), regex.compile(SPLIT)
+        self.latin, self.stand_ins = re.compile(SPLIT_LATIN), {}
 
     def split(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens, and how many special tokens stand between them."""
@@ -61,7 +60,20 @@ class PreTokens:
     def _plain(self, text: str) -> list[str]:
         if text.isascii() or not self.other.search(text):
             return self.latin.findall(text.lower())
-        return self.any.findall(self.tokenizer.normalizer.normalize_str(text))
+        text = self.tokenizer.normalizer.normalize_str(text)
+        for c in set(self.other.findall(text)):
+            if ord(c) not in self.stand_ins:
+                self.stand_ins[ord(c)] = self._stand_in(c)
+        return [text[m.start() : m.end()] for m in self.latin.finditer(text.translate(self.stand_ins))]
+
+    def _stand_in(self, c: str) -> str:
+        """A character below U+0250 that the pattern treats as the library treats ``c``, whose Unicode tables may be its own."""
+        ends = lambda text: [b for _, (_, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        if ends(f"a{c}") == [2]:
+            return "a"  # a letter
+        if not ends(c):
+            return " "
+        return "\xa7" if ends(c + c) == [2] else "1"
 
     def pieces(self, tokens: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]

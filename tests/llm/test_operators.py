@@ -203,6 +203,16 @@ def test_tokens_of_any_text(text):
     assert sum(own.pieces(found)) + special == len(own.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_pre_tokens_of_every_code_point():
+    own = tokens.pre_tokens(public_tokenizers.path("word_bpe_49k.json"))
+    library = own.tokenizer
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3400 or i % 7 == 0)]
+    for k in range(0, len(every), 8192):
+        text = "".join(f"«{c} a{c} 1{c} {c}{c} {c}'s " for c in every[k : k + 8192])
+        normal = library.normalizer.normalize_str(text)
+        assert own.split(text) == ([normal[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(normal)], 0)
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 

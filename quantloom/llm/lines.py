@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_name, shuffle_partitions
@@ -68,13 +68,14 @@ class Lines:
         self.sizes = np.diff(np.concatenate([self.starts, [len(line)]])).astype(np.int64)
 
     def identities(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each set the sum of its mixed keys and its parity signature, together its identity."""
+        """Of each set 32 bits of the sum of its mixed keys and its parity signature, together its identity."""
         if not len(self.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         mixed = (self.keys ^ self.keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         bits = np.left_shift(np.uint64(1), self.keys & np.uint64(63))
-        return np.add.reduceat(mixed ^ mixed >> np.uint64(32), self.starts).view(np.int64), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
+        sums = np.add.reduceat(mixed ^ mixed >> np.uint64(32), self.starts)
+        return (sums >> np.uint64(32)).astype(np.uint32).view(np.int32), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
 
     def heads(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first words of each line: the line, the place in it and the key."""
@@ -155,7 +156,7 @@ def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
 def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     """A row for every line with words: doc_id, at, the identity (hash, parity) and size of its set, and its prefix.
 
-    ``at`` is the line's number, then 32 bits of the text's hash, so that (doc_id, at) orders all lines. ``prefix`` has
+    ``at`` is the line's number, then the column ``text_bits``, so that (doc_id, at) orders all lines. ``prefix`` has
     32 bits of the key of each of the rarest words; it is empty where an earlier line of the same part has the set.
     """
 
@@ -165,8 +166,7 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 found = Lines(part.column(2))
                 found.sorted_by(word_keys(found.words, ranks.value))
                 hashes, parities = found.identities()
-                texts = part.column(1).to_numpy()[found.rows].astype(np.int64) & _LOW32
-                at = found.places.astype(np.int64) << 32 | texts
+                at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
                 sets, docs = _dense(hashes, parities), order_of(part.column(0))[found.rows]
                 order = np.lexsort((at, docs, sets))
                 once = np.zeros(len(hashes), bool)
@@ -178,7 +178,7 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "size", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(make, f"doc_id {id_type}, at long, hash long, parity long, size int, prefix array<int>")
+    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, size int, prefix array<int>")
 
 
 def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.
     if len(heavy[0]) and len(tokens):
         at = np.minimum(np.searchsorted(heavy[0], tokens), len(heavy[0]) - 1)
         parts = np.where(heavy[0][at] == tokens, heavy[1][at], 1)
-        mixed ^= (hashes.view(np.uint64) % parts.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= (hashes.astype(np.int64) % parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return ((mixed >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
 
 
@@ -208,7 +208,7 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
             flat = [pa.array(tokens[order]), *[c.take(taken) for c in (hashes, parities, sizes)], pa.array(places[order], pa.int32()), doc.take(taken), at.take(taken)]
             yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), *[pa.ListArray.from_arrays(ends, c) for c in flat]], names)
 
-    shape = f"bucket int, token array<int>, hash array<long>, parity array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
+    shape = f"bucket int, token array<int>, hash array<int>, parity array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
     names = [c.split()[0] for c in shape.split(", ")]
     return sets.where(F.size("prefix") > 0).mapInArrow(deal, shape)
 
@@ -306,7 +306,7 @@ def earlier_partners(entries: DataFrame, threshold: float, most: int) -> DataFra
     entries: bucket and arrays. ``more`` tells that there may be others.
     """
     id_type = entries.schema["doc_id"].dataType.elementType.simpleString()
-    shape = f"hash long, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, more boolean"
+    shape = f"hash int, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, more boolean"
     names = [c.split()[0] for c in shape.split(", ")]
 
     def look(rows: pa.Table) -> pa.RecordBatch:
@@ -355,34 +355,35 @@ def heavy_words(sets: DataFrame) -> tuple[int, list[tuple[int, int]]]:
     return total, sorted((r["token"], -(-r["n"] // limit)) for r in counts.where(F.col("n") > limit).collect())
 
 
-def with_line_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of the lines (doc_id, at) that ``wanted`` lists."""
-    bits = F.xxhash64("text").bitwiseAND(F.lit(_LOW32))
+def line_texts(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """(doc_id, at, line) of the lines (doc_id, at) that ``wanted`` lists, once each; ``repeats`` if rows may be equal."""
     lines = wanted.groupBy(F.col("doc_id").alias("doc"), F.col("at").bitwiseAND(F.lit(_LOW32)).alias("bits")).agg(F.collect_set("at").alias("ats"))
-    held = docs.select("doc_id", "text", bits.alias("own")).join(bounded_broadcast(lines), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("bits")))
-    held = held.select("doc_id", "ats", F.split("text", "\n").alias("lines")).select("doc_id", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))).alias("x"))
-    return held.select("doc_id", "x.at", "x.line").dropDuplicates(["doc_id", "at"])  # of equal rows
+    held = docs.join(bounded_broadcast(lines), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_bits") == F.col("bits")))
+    held = held.select("doc_id", F.split("text", "\n").alias("lines"), "ats")
+    picked = F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))
+    texts = held.select("doc_id", F.explode(picked).alias("x")).select("doc_id", "x.*").repartition("doc_id", "at")
+    return texts.groupBy("doc_id", "at").agg(F.first("line").alias("line")) if repeats else texts
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` with the flag ``holds``: whether the words of the two lines are similar enough.
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
+    """(hash, parity, more) of ``pairs`` with the flag ``holds``: whether the words of the two lines are similar enough.
 
-    A line may be the partner of many others, so its words go out in as many copies as it takes.
+    A line may be the partner of many others, so it goes out in as many copies as it takes.
     """
-    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at"))).distinct()
-    texts = cut_lineage(with_line_text(docs, ends))
-    copies = pairs.groupBy("doc_a", "at_a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("copies"))
-    a = copies.join(texts.select(F.col("doc_id").alias("doc"), F.col("at").alias("place"), F.col("line").alias("line_a")), F.expr("doc_a <=> doc and at_a = place"))
-    a = a.select(F.col("doc_a").alias("doc"), F.col("at_a").alias("place"), "line_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    numbered = pairs.alias("p").join(copies.alias("c"), F.expr("p.doc_a <=> c.doc_a and p.at_a = c.at_a")).select("p.*", F.pmod(F.xxhash64("p.doc_id", "p.at"), F.col("copies")).alias("part"))
-    met = numbered.alias("p").join(texts.alias("b"), F.expr("p.doc_id <=> b.doc_id and p.at = b.at")).select("p.*", F.col("line").alias("line_b"))
-    met = met.alias("p").join(a.alias("a"), F.expr("p.doc_a <=> a.doc and p.at_a = a.place and p.part = a.copy"))
-    words = met.select("p.hash", "p.parity", "p.more", *[F.array_distinct(blank_words(ascii_lower(F.col(f"line_{x}")))).alias(f"words_{x}") for x in "ab"])
-    sized = words.select("hash", "parity", "more", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), (F.size("words_a") + F.size("words_b")).alias("sizes"))
+    partners = cut_lineage(pairs.groupBy(F.col("doc_a").alias("doc"), F.col("at_a").alias("place")).agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("copies")))
+    texts = line_texts(docs, pairs.select("doc_id", "at").unionByName(partners.select(F.col("doc").alias("doc_id"), F.col("place").alias("at"))), repeats)
+    firsts = partners.join(texts, F.expr("doc <=> doc_id and place = at")).select("doc", "place", F.col("line").alias("line_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    many = bounded_broadcast(partners.where("copies > 1").select(F.col("doc").alias("doc_m"), F.col("place").alias("at_m"), "copies"))
+    part = F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("copies", F.lit(1))).cast("int").alias("part")
+    parts = pairs.join(many, F.expr("doc_a <=> doc_m and at_a = at_m"), "left").select(*pairs.columns, part)
+    met = parts.alias("p").join(texts.alias("t"), F.expr("p.doc_id <=> t.doc_id and p.at = t.at")).select("p.*", "line")
+    met = met.join(firsts, F.expr("doc_a <=> doc and at_a = place and part = copy"))
+    words = met.select("hash", "parity", "more", *[F.array_distinct(blank_words(ascii_lower(F.col(x)))).alias(x) for x in ("line", "line_a")])
+    sized = words.select("hash", "parity", "more", F.size(F.array_intersect("line", "line_a")).alias("shared"), (F.size("line") + F.size("line_a")).alias("sizes"))
     return cut_lineage(sized.select("hash", "parity", "more", (F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).alias("holds")))
 
 
-def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: float, repeats: bool) -> DataFrame:
     """(hash, parity) of every class for which a class of another set with an earlier first line is similar enough."""
     spark = docs.sparkSession
     total, heavy = heavy_words(sets)
@@ -391,7 +392,7 @@ def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: floa
     found = earlier_partners(first_entries(sets, held, n_buckets), threshold, 1)
     best = F.min_by(F.struct("doc_id", "at", "doc_a", "at_a"), F.struct("doc_a", "at_a")).alias("best")
     pairs = found.groupBy("hash", "parity").agg(best, F.max("more").alias("more")).select("hash", "parity", "best.*", "more")
-    done = verified(docs, cut_lineage(pairs), threshold)
+    done = verified(docs, cut_lineage(pairs), threshold, repeats)
     matched, most = done.where("holds").select("hash", "parity"), 16
     # those whose partner failed, and those that met only a part of a word's classes
     seekers = done.where("not holds and more").select("hash", "parity")
@@ -402,7 +403,7 @@ def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: floa
     seekers = cut_lineage(seekers)
     while not seekers.isEmpty():
         pairs = earlier_partners(_entries_of(sets, seekers, held, n_buckets), threshold, most)
-        done = verified(docs, cut_lineage(pairs.groupBy("hash", "parity", "doc_id", "at", "doc_a", "at_a").agg(F.max("more").alias("more"))), threshold)
+        done = verified(docs, cut_lineage(pairs.groupBy("hash", "parity", "doc_id", "at", "doc_a", "at_a").agg(F.max("more").alias("more"))), threshold, repeats)
         state = cut_lineage(done.groupBy("hash", "parity").agg(F.max("holds").alias("holds"), F.max("more").alias("more")))
         matched = matched.unionByName(state.where("holds").select("hash", "parity"))
         seekers, most = state.where("not holds and more").select("hash", "parity"), 16 * most
@@ -432,17 +433,27 @@ def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> D
             buckets = _spread(token[rows], spread, heavy.value, n_buckets)
             yield pa.RecordBatch.from_arrays([pa.array(buckets), *[columns[n].take(pa.array(rows)) for n in names[1:]]], names)
 
-    shape = f"bucket int, token int, hash long, parity long, size int, place int, doc_id {id_type}, at long, seek boolean"
+    shape = f"bucket int, token int, hash int, parity long, size int, place int, doc_id {id_type}, at long, seek boolean"
     dealt = every.select(*names[1:]).mapInArrow(deal, shape)
     packed = dealt.groupBy("bucket").agg(F.collect_list(F.struct(*names[1:])).alias("e"))
     return packed.select("bucket", *[F.col(f"e.{n}").alias(n) for n in names[1:]])
 
 
-def later_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def ids_repeat(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def text_bits(repeats: bool) -> Column:
+    """32 bits of the text's hash, which tell texts of one doc_id apart; 0 if no doc_id repeats, which packs better."""
+    return F.xxhash64("text").bitwiseAND(F.lit(_LOW32)) if repeats else F.lit(0).cast("long")
+
+
+def later_lines(docs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
     """Per document that loses lines: doc_id, text_bits and ``gone``, the sorted numbers of the lines."""
+    docs = docs.select("doc_id", "text", text_bits(repeats).alias("text_bits"))
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
     sets = cut_lineage(line_sets(docs, ranks, threshold))
-    matched = classes_with_earlier_match(docs, sets, threshold)
+    matched = classes_with_earlier_match(docs, sets, threshold, repeats)
     lines = sets.select("doc_id", "at", "hash", "parity")
     repeated = lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # all lines of a matched class go, and those after the first of any other
@@ -463,10 +474,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, gone: str = "__gone") -
     number, and for texts that share a doc_id a hash of the text; equal rows share their places, so neither is later than
     the other. A null text stays null; ``gone`` is null where no line goes; other columns are unchanged.
     """
-    lost = later_lines(docs.select("doc_id", "text"), threshold)
+    repeats = ids_repeat(docs)
+    lost = later_lines(docs, threshold, repeats)
     doc, bits = free_name(docs, "__doc_id"), free_name(docs, "__text_bits")
     lost = bounded_broadcast(lost.select(F.col("doc_id").alias(doc), F.col("text_bits").alias(bits), F.col("gone").alias(gone)))
-    same = F.col("doc_id").eqNullSafe(column(doc)) & (F.xxhash64("text").bitwiseAND(F.lit(_LOW32)) == column(bits))
+    same = F.col("doc_id").eqNullSafe(column(doc)) & (text_bits(repeats) == column(bits))
     left = docs.join(lost, same, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(column(gone), i)), "\n")
     text = F.when(column(gone).isNull(), F.col("text")).otherwise(kept).alias("text")

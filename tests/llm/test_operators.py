@@ -298,6 +298,61 @@ def test_line_dedup(docs):
     assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 4] and kept.columns == docs([]).columns
 
 
+def later_places(rows, threshold=0.8):
+    """Of each row the numbers of the lines for which an earlier one is similar, by comparing all."""
+    seen, out = [], []
+    for i, text in rows:
+        gone = []
+        for k, line in enumerate((text or "").split("\n")):
+            words = set(line.encode().lower().split())
+            if words and any(len(words & w) >= threshold * len(words | w) - 1e-9 for w in seen):
+                gone.append(k)
+            if words:
+                seen.append(words)
+        out.append((i, gone))
+    return out
+
+
+def varied_lines(seed, n_docs, vocabulary):
+    r = random.Random(seed)
+    base = [prose(9 * seed + k, r.randint(1, 40), [f"w{x}" for x in range(vocabulary)]) for k in range(30)]
+
+    def vary(line):
+        words = line.split()
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+            words[r.randrange(len(words))] = f"v{r.randrange(99)}"
+        return " ".join(words)
+
+    return [(i, "\n".join(["", *[vary(r.choice(base)) for _ in range(6)]])) for i in range(n_docs)]
+
+
+@pytest.mark.parametrize("vocabulary, heavy", [(60, False), (400, False), (60, True)])
+def test_line_dedup_loses_no_match(docs, monkeypatch, vocabulary, heavy):
+    find = lines.heavy_words
+
+    def dealt(sets):  # words with over 20 entries to several tasks
+        many = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 20").collect()
+        return find(sets)[0], sorted((x["token"], -(-x["count"] // 20)) for x in many)
+
+    if heavy:
+        monkeypatch.setattr(lines, "heavy_words", dealt)
+    rows = varied_lines(vocabulary, 120, vocabulary)
+    made = {r["doc_id"]: r["__gone"] or [] for r in lines.dedup_lines(docs(rows).repartition(5)).collect()}
+    assert made == dict(later_places(rows))
+
+
+def test_line_dedup_of_a_large_group(docs):
+    words = [f"w{x}" for x in range(20)]
+    rows = [(i, " ".join([*words[: i % 20], f"x{i}", *words[i % 20 + 1 :]])) for i in range(4000)]
+    made = lines.dedup_lines(docs(rows)).where("__gone is null").collect()
+    assert [r["doc_id"] for r in made] == [0]
+
+
+def test_line_dedup_of_repeated_ids(docs):
+    made = lines.dedup_lines(docs([(1, "a b c d e"), (1, "a b c d e"), (1, "f g h i j"), (2, "F g h i J\nz"), (None, "z")])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in made) == [(0, "z"), (1, "a b c d e"), (1, "a b c d e"), (1, "f g h i j"), (2, "")]
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_name, shuffle_partitions
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
-RANK_BITS = 18
+RANK_BITS = 22
 #: Bytes of text that a task takes apart at once.
 CHUNK_BYTES = 4 << 20
 
@@ -119,8 +119,8 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def rank_words(docs: DataFrame) -> np.ndarray:
-    """Rank of each hash bucket by how many words of all lines fall into it, the rarest first."""
+def rank_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank of each hash bucket by how many words of all lines fall into it, the rarest first; how many have one at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << RANK_BITS, np.int64)
@@ -135,9 +135,9 @@ def rank_words(docs: DataFrame) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros(1 << RANK_BITS, np.int64)
     sums[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    ranks = np.empty(1 << RANK_BITS, np.int64)
+    ranks = np.empty(1 << RANK_BITS, np.int32)
     ranks[np.argsort(sums, kind="stable")] = np.arange(1 << RANK_BITS)
-    return ranks
+    return ranks, int(np.count_nonzero(sums <= 1))
 
 
 #: Entries of one word that a task compares; the classes of a word with more are dealt to several tasks.
@@ -157,14 +157,16 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     """A row for every line with words: doc_id, at, the identity (hash, parity) and size of its set, and its prefix.
 
     ``at`` is the line's number, then the column ``text_bits``, so that (doc_id, at) orders all lines. ``prefix`` has
-    32 bits of the key of each of the rarest words; it is empty where an earlier line of the same part has the set.
+    32 bits of the key of each of the rarest words; it is empty where an earlier line of the same part has the set. Words
+    that no other line has are left out; ``skipped`` counts them.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2):
                 found = Lines(part.column(2))
-                found.sorted_by(word_keys(found.words, ranks.value))
+                order, n_alone = ranks.value
+                found.sorted_by(word_keys(found.words, order))
                 hashes, parities = found.identities()
                 at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
                 sets, docs = _dense(hashes, parities), order_of(part.column(0))[found.rows]
@@ -172,13 +174,17 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 once = np.zeros(len(hashes), bool)
                 once[order[np.concatenate([[True], sets[order][1:] != sets[order][:-1]])] if len(order) else order] = True
                 lengths = np.where(once, prefix_lengths(found.sizes, threshold), 0)
-                keys = found.heads(lengths)[2]
+                line, _, keys = found.heads(lengths)
+                shared = keys >> np.uint64(64 - RANK_BITS) >= np.uint64(n_alone)
+                keys, skipped = keys[shared], lengths
+                lengths = np.bincount(line[shared], minlength=len(lengths))
+                skipped = skipped - lengths
                 tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.sizes, pa.int32()), pa.array(skipped, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "size", "skipped", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, size int, prefix array<int>")
+    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, size int, skipped int, prefix array<int>")
 
 
 def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
@@ -197,9 +203,9 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, at, hashes, parities, sizes, prefix = batch.columns
+            doc, at, hashes, parities, sizes, skipped, prefix = batch.columns
             tokens, rows = prefix.flatten().to_numpy(), pc.list_parent_indices(prefix).to_numpy()
-            places = np.arange(len(rows)) - (prefix.offsets.to_numpy() - prefix.offsets[0].as_py())[rows]
+            places = np.arange(len(rows)) - (prefix.offsets.to_numpy() - prefix.offsets[0].as_py())[rows] + skipped.to_numpy()[rows]
             buckets = _spread(tokens, hashes.to_numpy()[rows], heavy.value, n_buckets)
             order = np.argsort(buckets, kind="stable")
             rows, buckets = rows[order], buckets[order]
@@ -244,9 +250,12 @@ class Entries:
     def _key(token: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
         return token.astype(np.uint64) << np.uint64(32) | kind.astype(np.uint64) << np.uint64(26) | rank.astype(np.uint64)
 
-    def partners(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries b and a: a's line is earlier and passes the filters, ``most`` for each b; and whether b may have more."""
-        made_b, made_a, found = [], [], np.zeros(len(self.keys), np.int64)
+    def partners(self, most: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Entries b and a, a's line being earlier and passing the filters; the score of each pair; and whether b may have more.
+
+        A pair with a score up to 0 is most likely similar. Unless ``whole``, b stops at one such; else at ``most`` pairs.
+        """
+        made_b, made_a, made_s, found = [], [], [], np.zeros(len(self.keys), np.int64)
         for step in (0, -1, 1):
             active = np.flatnonzero(self.seek & (found < most) & (self.kind + step >= 0))
             kind = self.kind[active] + step
@@ -262,28 +271,32 @@ class Entries:
                     n = stop[x:y] - low[x:y]
                     b = np.repeat(active[x:y], n)
                     a = np.arange(len(b)) + np.repeat(low[x:y] - (np.cumsum(n) - n), n)
-                    b, a = self._pass(b, a)
+                    b, a, score = self._pass(b, a)
                     if len(b):
                         starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
                         runs = np.diff(np.append(starts, len(b)))
                         keep = np.arange(len(b)) - np.repeat(starts, runs) < most - found[b]
-                        found[b[starts]] = np.minimum(found[b[starts]] + runs, most)
-                        made_b.append(b[keep]), made_a.append(a[keep])
+                        best = np.minimum.reduceat(score, starts)
+                        sure = (best <= 0) & (not whole)
+                        keep |= np.repeat(sure, runs) & (score == np.repeat(best, runs))
+                        found[b[starts]] = np.where(sure, most, np.minimum(found[b[starts]] + runs, most))
+                        made_b.append(b[keep]), made_a.append(a[keep]), made_s.append(score[keep])
                 low, width = stop, 4 * width
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *made_b]), np.concatenate([none, *made_a]), found >= most
+        return np.concatenate([none, *made_b]), np.concatenate([none, *made_a]), np.concatenate([none, *made_s]), found >= most
 
-    def _pass(self, b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that pass the length, positional and parity filters."""
+    def _pass(self, b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that pass the length, positional and parity filters, and their scores."""
         size_b, size_a = self.size[b], self.size[a]
         sizes = size_b + size_a
         need = np.ceil(self.threshold / (1 + self.threshold) * sizes - 1e-9).astype(np.int64)
         ok = np.minimum(size_b - self.place[b], size_a - self.place[a]) >= need
-        ok &= np.bitwise_count((self.parity[b] ^ self.parity[a]).view(np.uint64)) <= sizes - 2 * need  # of signed numbers it counts the bits of the absolute value
         ok &= np.minimum(size_b, size_a) >= self.threshold * np.maximum(size_b, size_a) - 1e-9
-        b, a = b[ok], a[ok]
-        other = (self.hash[b] != self.hash[a]) | (self.parity[b] != self.parity[a])
-        return b[other], a[other]
+        b, a, most = b[ok], a[ok], (sizes - 2 * need)[ok]  # words that the sets may differ in
+        # of signed numbers bitwise_count takes the absolute value
+        differ = np.bitwise_count((self.parity[b] ^ self.parity[a]).view(np.uint64)).astype(np.int64)
+        ok = (differ <= most) & ((self.hash[b] != self.hash[a]) | (differ > 0))
+        return b[ok], a[ok], (10 * differ - 6 * most + 5)[ok]
 
 
 def order_of(ids: pa.Array) -> np.ndarray:
@@ -300,25 +313,31 @@ def _dense(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
     return out
 
 
-def earlier_partners(entries: DataFrame, threshold: float, most: int) -> DataFrame:
-    """(hash, parity, doc_id, at) of sets with (doc_a, at_a) of ``most`` possible partners from each task, and ``more``.
+def earlier_partners(entries: DataFrame, threshold: float, most: int, whole: bool) -> DataFrame:
+    """Per set (hash, parity): doc_id and at of its first line, ``partners`` (score, doc_a, at_a), the best first, and ``more``.
 
-    entries: bucket and arrays. ``more`` tells that there may be others.
+    entries: bucket and arrays. ``more`` tells that there may be other partners than those listed.
     """
     id_type = entries.schema["doc_id"].dataType.elementType.simpleString()
-    shape = f"hash int, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, more boolean"
+    shape = f"hash int, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, score int, more boolean"
     names = [c.split()[0] for c in shape.split(", ")]
 
     def look(rows: pa.Table) -> pa.RecordBatch:
         e = Entries(rows, threshold)
-        b, a, more = e.partners(most)
-        if most == 1:  # of the words of a set, the one with the earliest partner
-            order = np.lexsort((e.rank[a], e.parity[b], e.hash[b]))
-            b, a = b[order], a[order]
-            keep = np.concatenate([[True], (e.hash[b][1:] != e.hash[b][:-1]) | (e.parity[b][1:] != e.parity[b][:-1])]) if len(b) else np.zeros(0, bool)
-            b, a = b[keep], a[keep]
-        partners = [pa.array(e.hash[b]), pa.array(e.parity[b]), e.doc.take(pa.array(b)), pa.array(e.at[b]), e.doc.take(pa.array(a)), pa.array(e.at[a]), pa.array(more[b])]
-        return pa.RecordBatch.from_arrays(partners, names)
+        b, a, score, more = e.partners(most, whole)
+        # a set has several words here: each pair once, and a set with a sure partner keeps the best alone
+        sets = _dense(e.hash[b], e.parity[b])
+        others = np.zeros(len(b), bool)
+        others[sets[more[b]]] = True
+        order = np.lexsort((e.rank[a], sets))
+        order = order[np.concatenate([[True], (np.diff(sets[order]) != 0) | (np.diff(e.rank[a[order]]) != 0)])] if len(order) else order
+        order = order[np.lexsort((score[order], sets[order]))]
+        first = np.concatenate([[True], np.diff(sets[order]) != 0]) if len(order) else np.zeros(0, bool)
+        best = np.minimum.reduceat(score[order], np.flatnonzero(first)) if len(order) else score
+        order = order[first | (best[np.cumsum(first) - 1] > 0) | whole]
+        b, a, score, others = b[order], a[order], score[order], others[sets[order]]
+        made = [pa.array(e.hash[b]), pa.array(e.parity[b]), e.doc.take(pa.array(b)), pa.array(e.at[b]), e.doc.take(pa.array(a)), pa.array(e.at[a]), pa.array(score, pa.int32()), pa.array(others)]
+        return pa.RecordBatch.from_arrays(made, names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
@@ -335,7 +354,11 @@ def earlier_partners(entries: DataFrame, threshold: float, most: int) -> DataFra
         if held:
             yield look(pa.Table.from_batches(held))
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, shape)
+    found = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, shape)
+    by_set = found.groupBy("hash", "parity").agg(F.first(F.struct("doc_id", "at")).alias("own"), F.sort_array(F.collect_set(F.struct("score", "doc_a", "at_a"))).alias("partners"), F.max("more").alias("more"))
+    listed = F.col("partners") if whole else F.when(F.col("partners")[0]["score"] <= 0, F.slice("partners", 1, 1)).otherwise(F.col("partners"))
+    cut = F.lit(False) if whole else F.size("partners") > F.size("listed")
+    return cut_lineage(by_set.withColumn("listed", listed).select("hash", "parity", "own.*", F.col("listed").alias("partners"), (F.col("more") | cut).alias("more")))
 
 
 def heavy_words(sets: DataFrame) -> tuple[int, list[tuple[int, int]]]:
@@ -356,28 +379,32 @@ def heavy_words(sets: DataFrame) -> tuple[int, list[tuple[int, int]]]:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
-    """(doc_id, at, line) of the lines (doc_id, at) that ``wanted`` lists, once each; ``repeats`` if rows may be equal."""
-    lines = wanted.groupBy(F.col("doc_id").alias("doc"), F.col("at").bitwiseAND(F.lit(_LOW32)).alias("bits")).agg(F.collect_set("at").alias("ats"))
+    """(key, line): the texts of the lines whose keys, structs of doc_id and at, ``wanted`` lists, once each.
+
+    ``repeats`` if rows of ``docs`` may be equal.
+    """
+    bits = F.col("key.at").bitwiseAND(F.lit(_LOW32)).alias("bits")
+    lines = wanted.groupBy(F.col("key.doc_id").alias("doc"), bits).agg(F.collect_set("key.at").alias("ats"))
     held = docs.join(bounded_broadcast(lines), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_bits") == F.col("bits")))
     held = held.select("doc_id", F.split("text", "\n").alias("lines"), "ats")
-    picked = F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))
-    texts = held.select("doc_id", F.explode(picked).alias("x")).select("doc_id", "x.*").repartition("doc_id", "at")
-    return texts.groupBy("doc_id", "at").agg(F.first("line").alias("line")) if repeats else texts
+    picked = F.transform("ats", lambda at: F.struct(F.struct(F.col("doc_id"), at.alias("at")).alias("key"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))
+    texts = held.select(F.explode(picked).alias("x")).select("x.*").repartition("key")
+    return texts.groupBy("key").agg(F.first("line").alias("line")) if repeats else texts
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
-    """(hash, parity, more) of ``pairs`` with the flag ``holds``: whether the words of the two lines are similar enough.
+    """``pairs`` (hash, parity, more, doc_id, at, doc_a, at_a) with the flag ``holds``: whether the words of both lines are similar enough.
 
     A line may be the partner of many others, so it goes out in as many copies as it takes.
     """
-    partners = cut_lineage(pairs.groupBy(F.col("doc_a").alias("doc"), F.col("at_a").alias("place")).agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("copies")))
-    texts = line_texts(docs, pairs.select("doc_id", "at").unionByName(partners.select(F.col("doc").alias("doc_id"), F.col("place").alias("at"))), repeats)
-    firsts = partners.join(texts, F.expr("doc <=> doc_id and place = at")).select("doc", "place", F.col("line").alias("line_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    many = bounded_broadcast(partners.where("copies > 1").select(F.col("doc").alias("doc_m"), F.col("place").alias("at_m"), "copies"))
-    part = F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("copies", F.lit(1))).cast("int").alias("part")
-    parts = pairs.join(many, F.expr("doc_a <=> doc_m and at_a = at_m"), "left").select(*pairs.columns, part)
-    met = parts.alias("p").join(texts.alias("t"), F.expr("p.doc_id <=> t.doc_id and p.at = t.at")).select("p.*", "line")
-    met = met.join(firsts, F.expr("doc_a <=> doc and at_a = place and part = copy"))
+    pairs = pairs.select("hash", "parity", "more", F.struct("doc_id", "at").alias("key"), F.struct(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at")).alias("key_a"))
+    partners = cut_lineage(pairs.groupBy("key_a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("copies")))
+    texts = line_texts(docs, pairs.select("key").unionByName(partners.select(F.col("key_a").alias("key"))), repeats)
+    firsts = partners.join(texts, F.col("key_a") == F.col("key")).select(F.col("key_a").alias("key_f"), F.col("line").alias("line_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    many = bounded_broadcast(partners.where("copies > 1").select(F.col("key_a").alias("key_m"), "copies"))
+    part = F.pmod(F.xxhash64("key"), F.coalesce("copies", F.lit(1))).cast("int").alias("part")
+    parts = pairs.join(many, F.col("key_a") == F.col("key_m"), "left").select(*pairs.columns, part)
+    met = parts.join(texts, "key").join(firsts, (F.col("key_a") == F.col("key_f")) & (F.col("part") == F.col("copy")))
     words = met.select("hash", "parity", "more", *[F.array_distinct(blank_words(ascii_lower(F.col(x)))).alias(x) for x in ("line", "line_a")])
     sized = words.select("hash", "parity", "more", F.size(F.array_intersect("line", "line_a")).alias("shared"), (F.size("line") + F.size("line_a")).alias("sizes"))
     return cut_lineage(sized.select("hash", "parity", "more", (F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).alias("holds")))
@@ -389,21 +416,23 @@ def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: floa
     total, heavy = heavy_words(sets)
     n_buckets = max(8 * shuffle_partitions(spark), total // BUCKET_ENTRIES)
     held = spark.sparkContext.broadcast((np.array([t for t, _ in heavy], np.int32), np.array([g for _, g in heavy], np.int64)))
-    found = earlier_partners(first_entries(sets, held, n_buckets), threshold, 1)
-    best = F.min_by(F.struct("doc_id", "at", "doc_a", "at_a"), F.struct("doc_a", "at_a")).alias("best")
-    pairs = found.groupBy("hash", "parity").agg(best, F.max("more").alias("more")).select("hash", "parity", "best.*", "more")
-    done = verified(docs, cut_lineage(pairs), threshold, repeats)
-    matched, most = done.where("holds").select("hash", "parity"), 16
-    # those whose partner failed, and those that met only a part of a word's classes
-    seekers = done.where("not holds and more").select("hash", "parity")
+    pairs = earlier_partners(first_entries(sets, held, n_buckets), threshold, 8, False)
+    # the best partner first, and where it fails the others
+    best = verified(docs, pairs.select("*", F.col("partners")[0].alias("a")).select("*", "a.doc_a", "a.at_a"), threshold, repeats)
+    failed = best.where("not holds").select("hash", "parity")
+    others = pairs.join(bounded_broadcast(failed), ["hash", "parity"], "left_semi").select("hash", "parity", "doc_id", "at", "more", F.inline(F.slice("partners", 2, 1 << 30)))
+    second = verified(docs, others, threshold, repeats)
+    matched = best.unionByName(second).where("holds").select("hash", "parity").distinct()
+    seekers, most = best.where("not holds and more").select("hash", "parity").join(matched, ["hash", "parity"], "left_anti"), 128
+    # also those that met only a part of a word's classes
     if heavy:
         words = spark.createDataFrame([t for t, _ in heavy], "int").withColumnRenamed("value", "token")
         wide = sets.where(F.size("prefix") > 0).select("hash", "parity", F.explode("prefix").alias("token")).join(F.broadcast(words), "token", "left_semi").select("hash", "parity").distinct()
         seekers = seekers.unionByName(wide.join(matched, ["hash", "parity"], "left_anti")).distinct()
     seekers = cut_lineage(seekers)
     while not seekers.isEmpty():
-        pairs = earlier_partners(_entries_of(sets, seekers, held, n_buckets), threshold, most)
-        done = verified(docs, cut_lineage(pairs.groupBy("hash", "parity", "doc_id", "at", "doc_a", "at_a").agg(F.max("more").alias("more"))), threshold, repeats)
+        pairs = earlier_partners(_entries_of(sets, seekers, held, n_buckets), threshold, most, True)
+        done = verified(docs, pairs.select("hash", "parity", "doc_id", "at", "more", F.inline("partners")), threshold, repeats)
         state = cut_lineage(done.groupBy("hash", "parity").agg(F.max("holds").alias("holds"), F.max("more").alias("more")))
         matched = matched.unionByName(state.where("holds").select("hash", "parity"))
         seekers, most = state.where("not holds and more").select("hash", "parity"), 16 * most
@@ -412,7 +441,7 @@ def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: floa
 
 def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> DataFrame:
     """The entries of all words of the seekers, those of the seekers marked and sent to every part of their words."""
-    flat = sets.select("doc_id", "at", "hash", "parity", "size", F.posexplode("prefix").alias("place", "token"))
+    flat = sets.select("doc_id", "at", "hash", "parity", "size", "skipped", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + F.col("skipped")).drop("skipped")
     seekers = bounded_broadcast(seekers)
     own = cut_lineage(flat.join(seekers, ["hash", "parity"], "left_semi"))
     words = bounded_broadcast(own.select("token").distinct())

@@ -1,11 +1,13 @@
 """Main text of web pages by wrappers inferred per host.
 
-A page is a stream of blocks, each with the path of its structural tags. For each host a bounded sample of pages is
-aligned, one after the other, into one wrapper: a union-free regular expression over paths. Where a path repeats the
-wrapper has a repeated group, where a page lacks it an optional one, and where texts differ a text slot; text that all
-pages agree on stays constant. The slots that lie in the article, or for a host without one in the container with most
-slot text, are the content, menus and the like excepted. Every page is then read through the wrapper of its host; a
-page with paths that the sample lacks is first aligned itself.
+A page is a stream of tags and texts. The pages of a host are aligned, one after the other, into one wrapper: a
+union-free regular expression for the content of every path of tags. A child that a page lacks becomes optional, one
+that comes again and again a repeated group, children that come in either order a repeated group of optionals, and
+texts that differ become text slots; a text that all pages of the host have at its path stays constant. Every task
+folds its pages into a wrapper for each host, and the wrappers of the tasks are merged, so all pages of a host count
+and none of its pages has to meet another. A page is then read through the wrapper of its host: constants are the
+template's and go, slots are the page's, and of these the ones in the article, menus and the like excepted, are the
+main text.
 """
 
 from __future__ import annotations
@@ -14,30 +16,37 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_broadcast, cut_lineage
+
 from .urls import url_host
 
-#: Pages of a host that its wrapper is inferred from; the bound on a group.
-SAMPLE_PAGES = 6
-#: Bytes of wrappers that may be broadcast; with more, the join shuffles.
-BROADCAST_BYTES = 16 << 20
+#: Different pages of a host that are needed to tell constants from slots.
+MIN_PAGES = 6
+#: Hosts for which a task holds a wrapper before it passes them on.
+FLUSH_HOSTS = 2_000
+#: Levels of nested elements that are told apart.
+MAX_DEPTH = 256
+#: Of a page's slot text the share that the container of a page without an article holds.
+CONTAINER_SHARE = 0.6
 
 # HTML element classes.
 RAW_TEXT = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "select", "button", "video", "audio"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
-OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
+OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 OUTSIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup",
-    "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "masthead", "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "login", "toolbar",
+    "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "masthead", "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "login", "toolbar", "header",
 }
 COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 #: Parts of class names that tell a state of the element: "has-sidebar" is no sidebar, "comments-open" no comment.
@@ -56,8 +65,8 @@ def _named(value: str) -> set[str]:
     return words
 
 
-def _label(tag: str, attributes: str, within_article: bool) -> tuple[str, bool]:
-    """The tag, with ``!`` if by tag, role, class or id it is no part of an article, and ``!!`` for reader comments.
+def _label(tag: str, attributes: str) -> tuple[str, bool]:
+    """The tag, with ``!`` if by tag, role, class or id it is no part of an article, and ``!!`` for reader comments and what is hidden.
 
     The flag tells that only class or id say so. The page, its body and main are never marked by them, and an article
     only where it is called a comment by a whole name.
@@ -74,216 +83,350 @@ def _label(tag: str, attributes: str, within_article: bool) -> tuple[str, bool]:
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
     if tag in ("main", "html", "body") or (tag == "article" and not names & COMMENT_WORDS):
-        return (f"{tag}!" if hidden else tag), False
-    hard = tag in OUTSIDE or (tag == "header" and not within_article) or role in OUTSIDE_ROLES or hidden
+        return (f"{tag}!!" if hidden else tag), False
+    if hidden:
+        return f"{tag}!!", False
+    hard = tag in OUTSIDE or role in OUTSIDE_ROLES
     if words & COMMENT_WORDS:
         return f"{tag}!!", not hard
-    outside = hard or bool(words & OUTSIDE_WORDS) or ("header" in words and not within_article)
+    outside = hard or bool(words & OUTSIDE_WORDS)
     return (f"{tag}!" if outside else tag), not hard
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of every block with text, in page order: character references decoded, white space folded.
-
-    A mark that only a class or id gives is taken back where the element holds most of the text that no tag, role or
-    hidden attribute excludes. Only that of comments stays then, if an unmarked article or main has text.
+@dataclass(eq=False)
+class Element:
+    """A tag of a page: ``soft`` if only class or id mark it, ``chars`` of text in it that no tag, role or hiding excludes."""
+
+    tag: str
+    label: str
+    soft: bool
+    above: Element | None = None
+    chars: int = 0
+    parts: list = field(default_factory=list)  # elements, and for each block of text None
+    depth: int = 0
+
+    def open(self, tag: str, label: str, soft: bool) -> Element:
+        """A new element in this one; as in browsers, what is nested too deep lies beside instead."""
+        if self.depth >= MAX_DEPTH:
+            return self
+        made = Element(tag, label, soft, self, depth=self.depth + 1)
+        self.parts.append(made)
+        return made
+
+    def line(self) -> list[Element]:
+        """The element and those above it, the outermost first."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.above
+        return out[::-1]
+
+
+def read_page(page: str) -> tuple[Element, list[tuple[Element, str]]]:
+    """The root, and (element, text) of every block with text, in page order: references decoded, white space folded.
+
+    Images, input fields and the like don't end a block, nor does inline markup; inline elements that are marked as no
+    part of an article leave the block. A mark that only a class or id gives is taken back where the element holds most
+    of the text that no tag, role or hidden attribute excludes. Only that of comments stays then, if an unmarked
+    article or main has text.
     """
-    out: list[tuple[tuple[list, ...], str]] = []
-    stack: list[list] = []  # [tag, label, may be taken back, characters in it]
-    total = 0
-    held: list[str] = []
+    root = at_element = Element("", "", False)
+    out: list[tuple[Element, str]] = []
+    held: list[tuple[str, Element]] = []
 
     def end_block() -> None:
-        nonlocal total
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                out.append((tuple(stack), text))
-                if not any(e[1].endswith("!") and not e[2] for e in stack):
-                    total += len(text)
-                    for e in stack:
-                        e[3] += len(text)
+        if not held:
+            return
+        # what is marked within the block leaves it, unless there is nothing else
+        block = next((e for _, e in held if e.tag not in INLINE), at_element)
+        while block.tag in INLINE and block.above is not None:
+            block = block.above
+        own = "".join(t for t, e in held if e.tag not in INLINE)
+        place = block if own.strip() else held[0][1]
+        text = " ".join(entities.unescape(own if own.strip() else "".join(t for t, _ in held)).split())
+        held.clear()
+        if text:
+            out.append((place, text))
+            place.parts.append(None)
+            line = place.line()
+            if not any(e.label.endswith("!") and not e.soft for e in line):
+                for e in line:
+                    e.chars += len(text)
+
+    def close(tag: str) -> None:
+        nonlocal at_element
+        e = at_element
+        while e.above is not None and e.tag != tag:
+            e = e.above
+        if e.above is not None:
+            at_element = e.above
 
     at, size = 0, len(page)
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
-            held.append(page[at:])
+            held.append((page[at:], at_element))
             break
         if begin > at:
-            held.append(page[at:begin])
+            held.append((page[at:begin], at_element))
         m = _MARKUP.match(page, begin)
         if not m:  # a lone "<" is text, unless a tag begins that never ends
             if re.match(r"</?[a-zA-Z!]", page[begin : begin + 3]):
                 break
-            held.append("<")
+            held.append(("<", at_element))
             at = begin + 1
             continue
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if not tag or (tag in VOID and tag not in ("br", "hr")):
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW_TEXT:
-            end_block()
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else (size if tag in ("script", "style") else at)
             continue
-        if tag in INLINE:
-            if not closing and attributes and (label := _label(tag, attributes, True)[0]) != tag:
-                end_block()
-                stack.append([tag, label, False, 0])
-            elif closing and any(e[0] == tag for e in stack):
-                end_block()
-                while stack.pop()[0] != tag:
-                    pass
+        if tag in INLINE:  # only marked ones are elements here
+            if not closing and attributes and (label := _label(tag, attributes))[0] != tag:
+                at_element = at_element.open(tag, *label)
+            elif closing and any(e.tag == tag for e in at_element.line()) and at_element.tag in INLINE:
+                close(tag)
             continue
         end_block()
         if tag in VOID:
             continue
         if closing:
-            if any(e[0] == tag for e in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            close(tag)
             continue
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        within = any(e[0] in ("article", "main") for e in stack)
-        label, soft = _label(tag, attributes, within)
-        if tag in ("article", "main") and label == tag and not any(e[1].endswith("!!") for e in stack):
-            while stack and stack[-1][1].endswith("!"):  # of an element before it that was never closed
-                stack.pop()
-        stack.append([tag, label, soft, 0])
+        if tag in CLOSES_P and at_element.tag == "p":
+            at_element = at_element.above
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at_element.tag == tag:
+            at_element = at_element.above
+        label, soft = _label(tag, attributes)
+        if tag in ("article", "main") and label == tag and not any(e.label.endswith("!!") for e in at_element.line()):
+            while at_element.label.endswith("!"):  # of an element before it that was never closed
+                at_element = at_element.above
+        at_element = at_element.open(tag, label, soft)
     end_block()
-    told = any(any(e[0] in ("article", "main") for e in elements) and not any(e[1].endswith("!") for e in elements) for elements, _ in out)
-    for elements, _ in out:
-        for e in elements:
-            if e[2] and 2 * e[3] > total and not (told and e[1].endswith("!!")):
-                e[1] = e[0]
-    return [("/".join(e[1] for e in elements), text) for elements, text in out]
+    lines = [e.line() for e, _ in out]
+    told = any(any(e.tag in ("article", "main") for e in line) and not any(e.label.endswith("!") for e in line) for line in lines)
+    for line in lines:
+        for e in line:
+            if e.soft and 2 * e.chars > root.chars and not (told and e.label.endswith("!!")):
+                e.label = e.tag
+    return root, out
 
 
-class Wrapper:
-    """A union-free expression over paths: entries [path, optional, repeated, constant text or None, slot characters]."""
+def path_of(element: Element) -> str:
+    return "/".join(e.label for e in element.line()[1:])
+
 
-    def __init__(self, entries: list[list] | None = None):
-        self.entries = entries or []
+def text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-    def align(self, stream: list[tuple[str, str]]) -> None:
-        """Take one more page in: its blocks with equal neighbours folded, aligned with the entries."""
-        page: list[list] = []
-        for path, text in stream:
-            if page and page[-1][0] == path:  # a repeated group; its texts are slots
-                page[-1][2], page[-1][3], page[-1][4] = True, None, page[-1][4] + len(text)
+
+@dataclass
+class Model:
+    """The content of one path: a chain of children, of which those are optional that fewer than all elements have.
+
+    ``loop`` if children came in either order: the chain is a repeated group of optionals. ``texts`` are the keys of the
+    texts that all pages with this path have there.
+    """
+
+    elements: int = 0
+    pages: int = 0
+    loop: bool = False
+    order: list[str] = field(default_factory=list)
+    seen: dict[str, int] = field(default_factory=dict)  # elements that have the child
+    repeated: dict[str, bool] = field(default_factory=dict)
+    texts: list[int] | None = None
+
+    def align(self, children: list[str]) -> None:
+        """Take in the children of one element, or the chain of another model, in order."""
+        last = -1
+        for child in children:
+            at = self.order.index(child) if child in self.seen or child in self.order else -1
+            if at < 0:
+                last += 1
+                self.order.insert(last, child)
             else:
-                page.append([path, False, False, text, len(text)])
-        if not self.entries:
-            self.entries = page
-            return
-        merged: list[list] = []
-        match = SequenceMatcher(None, [e[0] for e in self.entries], [e[0] for e in page], autojunk=False)
-        for kind, a, b, c, d in match.get_opcodes():
-            if kind == "equal":
-                for old, new in zip(self.entries[a:b], page[c:d], strict=True):
-                    merged.append([old[0], old[1], old[2] or new[2], old[3] if old[3] == new[3] else None, old[4] + new[4]])
-            else:  # what only one side has is optional
-                merged += [[e[0], True, *e[2:]] for e in self.entries[a:b]] + [[e[0], True, *e[2:]] for e in page[c:d]]
-        self.entries = merged
-
-    def paths(self) -> set[str]:
-        return {e[0] for e in self.entries}
-
-    def content(self) -> set[str]:
-        """The paths of the content."""
-        inside = [e for e in self.entries if not any(x.endswith("!") for x in e[0].split("/"))]
-        named = {e[0] for e in inside if {"article", "main"} & set(e[0].split("/"))}
-        if named:
-            articles = {p for p in named if "article" in p.split("/")}
-            return articles or named
-        weight: dict[str, int] = {}
-        for path, _, _, constant, chars in inside:
-            container = "/".join(path.split("/")[:-1]) if path.split("/")[-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol") else path
-            weight[container] = weight.get(container, 0) + (chars if constant is None else 0)
-        if not any(weight.values()):  # one page alone has no slots
-            for path, _, _, _, chars in inside:
-                container = "/".join(path.split("/")[:-1]) if path.split("/")[-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol") else path
-                weight[container] = weight.get(container, 0) + chars
-        if not weight:
-            return set()
-        best = max(sorted(weight), key=lambda k: weight[k])
-        return {e[0] for e in inside if not best or e[0] == best or e[0].startswith(f"{best}/")}
-
-
-def infer_wrapper(pages: list[str]) -> Wrapper:
-    """The wrapper of several pages, aligned in the order given; equal streams count once."""
-    wrapper, seen = Wrapper(), set()
-    for page in pages:
-        stream = blocks(page)
-        if (key := tuple(stream)) not in seen:
-            seen.add(key)
-            wrapper.align(stream)
-    return wrapper
+                self.loop |= at < last
+                last = max(at, last)
+
+    def keep_texts(self, keys: list[int]) -> None:
+        self.texts = sorted(set(keys) if self.texts is None else set(self.texts).intersection(keys))
+
+
+class Wrapper:
+    """A union-free expression for the pages of a host: a Model for every path, and some pages to tell how many differ."""
+
+    def __init__(self, spec: str | None = None):
+        held = json.loads(spec) if spec else {"pages": 0, "different": [], "models": {}}
+        self.pages, self.different = held["pages"], held["different"]
+        self.models = {path: Model(**m) for path, m in held["models"].items()}
+
+    def spec(self) -> str:
+        return json.dumps({"pages": self.pages, "different": self.different, "models": {p: m.__dict__ for p, m in self.models.items()}})
+
+    def take(self, page: str) -> None:
+        """Align one more page."""
+        root, found = read_page(page)
+        texts: dict[str, list[int]] = {}
+        for element, text in found:
+            texts.setdefault(path_of(element), []).append(text_key(text))
+        self._differs([text_key("\n".join(t for _, t in found))])
+        self.pages += 1
+        open_, paths = [(root, "")], set()
+        while open_:
+            element, path = open_.pop()
+            children = [c for c in element.parts if c is None or c.chars or c.parts]
+            model = self.models.setdefault(path, Model())
+            labels = ["#" if c is None else c.label for c in children]
+            folded = [x for k, x in enumerate(labels) if not k or labels[k - 1] != x]
+            model.elements += 1
+            model.align(folded)
+            for x in set(labels):
+                model.seen[x] = model.seen.get(x, 0) + 1
+                model.repeated[x] = model.repeated.get(x, False) or labels.count(x) > 1
+            if path not in paths:
+                paths.add(path)
+                model.pages += 1
+                if path in texts:
+                    model.keep_texts(texts[path])
+            open_ += [(c, f"{path}/{c.label}" if path else c.label) for c in children if c is not None]
+
+    def merge(self, other: Wrapper) -> None:
+        """Align the wrapper of other pages of the host."""
+        self.pages += other.pages
+        self._differs(other.different)
+        for path, theirs in other.models.items():
+            own = self.models.setdefault(path, Model())
+            own.elements, own.pages, own.loop = own.elements + theirs.elements, own.pages + theirs.pages, own.loop or theirs.loop
+            own.align(theirs.order)
+            for x, n in theirs.seen.items():
+                own.seen[x] = own.seen.get(x, 0) + n
+                own.repeated[x] = own.repeated.get(x, False) or theirs.repeated[x]
+            if theirs.texts is not None:
+                own.keep_texts(theirs.texts)
+
+    def _differs(self, keys: list[int]) -> None:
+        self.different = sorted({*self.different, *keys})[:MIN_PAGES]
+
+    def expression(self) -> str:
+        """The expression: ``?`` optional, ``+`` repeated, ``*`` both, ``#`` text."""
+        made: dict[str, str] = {}
+        for path in sorted(self.models, key=lambda p: -p.count("/") - bool(p)):  # the innermost first
+            model, parts = self.models[path], []
+            for x in model.order:
+                below = made.get(f"{path}/{x}" if path else x, "") if x != "#" else ""
+                optional, again = model.seen[x] < model.elements, model.repeated[x]
+                parts.append(f"{x}{f'({below})' if below else ''}{'*' if optional and again else '?' if optional else '+' if again else ''}")
+            made[path] = f"({' '.join(parts)})*" if model.loop else " ".join(parts)
+        return made.get("", "")
+
+    def constants(self) -> dict[str, list[int]]:
+        """By path the keys of the texts that are the template's: every page of the host that has the path has them there."""
+        if len(self.different) < MIN_PAGES:
+            return {}
+        return {p: m.texts for p, m in self.models.items() if m.texts and m.pages >= MIN_PAGES}
 
 
 @lru_cache(maxsize=512)
-def _read(spec: str) -> tuple[Wrapper, frozenset, frozenset]:
-    wrapper = Wrapper(json.loads(spec))
-    return wrapper, frozenset(wrapper.paths()), frozenset(wrapper.content())
+def _constants(spec: str | None) -> dict[str, frozenset[int]]:
+    return {p: frozenset(keys) for p, keys in json.loads(spec).items()} if spec else {}
 
 
-def main_text(page: str | None, spec: str | None) -> str:
-    """The content blocks of a page, joined by line breaks."""
+def main_text(page: str | None, spec: str | None = None) -> str:
+    """The slots of a page's article, joined by line breaks; ``spec``: the constants of its host's wrapper.
+
+    An unmarked article, or else main, is the content; without them it is the lowest element that holds
+    CONTAINER_SHARE of the slot text. Constants that are most of the content's text are no template and stay.
+    """
     if not page:
         return ""
-    stream = blocks(page)
-    wrapper, known, content = _read(spec or "[]")
-    if not {p for p, _ in stream} <= known or not any(p in content for p, _ in stream):
-        own = Wrapper([e[:] for e in wrapper.entries])
-        own.align(stream)
-        content = own.content()
-        if not any(p in content for p, _ in stream):  # the page has none of what the host's pages have
-            alone = Wrapper()
-            alone.align(stream)
-            content = alone.content()
-    return "\n".join(text for path, text in stream if path in content)
+    constants = _constants(spec)
+    root, found = read_page(page)
+    lines = [[e for e in element.line() if e.above is not None] for element, _ in found]
+    inside = [k for k, line in enumerate(lines) if not any(e.label.endswith("!") for e in line)]
+    slot = {k: text_key(found[k][1]) not in constants.get(path_of(found[k][0]), ()) if constants else True for k in inside}
+    for tag in ("article", "main"):
+        content = [k for k in inside if any(e.tag == tag for e in lines[k])]
+        if content:
+            break
+    else:
+        weights: dict[int, int] = {}
+        for k in inside:
+            for e in lines[k]:
+                weights[id(e)] = weights.get(id(e), 0) + len(found[k][1]) * slot[k]
+        total = sum(len(found[k][1]) * slot[k] for k in inside)
+        large = {e for e, n in weights.items() if n >= CONTAINER_SHARE * total}
+        holders = [e for k in inside for e in lines[k] if id(e) in large and e.tag not in ("p", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")]
+        lowest = max(holders, key=lambda e: len(e.line()), default=None)
+        content = [k for k in inside if lowest is None or any(e is lowest for e in lines[k])]
+    kept = [k for k in content if slot[k]]
+    if 2 * sum(len(found[k][1]) for k in kept) < sum(len(found[k][1]) for k in content):
+        kept = content
+    return "\n".join(found[k][1] for k in kept)
+
+
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, pages, constants, expression) of the wrapper of each host, from all its pages.
+
+    Tasks fold their pages; what they made of a host is merged in up to 256 parts and then once.
+    """
+    keyed = pages.where("html is not null").select(url_host(F.col("url")).alias("host"), "html")
 
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Wrapper] = {}
+        out = lambda: pd.DataFrame({"host": list(held), "wrapper": [w.spec() for w in held.values()]})
+        for frame in frames:
+            for host, page in zip(frame["host"], frame["html"], strict=True):
+                held.setdefault(host, Wrapper()).take(page)
+            if len(held) > FLUSH_HOSTS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
-def host_wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper) from the ``sample`` pages of each host with the least hashes; a documented bound."""
-    order = Window.partitionBy("host").orderBy("rank", "page_id", "url")
-    keyed = pages.where("html is not null").select(url_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("rank"), "page_id", "url", "html")
-    sampled = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)  # limited per task before the shuffle
+    def merged(frame: pd.DataFrame) -> Wrapper:
+        whole = Wrapper()
+        for spec in sorted(frame["wrapper"]):
+            whole.merge(Wrapper(spec))
+        return whole
 
-    def infer(frame: pd.DataFrame) -> pd.DataFrame:
-        wrapper = infer_wrapper(frame.sort_values("n")["html"].tolist())
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(wrapper.entries)]})
+    def partly(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [merged(frame).spec()]})
 
-    return sampled.select("host", "n", "html").groupBy("host").applyInPandas(infer, "host string, wrapper string")
+    def wholly(frame: pd.DataFrame) -> pd.DataFrame:
+        w = merged(frame)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [w.pages], "constants": [json.dumps(w.constants())], "expression": [w.expression()]})
 
+    folded = keyed.mapInPandas(fold, "host string, wrapper string").withColumn("part", F.spark_partition_id() % 256)
+    folded = folded.groupBy("host", "part").applyInPandas(partly, "host string, wrapper string")
+    return folded.groupBy("host").applyInPandas(wholly, "host string, pages long, constants string, expression string")
 
-def extract_main_text(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars (code points).
 
     text has the blocks of the article in page order, joined by \\n, each with character references decoded, white
     space folded and trimmed. Null or empty html, and pages without content, give an empty text. Pages without a url
     share one wrapper; repeated rows stay repeated; an empty table gives an empty result.
     """
-    from .common import cut_lineage
-
-    wrappers = cut_lineage(host_wrappers(pages, sample))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    wrappers = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
-    joined = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(wrappers, "host", "left")
+    wrappers = cut_lineage(host_wrappers(pages).where("constants != '{}'").select("host", "pages", "constants"))
+    total = wrappers.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    keyed = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
+    # the hosts with a thousandth of the pages or more, 1,000 at most, go to all tasks; their pages are not dealt by host
+    large = F.broadcast(wrappers.where(F.col("pages") >= total // 1000 + 1).select("host", F.col("constants").alias("first")))
+    small = wrappers.where(F.col("pages") < total // 1000 + 1).select(F.col("host").alias("key"), F.col("constants").alias("second"))
+    joined = keyed.join(large, "host", "left").withColumn("key", F.when(F.col("first").isNull(), F.col("host")).otherwise(F.concat_ws(" ", F.lit(""), F.xxhash64("page_id", "url"))))
+    joined = joined.join(bounded_broadcast(small), "key", "left").withColumn("constants", F.coalesce("first", "second"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [main_text(h, w) for h, w in zip(frame["html"], frame["wrapper"], strict=True)]
+            texts = [main_text(h, c) for h, c in zip(frame["html"], frame["constants"], strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     id_type = pages.schema["page_id"].dataType
-    made = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "wrapper").mapInPandas(read, "page_id string, url string, text string, n_chars long")
+    made = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "constants").mapInPandas(read, "page_id string, url string, text string, n_chars long")
     return made.withColumn("page_id", F.col("page_id").cast(id_type))

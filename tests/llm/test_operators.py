@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -35,24 +36,59 @@ def test_html_blocks():
     assert html.main_text(page(body), None) == "A & B\none two\nthree <3"
     assert html.main_text(None, None) == "" and html.main_text("", None) == "" and html.main_text("just text", None) == "just text"
     assert html.main_text("<p>5 < 6 and a<b>c</b></p>", None) == "5 < 6 and ac"
-    assert html.main_text("<div hidden><article><p>x</p></article></div><script>never ends", None) in ("x", "")
+    assert html.main_text("<div hidden><article><p>x</p></article></div><script>never ends", None) == ""
+    assert html.main_text("<article><p>super<wbr>cali one<img src=x> two <svg><text>no</text></svg>three<button>b</button> <span class='share'>Share</span> four<script>1</script></p></article>", None) == "supercali one two three four"
+    assert html.main_text("<main><div class='header'><p>site</p></div><p>longer words</p><header>y</header></main>", None) == "longer words"
+    assert html.main_text("<div>" * 3000 + "deep", None) == "deep"
+
+
+def wrapped(pages):
+    """The wrapper of pages, in two halves that are merged, as text."""
+    halves = [html.Wrapper(), html.Wrapper()]
+    for k, text in enumerate(pages):
+        halves[k % 2].take(text)
+    halves[0].merge(html.Wrapper(halves[1].spec()))
+    return halves[0]
 
 
 def test_wrapper_groups_and_slots():
-    w = html.infer_wrapper([page("<h1>x</h1><p>a</p>"), page("<h1>y</h1><p>b</p><p>c</p>"), page("<h1>z</h1><ul><li>d</li></ul>")])
-    found = {e[0]: e for e in w.entries}
-    p, li, nav = found["html/body/article/p"], found["html/body/article/ul/li"], found["html/body/nav!/ul/li"]
-    assert p[1] and p[2] and p[3] is None  # optional, repeated, a slot
-    assert li[1] and not li[2]
-    assert not nav[1] and nav[3] == "menu"  # always there, constant
-    assert w.content() == {"html/body/article/h1", "html/body/article/p", "html/body/article/ul/li"}
-
-
-def test_wrapper_finds_the_container_without_an_article():
-    site = lambda i: f"<body><div class='menu'><p>home</p></div><div id='x'><p>story {prose(i, 30)}</p><p>more {i}</p></div><div id='y'><p>same words</p></div>"
-    assert html.main_text(site(9), None).startswith("story")
-    spec = __import__("json").dumps(html.infer_wrapper([site(i) for i in range(4)]).entries)
-    assert "same words" in html.main_text(site(5), spec) or html.main_text(site(5), spec).startswith("story")
+    bodies = [f"<h1>title {k}</h1>{x}" for k, x in enumerate(["<p>aaa</p>", "<p>bbb</p><p>ccc</p>", "<ul><li>ddd</li></ul>", "<p>eee</p>", "<p>fff</p>", "<p>ggg</p>"])]
+    w = wrapped([page(x) for x in bodies])
+    assert w.expression() == "html(body(nav!(ul(li(#))) div!(#) article(h1(#) ul(li(#))? p(#)*) footer!(#)))"
+    assert set(w.constants()) == {"html/body/nav!/ul/li", "html/body/div!", "html/body/footer!"}
+    assert wrapped(["<p>a</p><div>b</div>", "<div>c</div><p>d</p>"]).expression() == "(p(#) div(#))*"
+    assert wrapped([page(bodies[0])] * 9).constants() == {}  # copies tell nothing
+
+
+def planted(i, n_hosts=3):
+    """A page of one of several templates, and its main text."""
+    r, host = random.Random(i), i % n_hosts
+    words = lambda n: prose(r.random(), n)
+    paragraphs = [words(r.randint(5, 40)) for _ in range(r.randint(1, 6))]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    menu, related = f"<div id='menu'><ul><li><a>{words(2)}</a></li><li>{words(1)}</li></ul></div>", f"<div class='related'><p>{words(9)}</p></div>"
+    if host == 0:
+        text = f"<body>{menu}<article><p>Share this page</p>{body}<p>Filed by the staff of the herald</p>{related}</article><footer>{words(4)}</footer>"
+    elif host == 1:
+        text = f"<body>{menu}<div class='x1'><div class='x2'>{body}</div><p>All rights are reserved by us</p></div><form><p>{words(3)}</p></form>"
+    else:
+        text = f"<body><header>{words(3)}</header><main>{related}{body}<div class='comments'><p>{words(30)}</p></div></main><div class='cookie-notice'>{words(5)}</div>"
+    return f"http://h{host}.example.org/{i}", text, "\n".join(paragraphs)
+
+
+def test_planted_articles(spark):
+    made = [(i, *planted(i)) for i in range(150)]
+    pages = spark.createDataFrame([(i, u, h) for i, u, h, _ in made], "page_id long, url string, html string").repartition(6)
+    assert {r["page_id"]: r["text"] for r in html.extract_main_text(pages).collect()} == {i: t for i, _, _, t in made}
+
+
+def test_many_blocks_take_linear_time():
+    text = "<body>" + "".join(f"<p>text {i}</p><div>other {i}</div>" for i in range(10_000))
+    began = time.process_time()
+    w = html.Wrapper()
+    w.take(text)
+    assert w.expression() == "body((p(#)+ div(#)+)*)"
+    assert html.main_text(text, None).count("\n") == 19_999 and time.process_time() - began < 20
 
 
 def test_extract_whole_table(spark):

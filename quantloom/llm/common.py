@@ -61,12 +61,12 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if held_bytes(df) <= most else df
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of the table is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def free_prefix(df: DataFrame) -> str:
+    """Underscores, as many as it takes for no column of the table to begin with them: a prefix for helper columns."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def column(name: str) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_name, shuffle_partitions
+from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_prefix, shuffle_partitions
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
@@ -499,7 +499,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, gone: str = "__gone") -
     """
     repeats = ids_repeat(docs)
     lost = later_lines(docs, threshold, repeats)
-    doc, bits = free_name(docs, "__doc_id"), free_name(docs, "__text_bits")
+    doc, bits = f"{free_prefix(docs)}doc_id", f"{free_prefix(docs)}text_bits"
     lost = bounded_broadcast(lost.select(F.col("doc_id").alias(doc), F.col("text_bits").alias(bits), F.col("gone").alias(gone)))
     same = F.col("doc_id").eqNullSafe(column(doc)) & (text_bits(repeats) == column(bits))
     left = docs.join(lost, same, "left")
@@ -510,6 +510,6 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, gone: str = "__gone") -
 
 def keep_first_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without later lines; rows that lose lines and have no word left go. Columns stay as they are."""
-    gone = free_name(docs, "__gone")
+    gone = f"{free_prefix(docs)}gone"
     done = dedup_lines(docs, threshold, gone)
     return done.where(column(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns(docs))

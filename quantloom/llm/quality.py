@@ -2,8 +2,8 @@
 
 Two histograms per document, of character classes and of common words, are compared with references by the
 Jensen-Shannon distance (square root of the divergence, base 2, so 0 to 1). A reference is the sum of the histograms
-of all documents of a language, whichever languages there are, and its common words are the most frequent of these
-documents. A document is judged by the reference of its own language; one without such a reference is not judged by
+of all documents of a language that pass the base rules, whichever languages there are, and its common words are the
+most frequent of the language's documents. A document is judged by the reference of its own language; one without such a reference is not judged by
 words, and by the nearest reference for characters. Texts too short to have a stable histogram are not judged by it.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, blank_words, cut_lineage, let
+from .common import BLANK_CLASS, blank_words, column, columns, cut_lineage, free_prefix, let
 
 #: Common words of a language, and how many candidates are counted exactly to find them.
 N_COMMON, N_CANDIDATES = 15, 40
@@ -42,8 +42,8 @@ class QualityRules:
     min_reference_docs: int = 20
 
 
-#: Windows of a text are sorted as longs that hold this many low bits of their place; longer texts sort pairs.
-PLACE_BITS = 21
+#: Windows of a text are sorted as longs that hold their place in this many low bits, and a part of their hash above.
+PLACE_BITS = 31
 
 
 def common_candidates(docs: DataFrame, least_docs: int) -> dict[str, list[str]]:
@@ -62,70 +62,71 @@ def common_candidates(docs: DataFrame, least_docs: int) -> dict[str, list[str]]:
 
 
 def with_text_counts(docs: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
-    """``docs`` with the struct ``__counts`` of all counts of a text; null counts as empty.
+    """``docs`` with the struct ``counts`` of all counts of a text, and ``row``, both named behind its free prefix; null counts as empty.
 
     Each step is a column of its own, so that it is computed once per row and stays in generated code. The row number
     keeps the optimizer from pushing a filter on the counts below these steps, which would repeat them.
     """
+    df, prefix = docs, free_prefix(docs)
+
+    def add(name: str, value: Column) -> Column:
+        nonlocal df
+        df = df.withColumn(f"{prefix}{name}", value)
+        return column(f"{prefix}{name}")
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK_CLASS}]"))
-    rest = F.regexp_replace(text, r"[^A-Z0-9!-/:-@\[-`{-~]+", "")  # little is left for the other classes to search
-    df = docs.withColumns({"__words": blank_words(text), "__lines": lines, "__n_chars": F.length(text), "__rest": rest})
-    df = df.withColumns({"__word_chars": F.length(F.array_join("__words", "")), "__upper": F.regexp_count("__rest", F.lit("[A-Z]")), "__digit": F.regexp_count("__rest", F.lit("[0-9]")), "__symbol": F.regexp_count("__rest", F.lit(SYMBOLS)), "__marked": F.length("__rest")})
-    df = df.withColumns({"__n": F.size("__words"), "__dups": F.size("__lines") - F.size(F.array_distinct("__lines"))})
-
-    # Words in repeated windows: windows sorted by hash, those with an equal neighbour kept, the union of their spans.
-    m = F.greatest(F.col("__n") - 2, F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("__words", k, m).alias(f"w{k}") for k in (1, 2, 3)])
-    window_hash = F.transform(zipped, lambda z: F.xxhash64(z["w1"], z["w2"], z["w3"]))
-    df = df.withColumn("__hashes", window_hash)
+    words = add("words", blank_words(text))
+    lines = add("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK_CLASS}]")))
+    n_chars = add("n_chars", F.length(text))
+    rest = add("rest", F.regexp_replace(text, r"[^A-Z0-9!-/:-@\[-`{-~]+", ""))  # little is left for the other classes to search
+    word_chars = add("word_chars", F.length(F.array_join(words, "")))
+    upper, digit, symbol = (add(name, F.regexp_count(rest, F.lit(kind))) for name, kind in (("upper", "[A-Z]"), ("digit", "[0-9]"), ("symbol", SYMBOLS)))
+    marked, n = add("marked", F.length(rest)), add("n", F.size(words))
+    dups = add("dups", F.size(lines) - F.size(F.array_distinct(lines)))
+
+    # Words in repeated windows: windows sorted by a part of their hash; those with an equal neighbour are sorted by their
+    # words; of those that have an equal neighbour still, the union of the spans.
+    m = F.greatest(n - 2, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(words, k, m).alias(f"w{k}") for k in (1, 2, 3)])
+    hashes = add("hashes", F.transform(zipped, lambda z: F.xxhash64(z["w1"], z["w2"], z["w3"])))
     place_mask = (1 << PLACE_BITS) - 1
-    packed = F.transform("__hashes", lambda h, i: h.bitwiseAND(F.lit(~place_mask)).bitwiseOR(i.cast("long")))
-    df = df.withColumn("__packed", F.when((F.size(F.array_distinct("__hashes")) < m) & (m <= place_mask), F.sort_array(packed)))
+    packed = add("packed", F.when(F.size(F.array_distinct(hashes)) < m, F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~place_mask)).bitwiseOR(i.cast("long"))))))
     head = lambda x: F.shiftright(x, PLACE_BITS)
-    place = lambda x: x.bitwiseAND(F.lit(place_mask)).cast("int")
-    doubles = F.filter(F.transform("__packed", lambda x, k: F.when(head(x) == head(F.get("__packed", k + 1)), k)), lambda k: k.isNotNull())
-    df = df.withColumn("__doubles", doubles)
-    places = F.transform("__doubles", lambda k: F.struct(place(F.get("__packed", k)).alias("a"), place(F.get("__packed", k + 1)).alias("b")))
-    equal = F.filter(places, lambda x: F.slice("__words", x["a"] + 1, 3) == F.slice("__words", x["b"] + 1, 3))
-    short = F.array_distinct(F.flatten(F.transform(equal, lambda x: F.array(x["a"], x["b"]))))
-    pairs = F.when(m > place_mask, F.sort_array(F.transform(F.col("__hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = df.withColumn("__pairs", pairs)
-    long = F.transform(F.filter("__pairs", lambda x, k: F.coalesce(x["h"] == F.get("__pairs", k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("__pairs", k + 1)["h"], F.lit(False))), lambda x: x["i"])
-    df = df.withColumn("__places", F.sort_array(F.coalesce(short, long, F.expr("cast(array() as array<int>)"))))
-    gaps = F.transform("__places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__places", k + 1), p + 3) - p))
-    df = df.withColumn("__repeat", F.aggregate(gaps, F.lit(0), lambda a, b: a + b))
+    beside = lambda same, k, of: F.coalesce(same(F.get(of, k - 1)), F.lit(False)) | F.coalesce(same(F.get(of, k + 1)), F.lit(False))
+    doubles = add("doubles", F.filter(packed, lambda x, k: beside(lambda y: head(y) == head(x), k, packed)))
+    worded = F.transform(doubles, lambda x: let(x.bitwiseAND(F.lit(place_mask)).cast("int"), lambda p: F.struct(F.slice(words, p + 1, 3).alias("words"), p.alias("place"))))
+    runs = add("runs", F.sort_array(worded))
+    equal = F.filter(runs, lambda x, k: beside(lambda y: y["words"] == x["words"], k, runs))
+    places = add("places", F.sort_array(F.coalesce(F.transform(equal, lambda x: x["place"]), F.expr("cast(array() as array<int>)"))))
+    gaps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1), p + 3) - p))
+    repeat = add("repeat", F.aggregate(gaps, F.lit(0), lambda a, b: a + b))
 
     # Runs of equal common words in sorted order give their counts.
     forms = sorted({f for words in candidates.values() for w in words for f in (w, w.capitalize(), w.upper())})
-    common = F.sort_array(F.transform(F.filter("__words", lambda x: x.isin(forms)), lambda x: F.lower(x)))
-    df = df.withColumn("__common", common)
-    ends = F.filter(F.transform("__common", lambda x, k: F.when(F.coalesce(F.get("__common", k + 1) != x, F.lit(True)), k)), lambda k: k.isNotNull())
-    df = df.withColumn("__ends", ends)
-    runs = F.transform("__ends", lambda e, k: F.struct(F.get("__common", e).alias("word"), (e - F.coalesce(F.get("__ends", k - 1), F.lit(-1))).alias("n")))
+    common = add("common", F.sort_array(F.transform(F.filter(words, lambda x: x.isin(forms)), lambda x: F.lower(x))))
+    ends = add("ends", F.filter(F.transform(common, lambda x, k: F.when(F.coalesce(F.get(common, k + 1) != x, F.lit(True)), k)), lambda k: k.isNotNull()))
+    word_runs = F.transform(ends, lambda e, k: F.struct(F.get(common, e).alias("word"), (e - F.coalesce(F.get(ends, k - 1), F.lit(-1))).alias("n")))
 
-    parts = [F.col("__n_chars") - F.col("__word_chars"), F.col("__upper"), F.col("__digit"), F.col("__symbol"), F.col("__marked") - F.col("__upper") - F.col("__digit") - F.col("__symbol")]
-    counts = F.struct(
-        F.col("__n_chars").cast("long").alias("n_chars"), F.col("__n").cast("long").alias("n_words"), F.col("__word_chars").cast("long").alias("word_chars"), F.col("__symbol").cast("long").alias("n_symbols"), F.col("__dups").cast("long").alias("n_dup_lines"), F.col("__repeat").cast("long").alias("n_repeat_words"),
-        F.array(*parts, F.col("__n_chars") - sum(parts[1:], parts[0])).alias("char_bins"), runs.alias("word_runs"),
-    )
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias("__row"), counts.alias("__counts"))
+    parts = [n_chars - word_chars, upper, digit, symbol, marked - upper - digit - symbol]
+    sums = {"n_chars": n_chars, "n_words": n, "word_chars": word_chars, "n_symbols": symbol, "n_dup_lines": dups, "n_repeat_words": repeat}
+    counts = F.struct(*[c.cast("long").alias(name) for name, c in sums.items()], F.array(*parts, n_chars - sum(parts[1:], parts[0])).alias("char_bins"), word_runs.alias("word_runs"))
+    return df.select(*columns(docs), F.monotonically_increasing_id().alias(f"{prefix}row"), counts.alias(f"{prefix}counts"))
 
 
-def language_references(counted: DataFrame, candidates: dict[str, list[str]]) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Shares of character classes and of common words per language of ``candidates``, from all its documents.
+def language_references(counted: DataFrame, candidates: dict[str, list[str]], rules: QualityRules) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Shares of character classes and of common words per language of ``candidates``, from all its documents that pass the base rules.
 
-    counted: lang and the struct ``__counts``. The driver gets a row for each language and candidate at most. Equally
+    counted: lang and the struct ``counts``. The driver gets a row for each language and candidate at most. Equally
     frequent words are taken in alphabetical order.
     """
     if not candidates:
         return {}
-    known = counted.where(F.col("lang").isin(list(candidates)))
+    known = counted.where(F.col("lang").isin(list(candidates)) & ~base_failed(F.col("counts"), rules))
     n = 6
-    sums = known.groupBy("lang").agg(F.sum("__counts.n_words").alias("words"), *[F.sum(F.col("__counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
+    sums = known.groupBy("lang").agg(F.sum("counts.n_words").alias("words"), *[F.sum(F.col("counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
     own = F.create_map(*[c for lang, words in candidates.items() for c in (F.lit(lang), F.array(*map(F.lit, words)).cast("array<string>"))])
     # the outer form, since for the other a filter on the size of the runs is pushed below all steps
-    runs = known.select("lang", F.inline_outer("__counts.word_runs")).where(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word"))).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    runs = known.select("lang", F.inline_outer("counts.word_runs")).where(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word"))).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     made = {}
     for r in sorted(sums, key=lambda r: r["lang"]):
         chars = [r[f"c{i}"] for i in range(n)]
@@ -163,9 +164,13 @@ def word_distance(counts: Column, shares: Column) -> Column:
     return distance(F.concat(seen, F.array(F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, b: a + b))))
 
 
+def base_failed(counts: Column, rules: QualityRules) -> Column:
+    return (counts["n_words"] < rules.min_words) | (100 * counts["n_repeat_words"] > 100 * rules.max_repeat_share * counts["n_words"])
+
+
 def verdict(counts: Column, lang: Column, references: dict[str, tuple[list[float], dict[str, float]]], rules: QualityRules) -> Column:
     """Struct base_failed, char_distance, word_distance, kept; a distance that isn't judged is 0."""
-    failed = (counts["n_words"] < rules.min_words) | (100 * counts["n_repeat_words"] > 100 * rules.max_repeat_share * counts["n_words"])
+    failed = base_failed(counts, rules)
     char = word = F.lit(0.0)
     if references:
         array = lambda shares: F.array(*map(F.lit, shares))
@@ -186,14 +191,20 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     stay repeated. Counts are checkpointed, so texts are read twice: for the common words, and for the counts.
     """
     candidates = common_candidates(docs, rules.min_reference_docs)
-    counted = cut_lineage(with_text_counts(docs.select("doc_id", "lang", "text"), candidates).drop("text"))
-    judged = counted.withColumn("verdict", verdict(F.col("__counts"), F.col("lang"), language_references(counted, candidates), rules))
-    return judged.select("doc_id", *[f"__counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "verdict.base_failed", "verdict.kept", "verdict.char_distance", "verdict.word_distance")
+    own = docs.select("doc_id", "lang", "text")
+    counted = cut_lineage(with_text_counts(own, candidates).select("doc_id", "lang", F.col("__counts").alias("counts")))
+    judged = counted.withColumn("verdict", verdict(F.col("counts"), F.col("lang"), language_references(counted, candidates, rules), rules))
+    return judged.select("doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "verdict.base_failed", "verdict.kept", "verdict.char_distance", "verdict.word_distance")
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns unchanged. Texts are read three times, and never shuffled."""
+    """The rows of ``docs`` that are kept, all columns unchanged. Texts are read three times, and never shuffled.
+
+    Nulls, repeats and empty tables are treated as by ``judge_quality``.
+    """
+    prefix = free_prefix(docs)
     candidates = common_candidates(docs, rules.min_reference_docs)
     counted = with_text_counts(docs, candidates)
-    references = language_references(counted, candidates)
-    return counted.where(verdict(F.col("__counts"), F.col("lang"), references, rules)["kept"] & (F.col("__row") >= 0)).drop("__row", "__counts")
+    counts, row = column(f"{prefix}counts"), column(f"{prefix}row")
+    references = language_references(counted.select("lang", counts.alias("counts")), candidates, rules)
+    return counted.where(verdict(counts, F.col("lang"), references, rules)["kept"] & (row >= 0)).select(*columns(docs))

@@ -442,7 +442,7 @@ def counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(held) - len(set(held)), len(covered)
 
 
-@pytest.mark.parametrize("bits", [21, 3])
+@pytest.mark.parametrize("bits", [31, 62])
 def test_quality_counts(docs, monkeypatch, bits):
     monkeypatch.setattr(quality, "PLACE_BITS", bits)
     texts = [prose(1, 60), prose(2, 200), "a b c " * 40, "é|ü\n\nx\nx\n \n", "", None, "x", "a b c a b c", prose(3, 80).upper() + " #%", "\v\fw\x0b", "a a a a"]

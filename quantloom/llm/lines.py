@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blank_words, bounded_broadcast, column, columns, cut_lineage, free_prefix, shuffle_partitions
+from .common import bounded_broadcast, column, columns, cut_lineage, free_prefix, shuffle_partitions
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
@@ -167,11 +167,7 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 found.sorted_by(word_keys(found.words, ranks.value))
                 hashes, parities = found.identities()
                 at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
-                sets, docs = _dense(hashes, parities), order_of(part.column(0))[found.rows]
-                order = np.lexsort((at, docs, sets))
-                once = np.zeros(len(hashes), bool)
-                once[order[np.concatenate([[True], sets[order][1:] != sets[order][:-1]])] if len(order) else order] = True
-                lengths = np.where(once, prefix_lengths(found.sizes, threshold), 0)
+                lengths = np.where(first_of_sets(found, part.column(0), at), prefix_lengths(found.sizes, threshold), 0)
                 keys = found.heads(lengths)[2]
                 tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -399,25 +395,127 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, repeats: bool)
     part = F.pmod(F.xxhash64("key"), F.coalesce("copies", F.lit(1))).cast("int").alias("part")
     parts = pairs.join(many, F.col("key_a") == F.col("key_m"), "left").select(*pairs.columns, part)
     met = parts.join(texts, "key").join(firsts, (F.col("key_a") == F.col("key_f")) & (F.col("part") == F.col("copy")))
-    words = met.select("hash", "parity", "more", *[F.array_distinct(blank_words(ascii_lower(F.col(x)))).alias(x) for x in ("line", "line_a")])
-    sized = words.select("hash", "parity", "more", F.size(F.array_intersect("line", "line_a")).alias("shared"), (F.size("line") + F.size("line_a")).alias("sizes"))
-    return cut_lineage(sized.select("hash", "parity", "more", (F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).alias("holds")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [[line_words(x) for x in batch.column(k).to_pylist()] for k in (3, 4)]
+            holds = [len(x & y) >= threshold * len(x | y) - 1e-9 for x, y in zip(*both, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(holds, pa.bool_())], ["hash", "parity", "more", "holds"])
+
+    return cut_lineage(met.select("hash", "parity", "more", "line", "line_a").mapInArrow(compare, "hash int, parity long, more boolean, holds boolean"))
+
+
+class Seekers:
+    """Some lines with all their words, which other lines are compared with."""
+
+    def __init__(self, rows: pa.Table, ranks: np.ndarray, threshold: float):
+        found = Lines(rows.column("line").combine_chunks())
+        found.sorted_by(word_keys(found.words, ranks))
+        rows = rows.take(pa.array(found.rows))
+        self.doc, self.at = rows.column("doc_id").combine_chunks(), rows.column("at").to_numpy()
+        self.hash, self.parity = rows.column("hash").to_numpy(), rows.column("parity").to_numpy()
+        self.sizes, self.starts, self.keys, self.threshold = found.sizes, found.starts, found.keys, threshold
+        self.wide = wide_parities(found, np.arange(len(found.starts)))
+        line, place, keys = found.heads(prefix_lengths(found.sizes, threshold))
+        order = np.argsort(keys, kind="stable")
+        self.prefix_keys, self.prefix_line, self.prefix_place = keys[order], line[order], place[order]
+
+    def matched(self, found: Lines, once: np.ndarray, docs: pa.Array, at: np.ndarray) -> np.ndarray:
+        """The seekers for which one of the lines is earlier and similar enough; ``once`` tells which lines count."""
+        line, place, keys = found.heads(np.where(once, prefix_lengths(found.sizes, self.threshold), 0))
+        low, high = np.searchsorted(self.prefix_keys, keys), np.searchsorted(self.prefix_keys, keys, side="right")
+        line, place, low, high = (x[low < high] for x in (line, place, low, high))
+        order = order_of(pa.concat_arrays([docs, self.doc]))
+        own, theirs = order[: len(docs)][found.rows], order[len(docs) :]
+        done = np.zeros(len(self.hash), bool)
+        upto = np.cumsum(high - low)
+        cuts = np.append(np.flatnonzero(np.diff(upto // PAIRS_AT_ONCE, prepend=-1)), len(line))
+        hashes, parities = found.identities()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            n = high[x:y] - low[x:y]
+            entry = np.arange(n.sum()) + np.repeat(low[x:y] - (np.cumsum(n) - n), n)
+            a, b = np.repeat(line[x:y], n), self.prefix_line[entry]
+            sizes = found.sizes[a] + self.sizes[b]
+            need = np.ceil(self.threshold / (1 + self.threshold) * sizes - 1e-9).astype(np.int64)
+            ok = np.minimum(found.sizes[a] - np.repeat(place[x:y], n), self.sizes[b] - self.prefix_place[entry]) >= need
+            ok &= ~done[b] & ((own[a] < theirs[b]) | ((own[a] == theirs[b]) & (at[a] < self.at[b])))
+            ok &= np.bitwise_count((parities[a] ^ self.parity[b]).view(np.uint64)) <= sizes - 2 * need
+            pairs = np.unique(a[ok] << 32 | b[ok])
+            a, b = pairs >> 32, pairs & _LOW32
+            ok = (hashes[a] != self.hash[b]) | (parities[a] != self.parity[b])
+            a, b = a[ok], b[ok]
+            sizes = found.sizes[a] + self.sizes[b]
+            need = np.ceil(self.threshold / (1 + self.threshold) * sizes - 1e-9).astype(np.int64)
+            ok = np.bitwise_count(wide_parities(found, a) ^ self.wide[b]).sum(axis=1, dtype=np.int64) <= sizes - 2 * need
+            for i, j, least in zip(a[ok].tolist(), b[ok].tolist(), need[ok].tolist(), strict=True):
+                if not done[j]:
+                    mine, other = found.keys[found.starts[i] : found.starts[i] + found.sizes[i]], self.keys[self.starts[j] : self.starts[j] + self.sizes[j]]
+                    done[j] = len(np.intersect1d(mine, other, assume_unique=True)) >= least
+        return np.flatnonzero(done)
+
+
+def wide_parities(found: Lines, lines: np.ndarray) -> np.ndarray:
+    """Parity signatures of 512 bits of some of the lines, as rows of eight numbers."""
+    each, at = np.unique(lines, return_inverse=True)
+    sizes = found.sizes[each]
+    row = np.repeat(np.arange(len(each)), sizes)
+    keys = found.keys[np.arange(len(row)) + np.repeat(found.starts[each] - (np.cumsum(sizes) - sizes), sizes)]
+    out = np.zeros(8 * len(each), np.uint64)
+    np.bitwise_xor.at(out, 8 * row + (keys >> np.uint64(6) & np.uint64(7)).astype(np.int64), np.uint64(1) << (keys & np.uint64(63)))
+    return out.reshape(-1, 8)[at]
+
+
+#: Bytes of lines that may be compared with all others in one pass over the texts; more of them meet in shuffles.
+SEEKER_BYTES = 48 << 20
+
+
+def compared_with_all(docs: DataFrame, seekers: DataFrame, ranks, threshold: float, repeats: bool) -> DataFrame | None:
+    """(hash, parity) of the seekers (key, hash, parity) with an earlier similar line, found in one pass over the texts.
+
+    The words of the seekers are handed to all tasks; None if that is too much.
+    """
+    lines = cut_lineage(line_texts(docs, seekers.select("key"), repeats).join(seekers, "key").select("key.doc_id", "key.at", "hash", "parity", "line"))
+    if lines.agg(F.coalesce(F.sum(F.octet_length("line") + 64), F.lit(0))).first()[0] > SEEKER_BYTES:
+        return None
+    held = docs.sparkSession.sparkContext.broadcast(Seekers(lines.toArrow(), ranks.value, threshold))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                found = Lines(part.column(2))
+                found.sorted_by(word_keys(found.words, ranks.value))
+                at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
+                done = held.value.matched(found, first_of_sets(found, part.column(0), at), part.column(0), at)
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.hash[done]), pa.array(held.value.parity[done])], ["hash", "parity"])
+
+    return cut_lineage(docs.select("doc_id", "text_bits", "text").mapInArrow(match, "hash int, parity long").distinct())
+
+
+def first_of_sets(found: Lines, docs: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Which lines are the earliest of those of the texts that have their set."""
+    sets, docs = _dense(*found.identities()), order_of(docs)[found.rows]
+    order = np.lexsort((at, docs, sets))
+    once = np.zeros(len(sets), bool)
+    once[order[np.concatenate([[True], sets[order][1:] != sets[order][:-1]])] if len(order) else order] = True
+    return once
 
 
-def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, threshold: float, repeats: bool) -> DataFrame:
+def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, ranks, threshold: float, repeats: bool) -> DataFrame:
     """(hash, parity) of every class for which a class of another set with an earlier first line is similar enough."""
     spark = docs.sparkSession
     total, heavy = heavy_words(sets)
     n_buckets = max(8 * shuffle_partitions(spark), total // BUCKET_ENTRIES)
     held = spark.sparkContext.broadcast((np.array([t for t, _ in heavy], np.int32), np.array([g for _, g in heavy], np.int64)))
     pairs = earlier_partners(first_entries(sets, held, n_buckets), threshold, 8, False)
-    # the best partner first, and where it fails the others
-    best = verified(docs, pairs.select("*", F.col("partners")[0].alias("a")).select("*", "a.doc_a", "a.at_a"), threshold, repeats)
-    failed = best.where("not holds").select("hash", "parity")
-    others = pairs.join(bounded_broadcast(failed), ["hash", "parity"], "left_semi").select("hash", "parity", "doc_id", "at", "more", F.inline(F.slice("partners", 2, 1 << 30)))
-    second = verified(docs, others, threshold, repeats)
-    matched = best.unionByName(second).where("holds").select("hash", "parity").distinct()
-    seekers, most = best.where("not holds and more").select("hash", "parity").join(matched, ["hash", "parity"], "left_anti"), 128
+    best = verified(docs, pairs.select("*", F.col("partners")[0].alias("a")).select("hash", "parity", "doc_id", "at", "more", "a.doc_a", "a.at_a"), threshold, repeats)
+    matched = best.where("holds").select("hash", "parity")
+    # a set whose best partner fails may have another
+    failed = best.where("not holds").select("hash", "parity").join(pairs.where("more or size(partners) > 1"), ["hash", "parity"])
+    seekers, most = cut_lineage(failed.select(F.struct("doc_id", "at").alias("key"), "hash", "parity")), 128
+    found = None if heavy else compared_with_all(docs, seekers, ranks, threshold, repeats)
+    if found is not None:
+        return cut_lineage(matched.unionByName(found).distinct())
+    seekers = seekers.drop("key")
     # also those that met only a part of a word's classes
     if heavy:
         words = spark.createDataFrame([t for t, _ in heavy], "int").withColumnRenamed("value", "token")
@@ -476,7 +574,7 @@ def later_lines(docs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
     docs = docs.select("doc_id", "text", text_bits(repeats).alias("text_bits"))
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
     sets = cut_lineage(line_sets(docs, ranks, threshold))
-    matched = classes_with_earlier_match(docs, sets, threshold, repeats)
+    matched = classes_with_earlier_match(docs, sets, ranks, threshold, repeats)
     lines = sets.select("doc_id", "at", "hash", "parity")
     repeated = lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # all lines of a matched class go, and those after the first of any other

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, cut_lineage
+from .common import ascii_lower, bounded_broadcast, column, cut_lineage, free_prefix
 
 #: Rows of a table of item shingles that may be broadcast; with more, the joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -110,6 +110,7 @@ def report_contamination(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, in which no window of an item occurs."""
-    hits = bounded_broadcast(contamination(docs, items, **options).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
+    doc, text = f"{free_prefix(docs)}doc_id", f"{free_prefix(docs)}text_hash"
+    hits = bounded_broadcast(contamination(docs, items, **options).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)))
+    same = F.col("doc_id").eqNullSafe(column(doc)) & (F.xxhash64("text") == column(text))
     return docs.join(hits, same, "left_anti")

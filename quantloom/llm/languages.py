@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Positions of a filter (2 to this power) and hash functions; also the bound on what the driver gathers.
 FILTER_BITS, N_HASHES = 20, 3
-#: Languages that one mask holds.
-MAX_LANGUAGES = 64
+#: Languages that one mask holds, and languages that are told apart at most, the most frequent ones.
+MASK_LANGUAGES, MAX_LANGUAGES = 64, 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Characters that are looked up at once.
 _CHUNK = 2_000_000
@@ -52,23 +52,23 @@ def positions(keys: np.ndarray, which: int) -> np.ndarray:
 
 
 class LanguageFilters:
-    """The bit-sliced filters of the languages, sorted by name."""
+    """The bit-sliced filters of the languages, sorted by name: a row of masks for every 64 of them."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
         self.languages, self.masks = languages, masks.astype(kind)
-        self.bits = [kind(1 << i) for i in range(len(languages))]
-        self.false_rate = np.array([np.count_nonzero(self.masks & b) / len(masks) for b in self.bits]) ** N_HASHES
+        self.bits = [(i // MASK_LANGUAGES, kind(1 << i % MASK_LANGUAGES)) for i in range(len(languages))]
+        self.false_rate = np.array([np.count_nonzero(self.masks[row] & b) / masks.shape[1] for row, b in self.bits]) ** N_HASHES
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 without letters or languages."""
         keys, starts, n = trigrams(texts)
-        masks = self.masks[positions(keys, 0)]
+        masks = self.masks[:, positions(keys, 0)]
         for i in range(1, N_HASHES):
-            masks = masks & self.masks[positions(keys, i)]
+            masks = masks & self.masks[:, positions(keys, i)]
         share = np.zeros((len(texts), len(self.languages)))
-        for i, bit in enumerate(self.bits):
-            upto = np.concatenate([[0], np.cumsum((masks & bit) != 0)])
+        for i, (row, bit) in enumerate(self.bits):
+            upto = np.concatenate([[0], np.cumsum((masks[row] & bit) != 0)])
             hits = (upto[starts[1:]] - upto[starts[:-1]]) / np.maximum(n, 1)
             share[:, i] = np.maximum(0, (hits - self.false_rate[i]) / max(1e-9, 1 - self.false_rate[i]))
         if not self.languages:
@@ -93,18 +93,17 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def learn_filters(docs: DataFrame, *, max_docs: int = 10_000, min_count: int = 3, min_ratio: float = 0.1) -> LanguageFilters:
     """Filters from the rows of ``docs`` (doc_id, lang, text) with a language and a text.
 
-    Of a language about ``max_docs`` documents, those with the least hashes of doc_id, are learned from: a documented
+    The MAX_LANGUAGES most frequent languages are learned. Of each about ``max_docs`` documents, those with the least hashes of doc_id, are learned from: a documented
     bound on the sample. A trigram belongs to a language if it occurs at least ``min_count`` times and its share of the
     language's trigrams is at least ``min_ratio`` of its largest share in any language.
     """
     labelled = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"a mask holds {MAX_LANGUAGES} languages, not {len(sizes)}")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageFilters([], np.zeros(1 << FILTER_BITS, np.uint64))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))) for lang, n in sizes.items()])
+        return LanguageFilters([], np.zeros((1, 1 << FILTER_BITS), np.uint64))
+    by_language = lambda held: F.try_element_at(F.create_map(*[F.lit(x) for pair in held.items() for x in pair]), F.col("lang"))
+    share = by_language({lang: min(1.0, max_docs / n) for lang, n in sizes.items()})
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,22 +116,26 @@ def learn_filters(docs: DataFrame, *, max_docs: int = 10_000, min_count: int = 3
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(float(n))) for lang, n in totals.items()], F.lit(1.0))
-    bit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(i)) for i, lang in enumerate(languages)])
+    if not totals:
+        return LanguageFilters([], np.zeros((1, 1 << FILTER_BITS), np.uint64))
+    total, bit = by_language({lang: float(n) for lang, n in totals.items()}), by_language({lang: i for i, lang in enumerate(languages)})
     grams = counts.withColumn("share", F.col("n") / total).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct(bit.alias("bit"), "n", "share")).alias("langs"))
     kept = F.filter("langs", lambda x: (x["n"] >= min_count) & (x["share"] >= min_ratio * F.col("most")))
-    mask = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])))
-    masked = grams.select("gram", mask.alias("mask")).where("mask != 0")
+    rows = F.array_distinct(F.transform(kept, lambda x: F.floor(x["bit"] / MASK_LANGUAGES).cast("int")))
+    of_row = lambda row: F.filter(kept, lambda x: F.floor(x["bit"] / MASK_LANGUAGES) == row)
+    mask = lambda row: F.aggregate(of_row(row), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"] % MASK_LANGUAGES)))
+    masked = grams.select("gram", F.explode(F.transform(rows, lambda row: F.struct(row.alias("row"), mask(row).alias("mask")))).alias("x")).select("gram", "x.*")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys = frame["gram"].to_numpy().astype(np.uint64)
             for i in range(N_HASHES):
-                yield pd.DataFrame({"position": positions(keys, i), "mask": frame["mask"]})
+                yield pd.DataFrame({"position": positions(keys, i), "row": frame["row"], "mask": frame["mask"]})
 
-    rows = masked.mapInPandas(place, "position long, mask long").groupBy("position").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2 ** FILTER_BITS rows at most
-    masks = np.zeros(1 << FILTER_BITS, np.uint64)
-    masks[rows["position"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).astype(np.uint64)
+    # 2 ** FILTER_BITS rows at most for every 64 languages
+    made = masked.mapInPandas(place, "position long, row int, mask long").groupBy("position", "row").agg(F.bit_or("mask").alias("mask")).toPandas()
+    masks = np.zeros((-(-len(languages) // MASK_LANGUAGES), 1 << FILTER_BITS), np.uint64)
+    masks[made["row"].to_numpy(np.int64), made["position"].to_numpy(np.int64)] = made["mask"].to_numpy(np.int64).astype(np.uint64)
     return LanguageFilters(languages, masks)
 
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut_lineage, n_blank_words
+from .common import bounded_broadcast, column, columns, cut_lineage, free_prefix, n_blank_words
 
 #: Bins of finish times; also the bound on the rows that one task sums and on what is broadcast.
 TIME_BINS = 4096
@@ -78,8 +78,8 @@ def mix_bounds(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_sh
     return joined.select("t.source", "source_size", "target", F.array(*[f"e{e}" for e in range(max_epochs)]).alias("last"))
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target and taken (struct ``__mix``).
+def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2, seed: int = 0, mix: str = "__mix") -> DataFrame:
+    """All rows and columns of ``docs`` with size, source_size, target and taken (struct ``mix``, named ``__mix`` by default).
 
     ``taken`` counts the words that the mix takes of a document, repeats counted: up to ``max_epochs`` times its size.
     Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none. Rows that agree in doc_id, source and size share a place in
@@ -87,11 +87,13 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_s
     result; if no source has words, targets and taken are 0. Columns of ``docs`` keep their names, whatever they are.
     """
     bounds = mix_bounds(docs, weights=weights, budget_share=budget_share, max_epochs=max_epochs, seed=seed)
-    bounds = bounds.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("last").alias("__last"))
+    prefix = free_prefix(docs)
+    of = lambda name: column(f"{prefix}{name}")
+    bounds = bounds.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("source", "source_size", "target", "last")])
     bounds = bounded_broadcast(bounds)
-    keyed = docs.withColumns({"__size": n_blank_words(F.col("text")), "__key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
-    placed = keyed.join(bounds, F.col("source").eqNullSafe(F.col("__source")), "left")
-    here = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__size").alias("size"))
-    taken = sum((F.when(here <= F.col("__last")[e], F.col("__size")).otherwise(F.lit(0)) for e in range(max_epochs)), F.lit(0))
-    mix = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("__mix"))
+    keyed = docs.withColumns({f"{prefix}size": n_blank_words(F.col("text")), f"{prefix}key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
+    placed = keyed.join(bounds, F.col("source").eqNullSafe(of("source")), "left")
+    here = F.struct(of("key").alias("key"), F.col("doc_id"), of("size").alias("size"))
+    taken = sum((F.when(here <= of("last")[e], of("size")).otherwise(F.lit(0)) for e in range(max_epochs)), F.lit(0))
+    mix_of = F.struct(of("size").alias("size"), of("source_size").alias("source_size"), of("target").alias("target"), taken.cast("long").alias("taken"))
+    return placed.select(*columns(docs), mix_of.alias(mix))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut_lineage
+from .common import bounded_broadcast, column, cut_lineage, free_prefix
 
 SEED = 42
 
@@ -115,8 +115,9 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, most: int = 3) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     kept = counted.groupBy("component_id").agg(F.min(row).alias("row"))
     marked = cut_lineage(counted.alias("c").join(kept.alias("k"), F.expr("c.component_id <=> k.component_id")).select("doc_id", "text_hash", "n", (row == F.col("k.row")).alias("stays")))
-    gone = bounded_broadcast(marked.where("not stays").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__text_hash"))
+    doc, text = f"{free_prefix(docs)}doc_id", f"{free_prefix(docs)}text_hash"
+    gone = bounded_broadcast(marked.where("not stays").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct())
+    same = F.col("doc_id").eqNullSafe(column(doc)) & F.xxhash64("text").eqNullSafe(column(text))
     left = docs.join(gone, same, "left_anti")
     repeats = marked.where("stays and n > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeats else left

@@ -178,6 +178,26 @@ def test_languages(docs):
     assert languages.identify_languages(docs([])).count() == 0
 
 
+def test_over_64_languages(docs):
+    words = lambda k: [f"{a}{b}" for a in (chr(200 + 2 * k), chr(1100 + k)) for b in ("ab", "be", "im", "or")]
+    rows = [(100 * k + i, prose(i, 30, words(k)), f"l{k:02}") for k in range(70) for i in range(6)]
+    made = languages.identify_languages(docs(rows)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in made} == {i: lang for i, _, lang in rows}
+
+
+def test_languages_by_brute_force(docs):
+    """The filters' answers are those of plain sets of trigrams, up to false positives."""
+    vocab = {"xx": ["zug", "zag", "zoom", "buzz"], "yy": ["mani", "lino", "pane", "zoom"]}
+    rows = [(i, prose(i, 40, vocab[lang]), lang) for i, lang in enumerate(["xx", "yy"] * 40)]
+    learned = languages.learn_filters(docs(rows), min_count=1, min_ratio=0.0)
+    grams = {lang: {key for _, t, x in rows if x == lang for key in languages.trigrams([t])[0].tolist()} for lang in vocab}
+    for k in range(20):
+        keys = languages.trigrams([prose(900 + k, 30, vocab["xx"] + vocab["yy"])])[0].tolist()
+        share = {lang: sum(key in grams[lang] for key in keys) / len(keys) for lang in vocab}
+        (lang,), _ = learned.predict([prose(900 + k, 30, vocab["xx"] + vocab["yy"])])
+        assert share[lang] == max(share.values())
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 

@@ -6,12 +6,11 @@ at most. All stages but the last return the columns of ``documents``; the last a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm.common import table
+from quantloom.llm.common import shared_folder, table
 from quantloom.llm.decontaminate import keep_uncontaminated
 from quantloom.llm.lines import keep_first_lines
 from quantloom.llm.mixing import mix_sources
@@ -61,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is kept beside the checkpoints, which executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    docs, place = table(spark, sf_dir, "documents"), f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, place = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
         docs = spark.read.parquet(f"{place}/{k}-{name}")

@@ -28,6 +28,8 @@ from .common import bounded_broadcast, column, columns, cut_lineage, free_prefix
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
+#: Words of a set beyond which its parity signature is wider.
+WIDE = 64
 #: Bytes of text that a task takes apart at once.
 CHUNK_BYTES = 4 << 20
 
@@ -77,6 +79,20 @@ class Lines:
         sums = np.add.reduceat(mixed ^ mixed >> np.uint64(32), self.starts)
         return (sums >> np.uint64(32)).astype(np.uint32).view(np.int32), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
 
+    def quarters(self) -> list[np.ndarray]:
+        """The parities of 256 bits, but for the first 64, which follow from these and the parity of 64 bits; 0 for small sets.
+
+        Sets of over WIDE words have 128 bits, of twice as many 256: where sets may differ in many words, few bits are
+        full. The wider signatures fold to the narrower ones.
+        """
+        if not len(self.starts):
+            return [np.zeros(0, np.int64)] * 3
+        bits, part = np.left_shift(np.uint64(1), self.keys & np.uint64(63)), self.keys >> np.uint64(6) & np.uint64(3)
+        q = [np.bitwise_xor.reduceat(np.where(part == np.uint64(k), bits, np.uint64(0)), self.starts).view(np.int64) for k in (1, 2, 3)]
+        widest = self.sizes > 2 * WIDE
+        first = np.where(widest, q[0], np.where(self.sizes > WIDE, q[0] ^ q[2], 0))
+        return [first, np.where(widest, q[1], 0), np.where(widest, q[2], 0)]
+
     def heads(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first words of each line: the line, the place in it and the key."""
         total = int(lengths.sum())
@@ -171,10 +187,10 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 keys = found.heads(lengths)[2]
                 tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), *map(pa.array, found.quarters()), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "w1", "w2", "w3", "size", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, size int, prefix array<int>")
+    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, w1 long, w2 long, w3 long, size int, prefix array<int>")
 
 
 def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
@@ -193,7 +209,7 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, at, hashes, parities, sizes, prefix = batch.columns
+            doc, at, hashes, parities, w1, w2, w3, sizes, prefix = batch.columns
             tokens, rows = prefix.flatten().to_numpy(), pc.list_parent_indices(prefix).to_numpy()
             places = np.arange(len(rows)) - (prefix.offsets.to_numpy() - prefix.offsets[0].as_py())[rows]
             buckets = _spread(tokens, hashes.to_numpy()[rows], heavy.value, n_buckets)
@@ -201,10 +217,10 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
             rows, buckets = rows[order], buckets[order]
             cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(rows) else np.zeros(0, np.int64)
             ends, taken = pa.array(np.append(cuts, len(rows)), pa.int32()), pa.array(rows)
-            flat = [pa.array(tokens[order]), *[c.take(taken) for c in (hashes, parities, sizes)], pa.array(places[order], pa.int32()), doc.take(taken), at.take(taken)]
+            flat = [pa.array(tokens[order]), *[c.take(taken) for c in (hashes, parities, w1, w2, w3, sizes)], pa.array(places[order], pa.int32()), doc.take(taken), at.take(taken)]
             yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), *[pa.ListArray.from_arrays(ends, c) for c in flat]], names)
 
-    shape = f"bucket int, token array<int>, hash array<int>, parity array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
+    shape = f"bucket int, token array<int>, hash array<int>, parity array<long>, w1 array<long>, w2 array<long>, w3 array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
     names = [c.split()[0] for c in shape.split(", ")]
     return sets.where(F.size("prefix") > 0).mapInArrow(deal, shape)
 
@@ -234,6 +250,10 @@ class Entries:
         order, self.kind, self.rank, self.token, self.seek, self.size = order[by], kind[by], rank[order][by], token[order][by], seek[by], size[by]
         self.place, self.hash, self.parity = flat["place"].to_numpy()[order].astype(np.int64), hashes[order], parity[order]
         self.doc, self.at, self.threshold = doc.take(pa.array(order)), at[order], threshold
+        w1, w2, w3 = (flat[n].to_numpy()[order] for n in ("w1", "w2", "w3"))
+        self.wide, self.widest = self.size > WIDE, self.size > 2 * WIDE
+        odd = w1 ^ w3  # a set that is wide but not widest has its odd half in w1
+        self.halves, self.quarters = (self.parity ^ odd, odd), (self.parity ^ w1 ^ w2 ^ w3, w1, w2, w3)
         self.keys = self._key(self.token, self.kind, self.rank)
 
     @staticmethod
@@ -283,12 +303,20 @@ class Entries:
         ok = np.minimum(size_b - self.place[b], size_a - self.place[a]) >= need
         ok &= np.minimum(size_b, size_a) >= self.threshold * np.maximum(size_b, size_a) - 1e-9
         b, a, most = b[ok], a[ok], (sizes - 2 * need)[ok]  # words that the sets may differ in
-        # of signed numbers bitwise_count takes the absolute value
-        differ = np.bitwise_count((self.parity[b] ^ self.parity[a]).view(np.uint64)).astype(np.int64)
+        differ = self._differ((self.parity,), b, a)
+        for parts, has in ((self.halves, self.wide), (self.quarters, self.widest)):
+            both = np.flatnonzero((differ <= most) & has[b] & has[a])
+            differ[both] = self._differ(parts, b[both], a[both])
         ok = (differ <= most) & ((self.hash[b] != self.hash[a]) | (differ > 0))
         return b[ok], a[ok], (10 * differ - 6 * most + 5)[ok]
 
 
+    @staticmethod
+    def _differ(parts: tuple[np.ndarray, ...], b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        # of signed numbers bitwise_count takes the absolute value
+        return sum((np.bitwise_count((x[b] ^ x[a]).view(np.uint64)).astype(np.int64) for x in parts), np.zeros(len(b), np.int64))
+
+
 def order_of(ids: pa.Array) -> np.ndarray:
     """Dense ranks of ids, null first."""
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
@@ -378,7 +406,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
     held = docs.join(bounded_broadcast(lines), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_bits") == F.col("bits")))
     held = held.select("doc_id", F.split("text", "\n").alias("lines"), "ats")
     picked = F.transform("ats", lambda at: F.struct(F.struct(F.col("doc_id"), at.alias("at")).alias("key"), F.get("lines", F.shiftright(at, 32).cast("int")).alias("line")))
-    texts = held.select(F.explode(picked).alias("x")).select("x.*").repartition("key")
+    texts = held.select(F.explode(picked).alias("x")).select("x.*")
     return texts.groupBy("key").agg(F.first("line").alias("line")) if repeats else texts
 
 
@@ -533,13 +561,13 @@ def classes_with_earlier_match(docs: DataFrame, sets: DataFrame, ranks, threshol
 
 def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> DataFrame:
     """The entries of all words of the seekers, those of the seekers marked and sent to every part of their words."""
-    flat = sets.select("doc_id", "at", "hash", "parity", "size", F.posexplode("prefix").alias("place", "token"))
+    flat = sets.select("doc_id", "at", "hash", "parity", "w1", "w2", "w3", "size", F.posexplode("prefix").alias("place", "token"))
     seekers = bounded_broadcast(seekers)
     own = cut_lineage(flat.join(seekers, ["hash", "parity"], "left_semi"))
     words = bounded_broadcast(own.select("token").distinct())
     every = flat.join(words, "token", "left_semi").withColumn("seek", F.lit(False)).unionByName(own.withColumn("seek", F.lit(True)))
     id_type = sets.schema["doc_id"].dataType.simpleString()
-    names = ["bucket", "token", "hash", "parity", "size", "place", "doc_id", "at", "seek"]
+    names = ["bucket", "token", "hash", "parity", "w1", "w2", "w3", "size", "place", "doc_id", "at", "seek"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts = heavy.value
@@ -554,7 +582,7 @@ def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> D
             buckets = _spread(token[rows], spread, heavy.value, n_buckets)
             yield pa.RecordBatch.from_arrays([pa.array(buckets), *[columns[n].take(pa.array(rows)) for n in names[1:]]], names)
 
-    shape = f"bucket int, token int, hash int, parity long, size int, place int, doc_id {id_type}, at long, seek boolean"
+    shape = f"bucket int, token int, hash int, parity long, w1 long, w2 long, w3 long, size int, place int, doc_id {id_type}, at long, seek boolean"
     dealt = every.select(*names[1:]).mapInArrow(deal, shape)
     packed = dealt.groupBy("bucket").agg(F.collect_list(F.struct(*names[1:])).alias("e"))
     return packed.select("bucket", *[F.col(f"e.{n}").alias(n) for n in names[1:]])

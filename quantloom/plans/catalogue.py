@@ -387,10 +387,12 @@ def matrix_sql(cell: Callable[[str, str, int, int], str]) -> str:
 
 COV_SQL = matrix_sql(lambda a, b, i, j: f"covar_samp({a}, {b})")
 CORR_SQL = matrix_sql(lambda a, b, i, j: "1.0::double" if i == j else f"corr({a}, {b})")
+CORR_STD_SQL = (f"with {EMB}, m as materialized (select " + ", ".join(f"{'1.0::double' if i == j else f'corr({DIMS[min(i, j)]}, {DIMS[max(i, j)]})'} as m{i}_{j}" for i in range(8) for j in range(8)) + ", " + ", ".join(f"stddev_samp({c}) as s{i}" for i, c in enumerate(DIMS)) + " from v) "
+    + " union all ".join(f"select {i} as i, {j} as j, {r6(f'm{i}_{j}')} as value, {r6(f's{i}')} as std_i from m" for i in range(8) for j in range(8)))
 add("covariance_matrix", lambda s, d: M.covariance_matrix(embedding_columns(s, d), DIMS).select("i", "j", rounded("value").alias("value")), f"with {COV_SQL} select i, j, {r6('value')} as value from x")
 add("correlation_matrix", lambda s, d: M.correlation_matrix(embedding_columns(s, d), DIMS).select("i", "j", rounded("value").alias("value")), f"with {CORR_SQL} select i, j, {r6('value')} as value from x")
 add("distance_matrix", lambda s, d: M.distance_matrix(M.correlation_matrix(embedding_columns(s, d), DIMS), "angular").select("i", "j", rounded("value").alias("value")), f"with {CORR_SQL} select i, j, {r6('acos(greatest(least(value, 1), -1)) / pi()')} as value from x")
-add("cov_to_corr", lambda s, d: M.cov_to_corr(M.covariance_matrix(embedding_columns(s, d), DIMS)).select("i", "j", rounded("value").alias("value"), rounded("std_i").alias("std_i")), f"with {COV_SQL} select a.i, a.j, {r6('case when a.i = a.j then 1.0 else a.value / sqrt(b.value * c.value) end')} as value, {r6('sqrt(b.value)')} as std_i from x a join x b on b.i = a.i and b.j = a.i join x c on c.i = a.j and c.j = a.j")
+add("cov_to_corr", lambda s, d: M.cov_to_corr(M.covariance_matrix(embedding_columns(s, d), DIMS)).select("i", "j", rounded("value").alias("value"), rounded("std_i").alias("std_i")), CORR_STD_SQL)
 add("corr_to_cov", lambda s, d: (lambda e: M.corr_to_cov(M.correlation_matrix(e, DIMS), M.covariance_matrix(e, DIMS).where("i = j").select(F.col("i").alias("k"), F.sqrt("value").alias("std"))))(embedding_columns(s, d)).select("i", "j", rounded("value").alias("value")), f"with {COV_SQL} select i, j, {r6('value')} as value from x")
 add("norm_distance", lambda s, d: (lambda e: M.norm_distance(M.correlation_matrix(e.where("label % 2 = 0"), DIMS), M.correlation_matrix(e.where("label % 2 = 1"), DIMS)))(embedding_columns(s, d)).select(rounded("distance").alias("value")),
     f"with {EMB}, g as (select label % 2 as h, " + ", ".join(f"corr({DIMS[i]}, {DIMS[j]}) as m{i}_{j}" for i in range(8) for j in range(i + 1, 8)) + f" from v group by label % 2) select {r6('sqrt(2 * (' + ' + '.join(f'pow(max(m{i}_{j}) - min(m{i}_{j}), 2)' for i in range(8) for j in range(i + 1, 8)) + ')) / 8')} as value from g")

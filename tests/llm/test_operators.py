@@ -369,13 +369,13 @@ def later_places(rows, threshold=0.8):
     return out
 
 
-def varied_lines(seed, n_docs, vocabulary):
+def varied_lines(seed, n_docs, vocabulary, lengths=(1, 40), edits=(0, 1, 1, 2, 3, 5)):
     r = random.Random(seed)
-    base = [prose(9 * seed + k, r.randint(1, 40), [f"w{x}" for x in range(vocabulary)]) for k in range(30)]
+    base = [prose(9 * seed + k, r.randint(*lengths), [f"w{x}" for x in range(vocabulary)]) for k in range(30)]
 
     def vary(line):
         words = line.split()
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+        for _ in range(r.choice(edits)):
             words[r.randrange(len(words))] = f"v{r.randrange(99)}"
         return " ".join(words)
 
@@ -397,6 +397,13 @@ def test_line_dedup_loses_no_match(docs, monkeypatch, vocabulary, heavy):
     assert made == dict(later_places(rows))
 
 
+@pytest.mark.parametrize("bound", [48 << 20, -1])
+def test_line_dedup_of_long_lines(docs, monkeypatch, bound):
+    monkeypatch.setattr(lines, "SEEKER_BYTES", bound)  # those whose best partner fails in a pass over the texts, or by shuffles
+    rows = varied_lines(5, 60, 300, (40, 220), (0, 1, 3, 6, 9, 14, 20, 30))
+    assert {r["doc_id"]: r["__gone"] or [] for r in lines.dedup_lines(docs(rows)).collect()} == dict(later_places(rows))
+
+
 def test_line_dedup_of_a_large_group(docs):
     words = [f"w{x}" for x in range(20)]
     rows = [(i, " ".join([*words[: i % 20], f"x{i}", *words[i % 20 + 1 :]])) for i in range(4000)]

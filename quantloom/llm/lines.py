@@ -56,6 +56,13 @@ class Lines:
         self.words, self.codes, self.owner = flat.dictionary, flat.indices.to_numpy(), owner
         self.rows, self.places = rows, places
 
+    def restrict(self, wanted: np.ndarray) -> None:
+        """Keep the lines that have one of the words for which ``wanted`` is true."""
+        lines = np.zeros(len(self.rows), bool)
+        lines[self.owner[wanted[self.codes]]] = True
+        keep = lines[self.owner]
+        self.codes, self.owner = self.codes[keep], self.owner[keep]
+
     def sorted_by(self, keys: np.ndarray) -> None:
         """Drop repeated words of a line and put the rest in order of their keys: adds line numbers, starts and keys."""
         order = np.argsort(keys, kind="stable")
@@ -511,7 +518,9 @@ def compared_with_all(docs: DataFrame, seekers: DataFrame, ranks, threshold: flo
         for batch in batches:
             for part in chunks(batch, 2):
                 found = Lines(part.column(2))
-                found.sorted_by(word_keys(found.words, ranks.value))
+                keys, known = word_keys(found.words, ranks.value), held.value.prefix_keys
+                found.restrict(np.searchsorted(known, keys) < np.searchsorted(known, keys, side="right"))
+                found.sorted_by(keys)
                 at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
                 done = held.value.matched(found, first_of_sets(found, part.column(0), at), part.column(0), at)
                 yield pa.RecordBatch.from_arrays([pa.array(held.value.hash[done]), pa.array(held.value.parity[done])], ["hash", "parity"])

@@ -121,12 +121,14 @@ def language_references(counted: DataFrame, candidates: dict[str, list[str]], ru
     """
     if not candidates:
         return {}
-    known = counted.where(F.col("lang").isin(list(candidates)) & ~base_failed(F.col("counts"), rules))
+    # conditions within the sums, since a filter on the counts is pushed below all their steps, which repeats them
+    known, ok = counted.where(F.col("lang").isin(list(candidates))), ~base_failed(F.col("counts"), rules)
     n = 6
-    sums = known.groupBy("lang").agg(F.sum("counts.n_words").alias("words"), *[F.sum(F.col("counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
+    of = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0))
+    sums = known.groupBy("lang").agg(of(F.col("counts.n_words")).alias("words"), *[of(F.col("counts.char_bins")[i]).alias(f"c{i}") for i in range(n)]).collect()
     own = F.create_map(*[c for lang, words in candidates.items() for c in (F.lit(lang), F.array(*map(F.lit, words)).cast("array<string>"))])
-    # the outer form, since for the other a filter on the size of the runs is pushed below all steps
-    runs = known.select("lang", F.inline_outer("counts.word_runs")).where(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word"))).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    # the outer form, since for the other a filter on the size of the runs is pushed below all steps, too
+    runs = known.select("lang", ok.alias("ok"), F.inline_outer("counts.word_runs")).where(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word"))).groupBy("lang", "word").agg(F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("n")).collect()
     made = {}
     for r in sorted(sums, key=lambda r: r["lang"]):
         chars = [r[f"c{i}"] for i in range(n)]

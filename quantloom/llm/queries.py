@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from .common import table
+from .common import BLANK_CLASS, ascii_lower, blank_words, let, table
 from .decontaminate import report_contamination
 from .html import extract_main_text
 from .languages import identify_languages
 from .lines import dedup_lines
+from .manifest import prove
 from .mixing import mix_sources
+from .packing import pack
+from .periodic import find_runs
 from .personal import KINDS, find_personal
 from .quality import judge_quality
 from .simhash import hex_mark, near_duplicates
@@ -71,6 +74,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _crc_of_id() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def plant_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a periodic end in every tenth document, as the query's definition has it."""
+    h = _crc_of_id()
+
+    def periodic(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = blank_words(F.col("text"))
+    planted = (h % 10 == 0) & F.col("text").rlike(f"[^{BLANK_CLASS}]")
+    return docs.select("doc_id", F.when(planted, let(words, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(plant_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)  # noqa: E731  runs are sorted, so ties keep the first
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove(table(spark, sf_dir, "documents"), _crc_of_id() % 5 == 0, {"text": ascii_lower(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pack_sequences": op11_pack_sequences,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {

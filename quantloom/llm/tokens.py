@@ -46,16 +46,24 @@ class PreTokens:
         if pattern != SPLIT:
             raise ValueError(f"the tokenizer splits by another pattern: {pattern}")
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.special = re.compile("|".join(special)) if special else None
-        self.other = re.compile("[İɐ-\U0010ffff]")
+        self.special = re.compile("(" + "|".join(special) + ")") if special else None
+        # what isn't below U+0250, or isn't once it is lower-cased
+        self.other = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "ɏ") + "ɐ-\U0010ffff]")
         self.latin, self.stand_ins = re.compile(SPLIT_LATIN), {}
 
+    def _parts(self, text: str) -> list[str]:
+        """The text cut at special tokens: every second part is one."""
+        return self.special.split(text) if self.special and "<|" in text else [text]
+
     def split(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens, and how many special tokens stand between them."""
-        if self.special and "<|" in text and self.special.search(text):
-            parts = self.special.split(text)
-            return [t for p in parts for t in self._plain(p)], len(parts) - 1
-        return self._plain(text), 0
+        parts = self._parts(text)
+        return (self._plain(text), 0) if len(parts) == 1 else ([t for p in parts[::2] for t in self._plain(p)], len(parts) // 2)
+
+    def sequence(self, text: str) -> list[str]:
+        """The pre-tokens and special tokens in the order of the text."""
+        parts = self._parts(text)
+        return self._plain(text) if len(parts) == 1 else [t for k, p in enumerate(parts) for t in ([p] if k % 2 else self._plain(p))]
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii() or not self.other.search(text):

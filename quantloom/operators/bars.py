@@ -1,8 +1,9 @@
 """Bars from ticks: columns key(s), an order, price and volume in; one row per complete bar out.
 
 Tick bars and epoch-aligned time bars are plain windows and aggregates. The others decide from what came before where
-a bar ends and drop the overshoot, so they scan each key in order, in Arrow batches; keys run in parallel. The scan is
-a small state machine, the same for batches and streams. The incomplete last bar of a key is never emitted.
+a bar ends and drop the overshoot, so they scan each key in order, in Arrow batches, and carry the open bar from batch
+to batch; keys run in parallel. The scan is a small state machine, the same for batches and streams. The incomplete
+last bar of a key is never emitted.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from ..shipping import ship_package
+from .carry import carry_scan
 from .series import Ordered, with_idx
 
 BAR_COLUMNS = "bar_id long, ts timestamp, open double, high double, low double, close double, volume double, vwap double, ticks long"
@@ -71,6 +72,15 @@ class Ewma:
         return self.value
 
 
+def _sums(before: float, x: np.ndarray) -> np.ndarray:
+    """Running sums that go on from ``before``."""
+    return np.cumsum(np.concatenate([[before], x]))[1:]
+
+
+def _total(before: float, x: np.ndarray) -> float:
+    return float(_sums(before, x)[-1])
+
+
 class BarState:
     """The state of one key: the open bar, and what its rule remembers. ``add`` returns a complete bar or None."""
 
@@ -100,6 +110,66 @@ class BarState:
             return None
         return self._close()
 
+    def add_many(self, ts: np.ndarray, price: np.ndarray, volume: np.ndarray) -> list[tuple]:
+        """What ``add`` returns for these ticks in turn.
+
+        What ends a bar is fixed while the bar is open, so its end is the first tick at which a running sum meets it;
+        sums go on from those of the open bar, tick by tick, so they are the same numbers.
+        """
+        out, a, width = [], 0, 64
+        buys, sells = self._sides(price, volume) if self.rule.kind.endswith(("imbalance", "runs")) else (None, None)
+        while a < len(price):
+            c = min(len(price), a + width)
+            met = np.flatnonzero(self._meets(ts[a:c], price[a:c], volume[a:c], *(x if x is None else x[a:c] for x in (buys, sells))))
+            found = len(met) > 0
+            if found:
+                c = a + int(met[0]) + (self.rule.kind != "time")  # a tick beyond the time is the next bar's
+            if c > a:
+                self._take_many(ts[a:c], price[a:c], volume[a:c])
+                if buys is not None:
+                    self.buy, self.sell = _total(self.buy, buys[a:c]), _total(self.sell, sells[a:c])
+            width = max(64, 2 * (c - a)) if found else 2 * width
+            a = c
+            if found:
+                if buys is not None:
+                    self._imbalanced() if self.rule.kind.endswith("imbalance") else self._runs()
+                out.append(self._close())
+        return out
+
+    def _sides(self, price: np.ndarray, volume: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each tick adds to the buyers' and to the sellers' side; the first tick ever adds nothing."""
+        n = len(price)
+        if not n:
+            return price, price
+        before = np.concatenate([[price[0] if self.price is None else self.price], price[:-1]])
+        move = np.where(price > before, 1.0, np.where(price != before, -1.0, 0.0))
+        amount = {"tick": np.ones(n), "volume": volume, "dollar": price * volume}[self.rule.kind.split("_")[0]].astype(float)
+        if self.price is None:
+            move[0] = amount[0] = 0.0
+        last = np.maximum.accumulate(np.where(move != 0, np.arange(n), -1))
+        side = np.where(last >= 0, move[last], self.side)
+        self.price, self.side = float(price[-1]), float(side[-1])
+        return np.where(side > 0, amount, 0.0), np.where(side < 0, amount, 0.0)
+
+    def _meets(self, ts: np.ndarray, price: np.ndarray, volume: np.ndarray, buys: np.ndarray | None, sells: np.ndarray | None) -> np.ndarray:
+        """For each tick, whether the open bar ends with it (a time bar: before it)."""
+        kind, limit, b = self.rule.kind, self.rule.threshold, self.bar or [ts[0], 0, 0, 0, 0, 0.0, 0.0, 0]
+        if kind == "time":
+            return (ts >= b[0] + limit) & ((self.bar is not None) | (np.arange(len(ts)) > 0))
+        if kind == "tick":
+            return b[7] + np.arange(1, len(ts) + 1) >= limit
+        if kind == "volume":
+            return _sums(b[5], volume) >= limit
+        if kind == "dollar":
+            return _sums(b[6], price * volume) >= limit
+        buy, sell = _sums(self.buy, buys), _sums(self.sell, sells)
+        return ((np.abs(buy - sell) if kind.endswith("imbalance") else np.maximum(buy, sell)) >= self.expected) & (self.expected > 0)
+
+    def _take_many(self, ts: np.ndarray, price: np.ndarray, volume: np.ndarray) -> None:
+        first = float(price[0])
+        o = self.bar or [float(ts[0]), first, first, first, first, 0.0, 0.0, 0]
+        self.bar = [o[0], o[1], max(o[2], float(price.max())), min(o[3], float(price.min())), float(price[-1]), _total(o[5], volume), _total(o[6], price * volume), o[7] + len(price)]
+
     def _take(self, ts: float, price: float, volume: float) -> None:
         if self.bar is None:
             self.bar = [ts, price, price, price, price, 0.0, 0.0, 0]
@@ -149,27 +219,16 @@ class BarState:
 
 
 def scan_bars(ticks: DataFrame, keys: Sequence[str], order: Sequence[str], rule: BarRule) -> DataFrame:
-    """Bars of any rule; ticks has the keys, the order, ts, price and volume. A key is one group."""
-    ship_package(ticks.sparkSession)
-    keys, order = list(keys), list(order)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (ticks.schema[k] for k in keys))
-    columns = [c.split()[0] for c in BAR_COLUMNS.split(", ")]
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        state, out = BarState(rule), []
-        seconds = frame["ts"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e9
-        stamps = dict(zip(seconds.tolist(), frame["ts"], strict=True)) if len(frame) else {}
-        for ts, price, volume in zip(seconds.tolist(), frame["price"].tolist(), frame["volume"].tolist(), strict=True):
-            if (bar := state.add(ts, price, volume)) is not None:
-                out.append((bar[0], stamps[bar[1]], *bar[2:]))
-        made = pd.DataFrame(out, columns=columns)
-        for k in reversed(keys):
-            made.insert(0, k, frame[k].iloc[0] if len(frame) else None)
-        return made
-
-    names = list(dict.fromkeys([*keys, *order, "ts", "price", "volume"]))
-    return ticks.select(*names).groupBy(*keys).applyInPandas(scan, f"{fields}, {BAR_COLUMNS}")
+    """Bars of any rule; ticks has the keys, the order, ts, price and volume. A key's open bar goes from batch to batch."""
+    names = [c.split()[0] for c in BAR_COLUMNS.split(", ")]
+
+    def step(state: BarState, ts: np.ndarray, price: np.ndarray, volume: np.ndarray) -> list[np.ndarray]:
+        made = state.add_many(ts / 1e6, price, volume)
+        columns = dict(zip(names, map(np.array, zip(*made, strict=True)), strict=True)) if made else {n: np.zeros(0) for n in names}
+        return list((columns | {"ts": np.rint(columns["ts"] * 1e6).astype(np.int64)}).values())
+
+    read = {"ts": F.col("ts").cast("timestamp"), "price": F.col("price").cast("double"), "volume": F.col("volume").cast("double")}
+    return carry_scan(ticks, keys, order, read, BAR_COLUMNS, lambda: BarState(rule), step)
 
 
 def bars(ticks: DataFrame, keys: Sequence[str], order: Sequence[str], rule: BarRule) -> DataFrame:

@@ -83,26 +83,68 @@ def avg_active_signals(signals: DataFrame, bars: DataFrame, keys: Sequence[str])
     return bars.select(*keys, "idx").join(active, [*keys, "idx"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
 
 
+#: Cells of an index block.
+FAN = 32
+
+
+def price_index(prices: DataFrame, keys: Sequence[str], levels: int) -> list[DataFrame]:
+    """Per level (keys, block, cells): ``FAN`` cells (id, lo, hi) of the level below by id, level 0 of single prices."""
+    keys, made = list(keys), []
+    cell = prices.select(*keys, F.col("idx").cast("long").alias("id"), F.col("price").alias("lo"), F.col("price").alias("hi"))
+    for _ in range(levels):
+        blocks = cell.groupBy(*keys, F.floor(F.col("id") / FAN).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "lo", "hi"))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        made.append(blocks.select(*keys, "block", "cells"))
+        cell = blocks.select(*keys, F.col("block").alias("id"), "lo", "hi")
+    return made
+
+
 def first_touches(entries: DataFrame, prices: DataFrame, keys: Sequence[str], barrier: TripleBarrier) -> DataFrame:
     """(keys, entry_idx, exit_idx, touch_type, return_value): the first barrier that the price meets after each entry.
 
-    entries: keys, entry_idx, vol (below or at 0 it counts as 1e-10); prices: keys, idx, price. The upper barrier is
-    tried first. Entries without a later bar, or with price 0, are left out. Each entry is expanded to the bars it may
-    be held and joined to their prices on position, so the work is entries times the holding limit.
+    entries: keys, entry_idx, vol (below or at 0 it counts as 1e-10); prices: keys, idx, price, with idx from 0 without
+    gaps. The upper barrier is tried first. Entries without a later bar, or with price 0, are left out.
+
+    An index holds the lowest and highest price of blocks of 32, 32 * 32, ... bars. An entry looks at what is left of
+    its block of each size in turn, until a block may meet a barrier (a return grows with the price, so the extremes
+    tell), and goes down in that one: joins on block numbers, as many as the holding limit has digits.
     """
-    keys = list(keys)
+    keys, depth = list(keys), 1
+    while FAN**depth < barrier.max_holding:
+        depth += 1
     last = prices.groupBy(*keys).agg(F.max("idx").alias("__last"))
     at = prices.select(*keys, F.col("idx").alias("entry_idx"), F.col("price").alias("__p0"))
-    e = entries.join(last, keys).join(at, [*keys, "entry_idx"]).where("__p0 != 0 and entry_idx < __last")
-    e = e.withColumns({"__vol": F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.lit(1e-10)), "__end": F.least(F.col("entry_idx") + barrier.max_holding, F.col("__last"))})
-    held = e.select(*keys, "entry_idx", "__p0", "__vol", "__end", F.explode(F.sequence(F.col("entry_idx") + 1, F.col("__end"))).alias("idx"))
-    r = held.join(prices.select(*keys, "idx", "price"), [*keys, "idx"]).withColumn("__r", F.col("price") / F.col("__p0") - 1)
-    up = (F.col("__r") >= barrier.upper * F.col("__vol")) if barrier.upper is not None else F.lit(False)
-    down = (F.col("__r") <= -barrier.lower * F.col("__vol")) if barrier.lower is not None else F.lit(False)
-    kind = F.when(up, "upper").when(down, "lower").when(F.col("idx") == F.col("__end"), "vertical")
-    touched = r.withColumn("touch_type", kind).where("touch_type is not null")
-    first = touched.groupBy(*keys, "entry_idx").agg(F.min(F.struct(F.col("idx").alias("exit_idx"), "touch_type", F.col("__r").alias("return_value"))).alias("x"))
-    return first.select(*keys, "entry_idx", "x.exit_idx", "x.touch_type", "x.return_value")
+    e = entries.select(*keys, "entry_idx", "vol").join(last, keys).join(at, [*keys, "entry_idx"]).where("__p0 != 0 and entry_idx < __last")
+    e = e.select(*keys, "entry_idx", "__p0", F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.lit(1e-10)).alias("__vol"), F.least(F.col("entry_idx") + barrier.max_holding, F.col("__last")).cast("long").alias("__end"))
+
+    rises = F.col("__p0") > 0
+    r = lambda price: price / F.col("__p0") - 1
+    up = lambda c: (r(F.when(rises, c["hi"]).otherwise(c["lo"])) >= barrier.upper * F.col("__vol")) if barrier.upper is not None else F.lit(False)
+    down = lambda c: (r(F.when(rises, c["lo"]).otherwise(c["hi"])) <= -barrier.lower * F.col("__vol")) if barrier.lower is not None else F.lit(False)
+
+    def first(cells: Column, after: Column, until: Column) -> Column:
+        return F.get(F.filter(cells, lambda c: (c["id"] > after) & (c["id"] <= until) & (up(c) | down(c))), 0)["id"]
+
+    index = price_index(prices, keys, depth)
+    part = lambda c, level: F.floor(F.col(c) / FAN**level).cast("long")
+    # upwards: the first cell, of whatever level, in which a barrier may be met
+    e = e.withColumns({"__level": F.lit(-1), "__at": F.lit(None).cast("long")})
+    for level, blocks in enumerate(index):
+        if level == depth - 1:  # the holding limit reaches into the next block at most
+            after = blocks.select(*keys, (F.col("block") - 1).alias("block"), F.col("cells").alias("__more"))
+            blocks = blocks.join(after, [*keys, "block"], "left").select(*keys, "block", F.concat("cells", F.coalesce("__more", F.array().cast("array<struct<id:bigint,lo:double,hi:double>>"))).alias("cells"))
+        e = e.withColumn("block", part("entry_idx", level + 1)).join(blocks, [*keys, "block"])
+        e = e.withColumn("__found", F.when(F.col("__at").isNull(), first(F.col("cells"), part("entry_idx", level), part("__end", level)))).drop("cells", "block")
+        e = e.withColumns({"__level": F.when(F.col("__found").isNotNull(), F.lit(level)).otherwise(F.col("__level")), "__at": F.coalesce("__at", "__found")}).drop("__found")
+    # downwards, within that cell
+    for level in range(depth - 2, -1, -1):
+        deeper = (F.col("__level") > level) & F.col("__at").isNotNull()
+        e = e.withColumn("block", F.when(deeper, F.col("__at")).otherwise(part("entry_idx", level + 1))).join(index[level], [*keys, "block"])
+        e = e.withColumns({"__at": F.when(deeper, first(F.col("cells"), F.lit(-1), part("__end", level))).otherwise(F.col("__at"))}).drop("cells", "block")
+    e = e.withColumn("exit_idx", F.coalesce("__at", "__end"))
+    e = e.join(prices.select(*keys, F.col("idx").alias("exit_idx"), F.col("price").alias("__p1")), [*keys, "exit_idx"])
+    point = F.struct(F.col("__p1").alias("lo"), F.col("__p1").alias("hi"))
+    kind = F.when(F.col("__at").isNull(), "vertical").when(up(point), "upper").otherwise("lower")
+    return e.select(*keys, "entry_idx", "exit_idx", kind.alias("touch_type"), r(F.col("__p1")).alias("return_value"))
 
 
 def bins(return_value="return_value") -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship_package
+from .carry import carry_scan
 
 
 class CusumState:
@@ -30,18 +30,12 @@ class CusumState:
 
 
 def cusum_filter(df: DataFrame, keys: Sequence[str], idx: str, value: str, threshold: float) -> DataFrame:
-    """(keys, idx) of the events of each key, scanned in order; a key is one group."""
-    ship_package(df.sparkSession)
-    keys = list(keys)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
+    """(keys, idx) of the events of each key, scanned in order; both sums go from batch to batch."""
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(idx, kind="stable")
-        state = CusumState(threshold)
-        hit = [state.add(x) for x in frame[value].tolist()]
-        return frame.loc[hit, [*keys, idx]]
+    def step(state: CusumState, i: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        return [i[np.fromiter(map(state.add, x.tolist()), bool, len(x))]]
 
-    return df.select(*keys, F.col(idx).cast("long").alias(idx), F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(scan, f"{fields}, {idx} long")
+    return carry_scan(df, keys, [idx], {idx: F.col(idx).cast("long"), value: F.col(value).cast("double")}, f"{idx} long", lambda: CusumState(threshold), step)
 
 
 def linspace_sample(spark: SparkSession, start: int, end: int, n: int) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .series import Ordered
+from .carry import carry_scan
+from .recurrence import affine_scan
+from .series import Ordered, diff, log_returns
 
 
 def per_key(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], shape: str, make: Callable[..., dict]) -> DataFrame:
@@ -36,69 +38,58 @@ def per_key(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
     return df.select(*names).groupBy(*keys).applyInPandas(run, f"{fields}, {shape}")
 
 
-def ewma_array(x: np.ndarray, span: float) -> np.ndarray:
-    """y0 = x0, then a x + (1 - a) y with a = 2 / (span + 1)."""
-    a, out = 2 / (span + 1), np.empty(len(x))
-    y = None
-    for i, v in enumerate(x.tolist()):
-        y = v if y is None else a * v + (1 - a) * y
-        out[i] = y
-    return out
-
-
-def ewma_std_array(x: np.ndarray, span: float) -> np.ndarray:
-    """Square root of the EWMA of squared differences, 0 first."""
-    if len(x) == 0:
-        return np.zeros(0)
-    a, v, out = 2 / (span + 1), 0.0, np.zeros(len(x))
-    for i, d in enumerate(np.diff(x).tolist(), 1):
-        v = a * d * d + (1 - a) * v
-        out[i] = v
-    return np.sqrt(out)
-
-
 def ewma(df: DataFrame, keys: Sequence[str], idx: str, value: str, span: float) -> DataFrame:
-    """(keys, idx, ewma)."""
-    return per_key(df, keys, idx, [idx, value], f"{idx} long, ewma double", lambda i, x: {idx: i, "ewma": ewma_array(x, span)})
+    """(keys, idx, ewma): the first value, then a x + (1 - a) y with a = 2 / (span + 1); idx counts from 0."""
+    a = 2 / (span + 1)
+    x = F.col(value).cast("double")
+    u = df.select(*keys, F.col(idx).cast("long").alias(idx), F.when(F.col(idx) == 0, x).otherwise(a * x).alias("__u"))
+    return affine_scan(u, keys, idx, "__u", 1 - a).select(*keys, idx, F.col("__y").alias("ewma"))
 
 
 def ewma_std(df: DataFrame, keys: Sequence[str], idx: str, value: str, span: float) -> DataFrame:
-    """(keys, idx, ewma_std)."""
-    return per_key(df, keys, idx, [idx, value], f"{idx} long, ewma_std double", lambda i, x: {idx: i, "ewma_std": ewma_std_array(x, span)})
-
-
-def daily_volatility_array(prices: np.ndarray, span: float) -> np.ndarray:
-    if len(prices) < 2:
-        return np.zeros(len(prices))
-    p, q = prices[1:], prices[:-1]
-    good = (p > 0) & (q > 0)
-    returns = np.where(good, np.log(np.where(good, p, 1.0) / np.where(good, q, 1.0)), 0.0)
-    return np.concatenate([[0.0], ewma_std_array(returns, span)])
+    """(keys, idx, ewma_std): the square root of the EWMA of squared differences, which is 0 first; idx counts from 0."""
+    a = 2 / (span + 1)
+    d = diff(value, Ordered(keys, [idx]))
+    u = df.select(*keys, F.col(idx).cast("long").alias(idx), F.coalesce(a * d * d, F.lit(0.0)).alias("__u"))
+    return affine_scan(u, keys, idx, "__u", 1 - a).select(*keys, idx, F.sqrt("__y").alias("ewma_std"))
 
 
 def daily_volatility(df: DataFrame, keys: Sequence[str], idx: str, price: str, span: float = 100) -> DataFrame:
-    """(keys, idx, volatility): the EWMA deviation of differences of log returns, 0 on the first row."""
-    return per_key(df, keys, idx, [idx, price], f"{idx} long, volatility double", lambda i, x: {idx: i, "volatility": daily_volatility_array(x, span)})
+    """(keys, idx, volatility): the EWMA deviation of differences of log returns, 0 on the first two rows; idx counts from 0."""
+    r = df.select(*keys, (F.col(idx).cast("long") - 1).alias(idx), log_returns(F.col(price).cast("double"), Ordered(keys, [idx])).alias("__r"))
+    later = ewma_std(r.where(F.col(idx) >= 0), keys, idx, "__r", span)
+    first = r.where(F.col(idx) < 0).select(*keys, idx, F.lit(0.0).alias("volatility"))
+    return later.select(*keys, idx, F.col("ewma_std").alias("volatility")).unionByName(first).withColumn(idx, F.col(idx) + 1)
+
+
+class VolumeBuckets:
+    """Buckets of at least ``size`` of volume by the sides of the tick rule; what has no side yet is sold."""
+
+    def __init__(self, size: float):
+        self.size, self.made, self.price, self.side, self.buy, self.sell = size, 0, None, 0.0, 0.0, 0.0
+
+    def add_many(self, price: np.ndarray, volume: np.ndarray) -> list[np.ndarray]:
+        """(bucket, gap of the sides, total) of the buckets that are full."""
+        first, out = self.made, []
+        for p, v in zip(price.tolist(), volume.tolist(), strict=True):
+            if self.price is not None and p != self.price:
+                self.side = 1.0 if p > self.price else -1.0
+            self.price = p
+            if self.side > 0:
+                self.buy += v
+            else:
+                self.sell += v
+            if self.buy + self.sell >= self.size:
+                out.append((abs(self.buy - self.sell), self.buy + self.sell))
+                self.buy = self.sell = 0.0
+        self.made += len(out)
+        return [np.arange(first, self.made), *np.array(out, float).reshape(-1, 2).T]
 
 
 def vpin(df: DataFrame, keys: Sequence[str], idx: str, price: str, volume: str, bucket_size: float = 1000.0, n_buckets: int = 10) -> DataFrame:
     """(keys, bucket, vpin) for each full run of ``n_buckets`` volume buckets; ticks are not split."""
-
-    def buckets(p: np.ndarray, v: np.ndarray) -> dict:
-        out, side, buy, sell = [], 0.0, 0.0, 0.0
-        for i in range(len(p)):
-            if i and p[i] != p[i - 1]:
-                side = 1.0 if p[i] > p[i - 1] else -1.0
-            if side > 0:
-                buy += v[i]
-            else:
-                sell += v[i]
-            if buy + sell >= bucket_size:
-                out.append((abs(buy - sell), buy + sell))
-                buy = sell = 0.0
-        return {"bucket": np.arange(len(out)), "gap": np.array([a for a, _ in out], float), "total": np.array([b for _, b in out], float)}
-
-    made = per_key(df, keys, idx, [price, volume], "bucket long, gap double, total double", buckets)
+    read = {price: F.col(price).cast("double"), volume: F.col(volume).cast("double")}
+    made = carry_scan(df, keys, [idx], read, "bucket long, gap double, total double", lambda: VolumeBuckets(bucket_size), VolumeBuckets.add_many)
     w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(-(n_buckets - 1), Window.currentRow)
     total = F.sum("total").over(w)
     return made.withColumn("vpin", F.when(total > 0, F.sum("gap").over(w) / total).otherwise(F.lit(0.0))).where(F.col("bucket") >= n_buckets - 1).select(*keys, "bucket", "vpin")

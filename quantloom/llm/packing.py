@@ -10,41 +10,73 @@ window exceeds the capacity, the block gets more windows.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import cut_lineage
 from .tokens import PreTokens, pre_tokens
 
 #: Pieces of a block, on average: what one task packs at a time.
-BLOCK_PIECES = 8192
-#: Distinct pre-tokens whose ids a task remembers, and the longest of them.
-CACHED_TOKENS, CACHED_LENGTH = 400_000, 64
+BLOCK_PIECES = 4096
+#: Distinct texts whose ids a task remembers, and the longest of them.
+CACHED_TEXTS, CACHED_LENGTH = 400_000, 64
 
 
-class Encoder(dict):
-    """Ids of whole texts, as little-endian 32-bit numbers; each pre-token is encoded once while it is remembered."""
+class ByteNames(dict):
+    """The characters by which the tokenizer's model knows a character's bytes."""
 
-    def __init__(self, tokens: PreTokens):
+    def __init__(self):
+        super().__init__()
+        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = self.level.pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
+class Remembered(dict):
+    """Ids by text; a text is encoded by ``make`` when it isn't remembered."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.tokens = tokens
+        self.make = make
 
-    def __missing__(self, token: str) -> bytes:
-        ids = np.array(self.tokens.tokenizer.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(token) <= CACHED_LENGTH:
-            if len(self) >= CACHED_TOKENS:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= CACHED_TEXTS:
                 self.clear()
-            self[token] = ids
+            self[text] = ids
         return ids
 
+
+class Encoder:
+    """Ids of whole texts, as little-endian 32-bit numbers. Pre-tokens, and words between blanks, are encoded once while they are remembered."""
+
+    def __init__(self, tokens: PreTokens):
+        self.tokens, self.names = tokens, ByteNames()
+        self.token, self.word = Remembered(self._encode), Remembered(lambda word: b"".join([self.token[t] for t in tokens.latin.findall(word)]))
+
+    def _encode(self, token: str) -> bytes:
+        if token.startswith("<|") and self.tokens.special.fullmatch(token):
+            ids = [self.tokens.tokenizer.token_to_id(token)]
+        else:
+            plain = token.isascii() and token.isprintable()  # such a character is its own name
+            ids = [t.id for t in self.tokens.tokenizer.model.tokenize(token if plain else token.translate(self.names))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
-        return b"".join([self[t] for t in self.tokens.sequence(text)])
+        if self.tokens.by_words(text):
+            return b"".join([self.word[w] for w in text.lower().split()])
+        return b"".join([self.token[t] for t in self.tokens.sequence(text)])
 
 
 @lru_cache(maxsize=2)

@@ -49,6 +49,7 @@ class PreTokens:
         self.special = re.compile("(" + "|".join(special) + ")") if special else None
         # what isn't below U+0250, or isn't once it is lower-cased
         self.other = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "ɏ") + "ɐ-\U0010ffff]")
+        self.separator = re.compile("[\x1c-\x1f]")
         self.latin, self.stand_ins = re.compile(SPLIT_LATIN), {}
 
     def _parts(self, text: str) -> list[str]:
@@ -60,6 +61,13 @@ class PreTokens:
         parts = self._parts(text)
         return (self._plain(text), 0) if len(parts) == 1 else ([t for p in parts[::2] for t in self._plain(p)], len(parts) // 2)
 
+    def by_words(self, text: str) -> bool:
+        """Whether the lower-cased text's blank-separated words can be split one by one, each by ``latin``.
+
+        Python's split() takes the separators U+001C to U+001F for blanks, too; the library doesn't.
+        """
+        return not ("<|" in text or self.separator.search(text)) and (text.isascii() or not self.other.search(text))
+
     def sequence(self, text: str) -> list[str]:
         """The pre-tokens and special tokens in the order of the text."""
         parts = self._parts(text)

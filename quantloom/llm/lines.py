@@ -77,14 +77,22 @@ class Lines:
         self.sizes = np.diff(np.concatenate([self.starts, [len(line)]])).astype(np.int64)
 
     def identities(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each set 32 bits of the sum of its mixed keys and its parity signature, together its identity."""
+        """Of each set 64 bits of the sum of its mixed keys and its parity signature, together its identity."""
         if not len(self.starts):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         mixed = (self.keys ^ self.keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         bits = np.left_shift(np.uint64(1), self.keys & np.uint64(63))
         sums = np.add.reduceat(mixed ^ mixed >> np.uint64(32), self.starts)
-        return (sums >> np.uint64(32)).astype(np.uint32).view(np.int32), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
+        return sums.view(np.int64), np.bitwise_xor.reduceat(bits, self.starts).view(np.int64)
+
+    def checks(self) -> np.ndarray:
+        """Of each set 64 further bits, by which lines are compared with the first line of their identity."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        mixed = (self.keys ^ self.keys >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0xC4CEB9FE1A85EC53)
+        return np.add.reduceat(mixed ^ mixed >> np.uint64(33), self.starts).view(np.int64)
 
     def quarters(self) -> list[np.ndarray]:
         """The parities of 256 bits, but for the first 64, which follow from these and the parity of 64 bits; 0 for small sets.
@@ -194,10 +202,10 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 keys = found.heads(lengths)[2]
                 tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), *map(pa.array, found.quarters()), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "w1", "w2", "w3", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.checks()), *map(pa.array, found.quarters()), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "check", "w1", "w2", "w3", "size", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash int, parity long, w1 long, w2 long, w3 long, size int, prefix array<int>")
+    return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash long, parity long, check long, w1 long, w2 long, w3 long, size int, prefix array<int>")
 
 
 def _spread(tokens: np.ndarray, hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
@@ -216,7 +224,7 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, at, hashes, parities, w1, w2, w3, sizes, prefix = batch.columns
+            doc, at, hashes, parities, _, w1, w2, w3, sizes, prefix = batch.columns
             tokens, rows = prefix.flatten().to_numpy(), pc.list_parent_indices(prefix).to_numpy()
             places = np.arange(len(rows)) - (prefix.offsets.to_numpy() - prefix.offsets[0].as_py())[rows]
             buckets = _spread(tokens, hashes.to_numpy()[rows], heavy.value, n_buckets)
@@ -227,7 +235,7 @@ def first_entries(sets: DataFrame, heavy, n_buckets: int) -> DataFrame:
             flat = [pa.array(tokens[order]), *[c.take(taken) for c in (hashes, parities, w1, w2, w3, sizes)], pa.array(places[order], pa.int32()), doc.take(taken), at.take(taken)]
             yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), *[pa.ListArray.from_arrays(ends, c) for c in flat]], names)
 
-    shape = f"bucket int, token array<int>, hash array<int>, parity array<long>, w1 array<long>, w2 array<long>, w3 array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
+    shape = f"bucket int, token array<int>, hash array<long>, parity array<long>, w1 array<long>, w2 array<long>, w3 array<long>, size array<int>, place array<int>, doc_id array<{id_type}>, at array<long>"
     names = [c.split()[0] for c in shape.split(", ")]
     return sets.where(F.size("prefix") > 0).mapInArrow(deal, shape)
 
@@ -251,10 +259,9 @@ class Entries:
         order = order[first]
         size = flat["size"].to_numpy()[order].astype(np.int64)
         kind = np.floor(np.log(size) / np.log(max(1 / threshold, 1.1))).astype(np.int64)  # matching sets differ by one kind at most
-        if len(rank) and (rank.max() >= 1 << 26 or kind.max() > 62):
-            raise ValueError("a bucket has too many lines or too long ones")
-        by = np.argsort(self._key(token[order], kind, rank[order]))
-        order, self.kind, self.rank, self.token, self.seek, self.size = order[by], kind[by], rank[order][by], token[order][by], seek[by], size[by]
+        word = np.unique(token[order], return_inverse=True)[1]  # the bucket's words, numbered
+        by = np.argsort(self._key(word, kind, rank[order]))
+        order, self.kind, self.rank, self.token, self.seek, self.size = order[by], kind[by], rank[order][by], word[by], seek[by], size[by]
         self.place, self.hash, self.parity = flat["place"].to_numpy()[order].astype(np.int64), hashes[order], parity[order]
         self.doc, self.at, self.threshold = doc.take(pa.array(order)), at[order], threshold
         w1, w2, w3 = (flat[n].to_numpy()[order] for n in ("w1", "w2", "w3"))
@@ -265,7 +272,8 @@ class Entries:
 
     @staticmethod
     def _key(token: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        return token.astype(np.uint64) << np.uint64(32) | kind.astype(np.uint64) << np.uint64(26) | rank.astype(np.uint64)
+        """In one number: 2^26 words, 2^8 kinds and 2^30 lines are far more than a task's memory holds."""
+        return token.astype(np.uint64) << np.uint64(38) | (kind + 1).astype(np.uint64) << np.uint64(30) | rank.astype(np.uint64)
 
     def partners(self, most: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entries b and a, a's line being earlier and passing the filters; the score of each pair; and whether b may have more.
@@ -274,7 +282,7 @@ class Entries:
         """
         made_b, made_a, made_s, found = [], [], [], np.zeros(len(self.keys), np.int64)
         for step in (0, -1, 1):
-            active = np.flatnonzero(self.seek & (found < most) & (self.kind + step >= 0))
+            active = np.flatnonzero(self.seek & (found < most))
             kind = self.kind[active] + step
             low = np.searchsorted(self.keys, self._key(self.token[active], kind, np.zeros(len(active), np.int64)))
             high = np.searchsorted(self.keys, self._key(self.token[active], kind, self.rank[active]))
@@ -344,7 +352,7 @@ def earlier_partners(entries: DataFrame, threshold: float, most: int, whole: boo
     entries: bucket and arrays. ``more`` tells that there may be other partners than those listed.
     """
     id_type = entries.schema["doc_id"].dataType.elementType.simpleString()
-    shape = f"hash int, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, score int, more boolean"
+    shape = f"hash long, parity long, doc_id {id_type}, at long, doc_a {id_type}, at_a long, score int, more boolean"
     names = [c.split()[0] for c in shape.split(", ")]
 
     def look(rows: pa.Table) -> pa.RecordBatch:
@@ -390,12 +398,13 @@ def heavy_words(sets: DataFrame) -> tuple[int, list[tuple[int, int]]]:
     """How many prefix entries there are; and the words of very many, each with the number of parts it is dealt to.
 
     Counts cover all entries: first by half a word's key, then exactly where that is over the limit. The limit grows
-    with the entries, so the driver gets 20,000 words at most.
+    with the entries up to what a task holds, so the driver gets a number for every 100,000 entries at most, and of 10^12
+    entries half a million words.
     """
     tokens = sets.select(F.explode("prefix").alias("token"))
     coarse = cut_lineage(tokens.groupBy(F.shiftright("token", 16).alias("half")).agg(F.count(F.lit(1)).alias("n")))
     total = coarse.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(WORD_ENTRIES, total // 20_000)
+    limit = max(WORD_ENTRIES, min(total // 20_000, 20 * WORD_ENTRIES))
     halves = [r["half"] for r in coarse.where(F.col("n") > limit).select("half").collect()]  # 65,536 rows at most
     if not halves:
         return total, []
@@ -437,7 +446,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, repeats: bool)
             holds = [len(x & y) >= threshold * len(x | y) - 1e-9 for x, y in zip(*both, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(holds, pa.bool_())], ["hash", "parity", "more", "holds"])
 
-    return cut_lineage(met.select("hash", "parity", "more", "line", "line_a").mapInArrow(compare, "hash int, parity long, more boolean, holds boolean"))
+    return cut_lineage(met.select("hash", "parity", "more", "line", "line_a").mapInArrow(compare, "hash long, parity long, more boolean, holds boolean"))
 
 
 class Seekers:
@@ -447,6 +456,7 @@ class Seekers:
         found = Lines(rows.column("line").combine_chunks())
         found.sorted_by(word_keys(found.words, ranks))
         rows = rows.take(pa.array(found.rows))
+        self.lines = rows.column("line").combine_chunks()
         self.doc, self.at = rows.column("doc_id").combine_chunks(), rows.column("at").to_numpy()
         self.hash, self.parity = rows.column("hash").to_numpy(), rows.column("parity").to_numpy()
         self.sizes, self.starts, self.keys, self.threshold = found.sizes, found.starts, found.keys, threshold
@@ -455,8 +465,13 @@ class Seekers:
         order = np.argsort(keys, kind="stable")
         self.prefix_keys, self.prefix_line, self.prefix_place = keys[order], line[order], place[order]
 
-    def matched(self, found: Lines, once: np.ndarray, docs: pa.Array, at: np.ndarray) -> np.ndarray:
-        """The seekers for which one of the lines is earlier and similar enough; ``once`` tells which lines count."""
+    def similar(self, k: int, text: pa.Scalar, place: int) -> bool:
+        """Whether the words of seeker k and of a line of the text are similar enough."""
+        x, y = line_words(self.lines[k].as_py()), line_words(text.as_py().split("\n")[place])
+        return len(x & y) >= self.threshold * len(x | y) - 1e-9
+
+    def matched(self, found: Lines, once: np.ndarray, docs: pa.Array, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """The seekers for which one of the lines is earlier and similar enough, by their words; ``once`` tells which lines count."""
         line, place, keys = found.heads(np.where(once, prefix_lengths(found.sizes, self.threshold), 0))
         low, high = np.searchsorted(self.prefix_keys, keys), np.searchsorted(self.prefix_keys, keys, side="right")
         line, place, low, high = (x[low < high] for x in (line, place, low, high))
@@ -485,7 +500,7 @@ class Seekers:
             for i, j, least in zip(a[ok].tolist(), b[ok].tolist(), need[ok].tolist(), strict=True):
                 if not done[j]:
                     mine, other = found.keys[found.starts[i] : found.starts[i] + found.sizes[i]], self.keys[self.starts[j] : self.starts[j] + self.sizes[j]]
-                    done[j] = len(np.intersect1d(mine, other, assume_unique=True)) >= least
+                    done[j] = len(np.intersect1d(mine, other, assume_unique=True)) >= least and self.similar(j, texts[int(found.rows[i])], int(found.places[i]))
         return np.flatnonzero(done)
 
 
@@ -522,10 +537,10 @@ def compared_with_all(docs: DataFrame, seekers: DataFrame, ranks, threshold: flo
                 found.restrict(np.searchsorted(known, keys) < np.searchsorted(known, keys, side="right"))
                 found.sorted_by(keys)
                 at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
-                done = held.value.matched(found, first_of_sets(found, part.column(0), at), part.column(0), at)
+                done = held.value.matched(found, first_of_sets(found, part.column(0), at), part.column(0), at, part.column(2))
                 yield pa.RecordBatch.from_arrays([pa.array(held.value.hash[done]), pa.array(held.value.parity[done])], ["hash", "parity"])
 
-    return cut_lineage(docs.select("doc_id", "text_bits", "text").mapInArrow(match, "hash int, parity long").distinct())
+    return cut_lineage(docs.select("doc_id", "text_bits", "text").mapInArrow(match, "hash long, parity long").distinct())
 
 
 def first_of_sets(found: Lines, docs: pa.Array, at: np.ndarray) -> np.ndarray:
@@ -591,7 +606,7 @@ def _entries_of(sets: DataFrame, seekers: DataFrame, heavy, n_buckets: int) -> D
             buckets = _spread(token[rows], spread, heavy.value, n_buckets)
             yield pa.RecordBatch.from_arrays([pa.array(buckets), *[columns[n].take(pa.array(rows)) for n in names[1:]]], names)
 
-    shape = f"bucket int, token int, hash int, parity long, w1 long, w2 long, w3 long, size int, place int, doc_id {id_type}, at long, seek boolean"
+    shape = f"bucket int, token int, hash long, parity long, w1 long, w2 long, w3 long, size int, place int, doc_id {id_type}, at long, seek boolean"
     dealt = every.select(*names[1:]).mapInArrow(deal, shape)
     packed = dealt.groupBy("bucket").agg(F.collect_list(F.struct(*names[1:])).alias("e"))
     return packed.select("bucket", *[F.col(f"e.{n}").alias(n) for n in names[1:]])
@@ -612,14 +627,14 @@ def later_lines(docs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
     sets = cut_lineage(line_sets(docs, ranks, threshold))
     matched = classes_with_earlier_match(docs, sets, ranks, threshold, repeats)
-    lines = sets.select("doc_id", "at", "hash", "parity")
-    repeated = lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # all lines of a matched class go, and those after the first of any other
+    lines = sets.select("doc_id", "at", "hash", "parity", "check")
+    repeated = lines.groupBy("hash", "parity").agg(F.min(F.struct("doc_id", "at", "check")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # all lines of a matched class go, and those after the first of any other; a line whose check isn't the first one's has another set
     known = repeated.join(matched.withColumn("whole", F.lit(True)), ["hash", "parity"], "full").select("hash", "parity", F.coalesce("whole", F.lit(False)).alias("whole"), "first.*", F.coalesce("n", F.lit(1)).alias("n"))
-    known = cut_lineage(known.select("hash", "parity", "whole", F.col("doc_id").alias("doc_f"), F.col("at").alias("at_f"), "n"))
+    known = cut_lineage(known.select("hash", "parity", "whole", F.col("doc_id").alias("doc_f"), F.col("at").alias("at_f"), F.col("check").alias("check_f"), "n"))
     large = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1000 + 1
     met = [lines.join(F.broadcast(known.where(F.col("n") >= large)), ["hash", "parity"]), lines.join(bounded_broadcast(known.where(F.col("n") < large)), ["hash", "parity"])]  # of the large ones there are 1,000 at most
-    later = F.col("whole") | (F.struct("doc_id", "at") > F.struct(F.col("doc_f").alias("doc_id"), F.col("at_f").alias("at")))
+    later = (F.col("whole") | (F.struct("doc_id", "at") > F.struct(F.col("doc_f").alias("doc_id"), F.col("at_f").alias("at")))) & F.coalesce(F.col("check") == F.col("check_f"), F.lit(True))
     gone = met[0].unionByName(met[1]).where(later)
     return gone.groupBy("doc_id", F.col("at").bitwiseAND(F.lit(_LOW32)).alias("text_bits")).agg(F.sort_array(F.collect_set(F.shiftright("at", 32).cast("int"))).alias("gone"))
 

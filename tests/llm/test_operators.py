@@ -507,3 +507,24 @@ def test_extra_columns_do_not_clash(docs):
     for keep in (quality.keep_quality, lines.keep_first_lines, simhash.keep_one):
         assert keep(frame).columns == frame.columns and keep(frame).count() >= 1
     assert mixing.mix_sources(frame).count() == 2
+
+
+# --- further cases of 5 and 8 ----------------------------------------------------------------------------------------
+
+
+def test_lines_that_differ_in_one_word_stay(spark):
+    frame = spark.range(300_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta n"), "id").alias("text"))
+    assert lines.dedup_lines(frame).where("__gone is not null").count() == 0
+
+
+def test_identities_are_checked(spark, docs, monkeypatch):
+    """Lines of one identity whose sets differ are told apart by the check."""
+    monkeypatch.setattr(lines.Lines, "identities", lambda self: (self.sizes * 0, self.sizes * 0))
+    made = lines.later_lines(docs([(1, "a b c"), (2, "d e f"), (3, "c b a")]), 0.8, False)
+    assert [r["doc_id"] for r in made.collect()] == [3]
+
+
+def test_a_line_of_very_many_words(spark, docs):
+    long = " ".join(f"w{i}" for i in range(1_400_000))
+    made = lines.dedup_lines(docs([(1, long), (2, long + " more\nshort line"), (3, "short line")])).collect()
+    assert {r["doc_id"]: r["__gone"] for r in made} == {1: None, 2: [0], 3: [0]}

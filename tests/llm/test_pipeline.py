@@ -6,6 +6,8 @@ import re
 import corpus_pipeline
 from test_operators import WORD, counts, hits, prose
 
+from pyspark.sql import functions as F
+
 from quantloom.llm import quality, simhash
 
 SYLLABLES = ("the", "of", "and", "to", "in", "is", "that", "cat", "sat", "mat", "stone", "river", "field", "house", "green", "quiet", "evening", "morning", "walked", "slowly", "toward", "bridge", "under", "old", "tower")
@@ -54,3 +56,20 @@ def test_pipeline(spark, docs, tmp_path, monkeypatch):
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in want.items()}
     assert all(r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"] for r in made)
     assert sum(r["taken"] for r in made) <= 1.5 * sum(sizes.values())
+
+
+def test_mix_stage_keeps_clashing_columns(spark, docs):
+    frame = docs([(1, "a b c", "en", "s"), (2, None, "en", None)]).withColumns({"size": F.lit("own"), "Target": F.lit(1.5), "__mix": F.lit(7), "_size": F.lit(0)})
+    made = corpus_pipeline.source_mix(spark, frame, "")
+    assert made.columns == [*frame.columns, "__size", "source_size", "_target", "taken"]
+    assert sorted((r["doc_id"], r["size"], r["Target"], r["__mix"], r["__size"], r["taken"]) for r in made.collect()) == [(1, "own", 1.5, 7, 3, 3), (2, "own", 1.5, 7, 0, 0)]
+
+
+def test_stages_keep_clashing_columns(spark, docs, tmp_path):
+    rows, items = make_rows()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = docs(rows).withColumns({"hash": F.lit(1), "__gone": F.lit(2), "mark": F.lit(3), "row": F.lit(4), "counts": F.lit(5)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, frame, str(tmp_path))
+        assert made.columns == frame.columns and 0 < made.count() <= len(rows)
+        assert {tuple(r) for r in made.select("hash", "__gone", "mark", "row", "counts").distinct().collect()} == {(1, 2, 3, 4, 5)}

@@ -318,25 +318,36 @@ def standard_bootstrap(df: DataFrame, idx: str, n_rows: int, n_samples: int, see
 
 
 def sequential_draws(spans: Sequence[tuple[int, int]], n_bars: int, n: int, rng: np.random.Generator) -> list[int]:
-    """Events drawn one by one, each with probability by its uniqueness given those drawn before."""
-    chosen, cover = [], np.zeros(n_bars)
-    first, size = np.array([a for a, _ in spans], int), np.array([b - a + 1 for a, b in spans], int)
-    stop = np.where(size > 0, first + size, first)
-    for _ in range(n):
-        upto = np.concatenate([[0.0], np.cumsum(1 / (1 + cover))])
-        u = np.where(size > 0, upto[stop] - upto[first], 0.0) / np.maximum(size, 1)
-        p = u / u.sum() if u.sum() > 1e-15 else np.full(len(spans), 1 / len(spans))
-        i = int(rng.choice(len(spans), p=p))
+    """Events drawn one by one, each with probability by its uniqueness given those drawn before.
+
+    An event is drawn evenly and taken with its uniqueness, which is at most 1, as probability; otherwise another one is
+    drawn. That is the same distribution, and a draw looks at the bars of a few events in place of all.
+    """
+    inverse, cover, chosen, tries, k = np.ones(n_bars), np.zeros(n_bars), [], 1 << 12, 1 << 12
+    ends = [(a, b + 1) for a, b in spans]
+    full = any(a < b for a, b in ends)
+    while len(chosen) < n:
+        if k == tries:
+            drawn, luck, k = rng.integers(len(ends), size=tries).tolist(), rng.random(tries).tolist(), 0
+        i, u, k = drawn[k], luck[k], k + 1
+        a, b = ends[i]
+        if full and (a >= b or u * (b - a) >= inverse[a:b].sum()):
+            continue  # without any bars all are drawn evenly
         chosen.append(i)
-        cover[spans[i][0] : spans[i][1] + 1] += 1
+        if a < b:
+            cover[a:b] += 1
+            inverse[a:b] = 1 / (1 + cover[a:b])
     return chosen
 
 
 def mean_uniqueness(spans: Sequence[tuple[int, int]], chosen: Sequence[int], n_bars: int) -> float:
-    cover = np.zeros(n_bars)
-    for i in chosen:
-        cover[spans[i][0] : spans[i][1] + 1] += 1
-    return float(np.mean([(1 / np.maximum(cover[spans[i][0] : spans[i][1] + 1], 1)).mean() for i in chosen])) if chosen else 0.0
+    if not len(chosen):
+        return 0.0
+    first, stop = np.array([spans[i] for i in chosen]).T + np.array([[0], [1]])
+    stop = np.maximum(first, stop)
+    steps = np.bincount(first, minlength=n_bars + 1) - np.bincount(stop, minlength=n_bars + 1)
+    upto = np.concatenate([[0.0], np.cumsum(1 / np.maximum(np.cumsum(steps)[:n_bars], 1))])
+    return float(np.mean((upto[stop] - upto[first]) / np.maximum(stop - first, 1)))
 
 
 def clamped_spans(start: np.ndarray, end: np.ndarray, n_bars: int | None) -> tuple[list[tuple[int, int]], int]:

@@ -6,10 +6,13 @@ Arrow batches, keys in parallel. A key is one group, and its rows must fit a tas
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,16 +130,62 @@ def with_frac_diff_ffd(df: DataFrame, value: str, o: Ordered, d: float, threshol
     return x.withColumn(name, F.when(F.size("__frame") == len(w), _dot(F.col("__frame"), w))).drop("__frame")
 
 
-def with_frac_diff_expanding(df: DataFrame, value: str, o: Ordered, d: float, threshold: float = 1e-4, name: str = "frac_diff", longest: int = 10_000) -> DataFrame:
-    """Expanding fractional difference with the weights at or above the threshold, in absolute value.
+def frac_weights_above(d: float, threshold: float, most: int) -> np.ndarray:
+    """The first ``most`` weights of (1 - L)^d, those below the threshold in absolute value as 0, without zeros at the end."""
+    made, last, k, part = [np.ones(1)], 1.0, 1, 1 << 16
+    while k < most:
+        i = np.arange(k, min(k + part, most))
+        w = last * np.cumprod(-(d - i + 1) / i)
+        made.append(w)
+        last, k = w[-1], k + len(w)
+        if k > d + 1 and abs(last) < threshold:  # from here on they only fall
+            break
+    w = np.concatenate(made)[:most]
+    w[np.abs(w) < threshold] = 0.0
+    held = np.flatnonzero(w)
+    return w[: held[-1] + 1] if len(held) else w[:1]
+
+
+def filtered(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of w[k] x[i - k] for each i, in one go or, where that is much, by FFT."""
+    if len(x) * len(w) <= 1 << 22:
+        return np.convolve(x, w)[: len(x)]
+    size = 1 << (len(x) + len(w) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[: len(x)]
+
+
+def with_causal_filter(df: DataFrame, value: str, o: Ordered, weights: np.ndarray, name: str, block: int | None = None) -> DataFrame:
+    """``df`` with ``name``: for each row the weights times the values up to it, newest first; nulls count as 0.
 
-    Weights are tried up to ``longest``; a series with more rows than that needs a larger value if later ones count.
+    Rows are cut into numbered blocks at least as long as the weights (a million rows at most), and a block gets the end of
+    those before it, so each row goes to two blocks or so and a block is one convolution.
     """
-    w = frac_weights(d, longest)
-    last = max((k for k, v in enumerate(w) if abs(v) >= threshold), default=0)
-    w = [v if abs(v) >= threshold else 0.0 for v in w[: last + 1]]
-    x = df.withColumn("__frame", F.collect_list(value).over(o.last(len(w))))
-    return x.withColumn(name, _dot(F.col("__frame"), w)).drop("__frame")
+    ship_package(df.sparkSession)
+    reach = len(weights) - 1
+    size = block or min(1 << 20, max(1 << 12, 1 << reach.bit_length()))
+    held = df.sparkSession.sparkContext.broadcast(weights)
+    own = F.floor(F.col("__i") / size).cast("long")
+    rows = df.withColumn("__i", (F.row_number().over(o.over) - 1).cast("long"))
+    to = F.filter(F.sequence(own, own + (reach + size - 1) // size), lambda c: (c == own) | (F.col("__i") >= c * size - reach))
+    spread = rows.withColumn("__block", F.explode(to))
+    rest = [c for c in df.columns if c not in (*o.keys, value)]
+    spread = spread.withColumns({c: F.when(own == F.col("__block"), F.col(c)) for c in rest} | {name: F.lit(None).cast("double")})
+
+    def convolve(part: pa.Table) -> pa.Table:
+        part = part.sort_by("__i")
+        x = np.nan_to_num(part[value].cast(pa.float64()).to_numpy())
+        at = part.schema.get_field_index(name)
+        part = part.set_column(at, name, pa.array(filtered(x, held.value)))
+        return part.filter(pc.greater_equal(part["__i"], pc.multiply(part["__block"], size)))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
+    return spread.groupBy(*o.keys, "__block").applyInArrow(convolve, shape).drop("__i", "__block")
+
+
+def with_frac_diff_expanding(df: DataFrame, value: str, o: Ordered, d: float, threshold: float = 1e-4, name: str = "frac_diff", block: int | None = None) -> DataFrame:
+    """Expanding fractional difference with all the weights at or above the threshold, in absolute value."""
+    longest = df.groupBy(*o.keys).count().agg(F.max("count")).first()[0] or 1
+    return with_causal_filter(df, value, o, frac_weights_above(d, threshold, longest), name, block)
 
 
 def find_min_d_array(x: np.ndarray, max_d: float, step: float, threshold: float) -> float:
@@ -165,17 +214,53 @@ def find_min_d(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_d:
     return per_key(df, keys, idx, [value], "min_d double", lambda x: {"min_d": find_min_d_array(x, max_d, step, threshold)})
 
 
+def suffix_automaton(s: list[int], alphabet: int) -> tuple[list[array], array]:
+    """Transitions by symbol (0: none), and for each state the end of its strings' first occurrence; state 1 is empty."""
+    go, link, length, first_end = [array("q", [0, 0]) for _ in range(alphabet)], array("q", [0, 0]), array("q", [0, 0]), array("q", [0, -1])
+    last = 1
+    for i, c in enumerate(s):
+        own, step = len(link), go[c]
+        for g in go:
+            g.append(0)
+        link.append(1), length.append(i + 1), first_end.append(i)
+        p = last
+        while p and not step[p]:
+            step[p] = own
+            p = link[p]
+        if p:
+            q = step[p]
+            if length[q] == length[p] + 1:
+                link[own] = q
+            else:  # the strings of q that end here, too, get a state of their own
+                copy = len(link)
+                for g in go:
+                    g.append(g[q])
+                link.append(link[q]), length.append(length[p] + 1), first_end.append(first_end[q])
+                while p and step[p] == q:
+                    step[p] = copy
+                    p = link[p]
+                link[q] = link[own] = copy
+        last = own
+    return go, first_end
+
+
 def lempel_ziv_array(bits: Sequence[bool]) -> int:
-    """Phrases of the LZ76 parse; a last phrase that reaches the end is not counted."""
-    s, n = "".join("1" if b else "0" for b in bits), len(bits)
-    start, count = 0, 0
+    """Phrases of the LZ76 parse; a last phrase that reaches the end is not counted.
+
+    A phrase grows while it occurs with an earlier end, which a suffix automaton tells for each further symbol.
+    """
+    s = [int(b) for b in bits]
+    go, first_end = suffix_automaton(s, 2)
+    start, count, n = 0, 0, len(s)
     while start < n:
-        length = 1
-        while start + length <= n and s.find(s[start : start + length], 0, start + length - 1) >= 0:
-            length += 1
-        if start + length > n:
-            break
-        count, start = count + 1, start + length
+        end, state = start, 1
+        while end < n:
+            state = go[s[end]][state]
+            if first_end[state] >= end:
+                count += 1
+                break
+            end += 1
+        start = end + 1
     return count
 
 
@@ -189,29 +274,36 @@ def lempel_ziv(df: DataFrame, keys: Sequence[str], idx: str, bit: str) -> DataFr
     return per_key(df, keys, idx, [bit], "complexity long, normalized double", make)
 
 
+def longest_matches(s: Sequence[int], window: int) -> np.ndarray:
+    """For each i, 1 plus the longest run from i that also starts in the window before i and ends there.
+
+    For each lag, the lengths of all runs of equal symbols at that lag are found in one pass over arrays.
+    """
+    s = np.asarray(s)
+    n = len(s)
+    best = np.zeros(n, np.int64)
+    for lag in range(1, min(window, n - 1) + 1):
+        at = np.arange(n - lag)
+        stop = np.where(s[lag:] == s[:-lag], n - lag, at)
+        run = np.minimum.accumulate(stop[::-1])[::-1] - at
+        np.maximum(best[lag:], np.minimum(run, lag), out=best[lag:])
+    return best + 1
+
+
 def longest_match_length(s: Sequence[int], i: int, window: int) -> int:
     """1 plus the longest run from i that also starts in the window before i and ends there; 0 at the borders."""
-    if i == 0 or i >= len(s):
-        return 0
-    most, low = 0, max(0, i - window)
-    for j in range(low, i):
-        k = 0
-        while i + k < len(s) and j + k < i and s[j + k] == s[i + k]:
-            k += 1
-        most = max(most, k)
-    return most + 1
+    return int(longest_matches(s, window)[i]) if 0 < i < len(s) else 0
 
 
 def kontoyiannis_array(s: Sequence[int], window: int) -> float:
     if len(s) <= window or window < 1:
         return 0.0
-    lengths = [longest_match_length(s, i, window) for i in range(window, len(s))]
-    return float(np.mean([1 / n for n in lengths if n > 0]) * np.log2(window))
+    return float(np.mean(1 / longest_matches(s, window)[window:]) * np.log2(window))
 
 
 def kontoyiannis_entropy(df: DataFrame, keys: Sequence[str], idx: str, symbol: str, window: int = 10) -> DataFrame:
     """(keys, entropy)."""
-    return per_key(df, keys, idx, [symbol], "entropy double", lambda x: {"entropy": kontoyiannis_array(x.tolist(), window)})
+    return per_key(df, keys, idx, [symbol], "entropy double", lambda x: {"entropy": kontoyiannis_array(x, window)})
 
 
 def adf_array(y: np.ndarray, lags: int) -> tuple[float, list[float]]:

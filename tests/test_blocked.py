@@ -12,8 +12,10 @@ from quantloom.operators import bars as B
 from quantloom.operators import codependence as D
 from quantloom.operators import overlap as O
 from quantloom.operators import recurrence as C
+from quantloom.operators import research as R
 from quantloom.operators import sampling as P
 from quantloom.operators import scans as X
+from quantloom.operators import series as W
 from quantloom.operators.dominance import dominance_sums, dominated, loose_positions, strict_positions
 
 RULES = [B.BarRule("tick", 7), B.BarRule("time", 40.0), B.BarRule("volume", 60.0), B.BarRule("dollar", 900.0)]
@@ -213,3 +215,96 @@ def test_first_touches(spark, barrier):
                     break
     made = O.first_touches(entries, frame, ["key"], barrier).collect()
     assert sorted(tuple(r) for r in made) == sorted(want)
+
+
+def plain_lz(bits):
+    s, start, count = "".join("01"[b] for b in bits), 0, 0
+    while start < len(s):
+        n = 1
+        while start + n <= len(s) and s[start : start + n] in s[: start + n - 1]:
+            n += 1
+        if start + n > len(s):
+            break
+        count, start = count + 1, start + n
+    return count
+
+
+def test_lempel_ziv_is_the_plain_parse():
+    r = random.Random(7)
+    for _ in range(300):
+        p = r.choice([0.1, 0.5])
+        bits = [r.random() < p for _ in range(r.randint(0, 60))] * r.choice([1, 1, 3])
+        assert X.lempel_ziv_array(bits) == plain_lz(bits)
+
+
+def plain_match(s, i, window):
+    most = 0
+    for j in range(max(0, i - window), i):
+        k = 0
+        while i + k < len(s) and j + k < i and s[j + k] == s[i + k]:
+            k += 1
+        most = max(most, k)
+    return most + 1
+
+
+def test_longest_matches_are_those_of_the_loop():
+    r = random.Random(8)
+    for _ in range(120):
+        s = [r.randrange(r.choice([1, 2, 5])) for _ in range(r.randint(1, 50))]
+        window = r.randint(1, 60)
+        assert X.longest_matches(s, window)[1:].tolist() == [plain_match(s, i, window) for i in range(1, len(s))]
+
+
+def test_weights_above():
+    assert X.frac_weights_above(0.4, 1e-3, 10_000).tolist() == pytest.approx([w for w in X.frac_weights(0.4, 10_000) if abs(w) >= 1e-3])
+    assert X.frac_weights_above(2.0, 0.0, 10).tolist() == [1, -2, 1]
+    assert len(X.frac_weights_above(0.4, 0.0, 200_000)) == 200_000  # no bound but the rows
+
+
+@pytest.mark.parametrize("block", [None, 16])
+def test_causal_filter(spark, block):
+    rows = [(k, i, float(x), f"{k}{i}") for k, n in (("a", 300), ("b", 1), ("c", 17)) for i, x in enumerate(np.random.default_rng(n).normal(size=n))]
+    frame = spark.createDataFrame(rows, "key string, idx long, x double, more string").repartition(3)
+    for w in (np.array([1.0, -0.4, 0.1]), np.random.default_rng(1).normal(size=45), np.ones(1)):
+        made = X.with_causal_filter(frame, "x", W.Ordered(["key"], ["idx"]), w, "y", block).collect()
+        assert len(made) == len(rows)
+        x = {k: [r[2] for r in rows if r[0] == k] for k in "abc"}
+        for r in made:
+            want = sum(w[j] * x[r["key"]][r["idx"] - j] for j in range(min(len(w), r["idx"] + 1)))
+            assert math.isclose(r["y"], want, abs_tol=1e-12) and r["more"] == f"{r['key']}{r['idx']}"
+
+
+def test_expanding_difference_of_a_long_series(spark):
+    n = 100_000
+    frame = spark.range(n).select(F.lit(1).alias("key"), F.col("id").alias("idx"), F.sin(F.col("id") / 50).alias("x"))
+    made = X.with_frac_diff_expanding(frame, "x", W.Ordered(["key"], ["idx"]), 0.4, 0.0).where("idx % 9973 = 0 or idx > 99990").collect()
+    x, w = np.sin(np.arange(n) / 50), np.array(X.frac_weights(0.4, n))
+    assert len(made) == 20
+    for r in made:
+        i = r["idx"]
+        assert math.isclose(r["frac_diff"], float(w[: i + 1] @ x[i::-1]), abs_tol=1e-9)
+
+
+def test_sequential_draws_follow_uniqueness():
+    spans, trials = [(0, 2), (1, 2), (5, 5), (4, 3)], 40_000
+    rng, seen = np.random.default_rng(5), {}
+    for _ in range(trials):
+        d = tuple(R.sequential_draws(spans, 6, 2, rng))
+        seen[d] = seen.get(d, 0) + 1
+
+    def uniqueness(chosen):
+        cover = np.zeros(6)
+        for i in chosen:
+            cover[spans[i][0] : spans[i][1] + 1] += 1
+        return np.array([(1 / (1 + cover[a : b + 1])).mean() if b >= a else 0.0 for a, b in spans])
+
+    first = uniqueness([]) / uniqueness([]).sum()
+    for i in range(4):
+        second = uniqueness([i]) / uniqueness([i]).sum()
+        for j in range(4):
+            p = first[i] * second[j]
+            assert abs(seen.get((i, j), 0) / trials - p) < 5 * math.sqrt(p * (1 - p) / trials) + 1e-12
+    assert sorted(set(R.sequential_draws([(1, 0), (2, 1)], 3, 50, rng))) == [0, 1]  # no event has a bar
+    chosen = R.sequential_draws([(i, min(i + i % 7, 199)) for i in range(200)], 200, 200, rng)
+    sums = [np.mean([1 / sum(a <= t <= b for a, b in ((c, min(c + c % 7, 199)) for c in chosen)) for t in range(i, min(i + i % 7, 199) + 1)]) for i in chosen]
+    assert math.isclose(R.mean_uniqueness([(i, min(i + i % 7, 199)) for i in range(200)], chosen, 200), np.mean(sums))

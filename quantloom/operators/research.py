@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..shipping import ship_package
-from .overlap import PurgedKFold
 from .matrix import cla_min_variance, correlation_matrix, hrp_from_moments, to_numpy
 
 
@@ -170,72 +169,11 @@ def build_paths(test_groups: Sequence[Sequence[int]], n_groups: int, most: int =
     return out
 
 
-def cv_scores(df: DataFrame, features: Sequence[str], label: str, folds: DataFrame, idx: str, fit_score: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]) -> DataFrame:
-    """(fold, score): ``fit_score(x_train, y_train, x_test, y_test)`` on each fold, folds in parallel.
-
-    A fold is one group, as the model is fitted by a local library; folds without training or test rows are left out.
-    """
-    ship_package(df.sparkSession)
-    rows = folds.join(df.select(F.col(idx).alias("idx"), *features, label), "idx")
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        train, test = frame[frame["role"] == "train"], frame[frame["role"] == "test"]
-        if not len(train) or not len(test):
-            return pd.DataFrame({"fold": [], "score": []})
-        x = list(features)
-        return pd.DataFrame({"fold": [frame["fold"].iloc[0]], "score": [fit_score(train[x].to_numpy(), train[label].to_numpy(), test[x].to_numpy(), test[label].to_numpy())]})
-
-    return rows.groupBy("fold").applyInPandas(score, "fold int, score double")
-
-
-def mean_decrease_accuracy(df: DataFrame, features: Sequence[str], label: str, predict: Callable[[np.ndarray], np.ndarray], keys: Sequence[str], idx: str, seed: int = 0) -> DataFrame:
-    """(keys, feature, importance): the loss of accuracy when one feature is shuffled within the keys, features in parallel."""
-    ship_package(df.sparkSession)
-    keys, features = list(keys), list(features)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
-    each = df.select(*keys, idx, *features, label, F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("feature"))
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(idx)
-        which, x, y = int(frame["feature"].iloc[0]), frame[features].to_numpy(float), frame[label].to_numpy()
-        base = (predict(x) == y).mean()
-        x[:, which] = np.random.default_rng([seed, which]).permutation(x[:, which])
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "feature": [which], "importance": [float(base - (predict(x) == y).mean())]})
-
-    return each.groupBy(*keys, "feature").applyInPandas(score, f"{fields}{', ' if fields else ''}feature int, importance double")
-
-
-def single_feature_importance(df: DataFrame, features: Sequence[str], label: str, events: DataFrame, idx: str, n_splits: int, fit_score: Callable) -> DataFrame:
-    """(feature, score): the mean score of each feature alone over purged folds; features x folds in parallel."""
-    ship_package(df.sparkSession)
-    folds = PurgedKFold(n_splits).split(events.withColumn("__one", F.lit(0)), ["__one"]).drop("__one")
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)])
-    long = folds.join(df.select(F.col(idx).alias("idx"), F.col(label).alias("y"), cells.alias("c")), "idx").select("fold", "idx", "role", "y", F.inline("c"))
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        train, test = frame[frame["role"] == "train"], frame[frame["role"] == "test"]
-        if not len(train) or not len(test):
-            return pd.DataFrame({"feature": [], "score": []})
-        s = fit_score(train[["x"]].to_numpy(), train["y"].to_numpy(), test[["x"]].to_numpy(), test["y"].to_numpy())
-        return pd.DataFrame({"feature": [int(frame["feature"].iloc[0])], "score": [float(s)]})
-
-    return long.groupBy("feature", "fold").applyInPandas(score, "feature int, score double").groupBy("feature").agg(F.avg("score").alias("score"))
-
-
 def mean_decrease_impurity(df: DataFrame, feature: str, importance: str) -> DataFrame:
     """(feature, importance): the mean over trees of rows (tree, feature, importance)."""
     return df.groupBy(feature).agg(F.avg(importance).alias("importance"))
 
 
-def nearest_centroid(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, y_test: np.ndarray) -> float:
-    """Accuracy of the plainest classifier, for examples and tests."""
-    labels = np.unique(y)
-    centroids = np.stack([x[y == c].mean(0) for c in labels])
-    return float((labels[((x_test[:, None, :] - centroids) ** 2).sum(2).argmin(1)] == y_test).mean())
-
-
 def orthogonal_features(df: DataFrame, columns: Sequence[str], n: int) -> tuple[DataFrame, DataFrame]:
     """Rows with components pc0 ... and (component, ratio): principal components of the centred columns."""
     from .matrix import covariance_matrix, eigen
@@ -571,18 +509,6 @@ def expected_value(paths: DataFrame, payoff, keys: Sequence[str]) -> DataFrame:
     return paths.groupBy(*keys).agg(F.coalesce(F.avg(payoff), F.lit(0.0)).alias("value"))
 
 
-def forest_preset(which: int) -> dict:
-    """Parameters for ``pyspark.ml.classification.RandomForestClassifier``: three settings against overfitting.
-
-    1: many trees on few features each; 2: more trees, fewer features, leaves with 5 % of the rows; 3: bagged trees on all
-    features.
-    """
-    presets = {1: {"numTrees": 1000, "featureSubsetStrategy": "sqrt"}, 2: {"numTrees": 5000, "featureSubsetStrategy": "log2", "minWeightFractionPerNode": 0.05}, 3: {"numTrees": 1000, "featureSubsetStrategy": "all"}}
-    if which not in presets:
-        raise InvalidParameter(f"preset {which}")
-    return presets[which]
-
-
 def kmeans_rows(df: DataFrame, features: Sequence[str], k: int, max_iter: int = 300, seed: int = 42) -> DataFrame:
     """``df`` with a column ``cluster``: k-means over all rows, for data too large for one matrix."""
     from pyspark.ml.clustering import KMeans

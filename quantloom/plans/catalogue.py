@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..operators import bars as B
+from ..operators import classify as C
 from ..operators import codependence as D
 from ..operators import matrix as M
 from ..operators import overlap as O
@@ -454,6 +455,42 @@ add("feature_clusters", lambda s, d: R.feature_clusters(embedding_columns(s, d),
 add("silhouette_score", lambda s, d: R.silhouette_score(embedding_columns(s, d).where("label is not null"), DIMS, "label", "vec_id").select(rounded("silhouette").alias("value")),
     f"with {EMB}, d as (select a.vec_id, a.label as own, b.label as other, sum(sqrt({' + '.join(f'pow(a.{c} - b.{c}, 2)' for c in DIMS)})) as t, count(*) as n from v a cross join v b group by all), m as (select vec_id, max(case when own = other then case when n > 1 then t / (n - 1) else 0 end end) as a, min(case when own <> other then t / n end) as b from d group by vec_id) select {r6('avg(case when b is null or greatest(a, b) <= 1e-15 then 0 else (b - a) / greatest(a, b) end)')} as value from m")
 add("orthogonal_features", lambda s, d: R.orthogonal_features(embedding_columns(s, d), DIMS, 3)[0].select("vec_id", *[rounded(f"pc{k}").alias(f"pc{k}") for k in range(3)]))
+# --- classifiers over vectors ---------------------------------------------------------------------------------------
+
+
+def forest(sf_dir: str) -> C.Forest:
+    """Twenty trees on the square root of the features; the same for the same rows."""
+    return C.Forest(C.RandomForestConfig(20, ("sqrt", 0)), 7, 5, ("vec_id",))
+
+
+def vector_folds(vectors: DataFrame, embargo: float) -> DataFrame:
+    return O.PurgedKFold(4, embargo).split(vectors.select(F.lit(0).alias("one"), "idx", F.col("idx").alias("start"), (F.col("idx") + 3).alias("end")), ["one"]).drop("one")
+
+
+def labelled_sql() -> str:
+    return f"{EMB}, x as (select *, label as y, row_number() over (order by vec_id) - 1 as idx from v)"
+
+
+def folds_sql(embargo: float) -> str:
+    """fold, idx and role of spans of three more rows, in four folds."""
+    return (
+        "n as (select count(*) as n from x), pf as (select idx, case when idx < (n % 4) * (n // 4 + 1) then idx // (n // 4 + 1) else (n % 4) + (idx - (n % 4) * (n // 4 + 1)) // (n // 4) end as own from x, n), "
+        "sp as (select own as fold, min(idx) as a, max(idx) + 3 as b, max(idx) as last from pf group by own), "
+        f"roles as (select fold, idx, case when own = fold then 'test' when not (idx <= b and idx + 3 >= a) and not (idx > last and idx <= last + ceil(n * {embargo})) then 'train' end as role from pf, sp, n)"
+    )
+
+
+def nearest_sql(dims: list[str]) -> str:
+    return " + ".join(f"pow({c} - m{c}, 2)" for c in dims)
+
+
+def fold_scores_sql(dims: list[str]) -> str:
+    return (
+        f"fm as (select fold, y as c, {', '.join(f'avg({c}) as m{c}' for c in dims)} from roles join x using (idx) where role = 'train' group by fold, y), "
+        f"fp as (select fold, idx, any_value(y) as y, min((({nearest_sql(dims)}), c)) as n from roles join x using (idx) join fm using (fold) where role = 'test' group by fold, idx), scores as (select fold::int as fold, avg((n[2] = y)::int) as score from fp group by fold)"
+    )
+
+
 # --- scans without SQL ----------------------------------------------------------------------------------------------
 
 add("lempel_ziv_complexity", lambda s, d: X.lempel_ziv(event_series(s, d).withColumn("b", F.coalesce(S.binary_encode(F.col("x") - F.col("p")), F.lit(False))), ["key"], "idx", "b"))
@@ -467,9 +504,16 @@ add("hasbrouck_lambda", lambda s, d: X.hasbrouck_lambda(event_series(s, d).where
 add("sequential_bootstrap", lambda s, d: R.sequential_bootstrap(spans(event_series(s, d)), ["key"], None, None, 7))
 add("compare_bootstraps", lambda s, d: R.compare_bootstraps(spans(event_series(s, d)), ["key"], None, None, 4, 7))
 add("otr_mesh", lambda s, d: R.otr_mesh(ou_params(s, d), [0.5, 1.0], [0.5, 1.0], 4, 7, 0.01, 500))
-add("mean_decrease_accuracy", lambda s, d: R.mean_decrease_accuracy(embedding_columns(s, d).withColumns({"y": (F.col("e0") > 0).cast("int"), "key": F.col("vec_id") % 4}), DIMS[:4], "y", lambda x: (x[:, 0] > 0).astype(int), ["key"], "vec_id", 7))
-add("cv_score", lambda s, d: (lambda e: R.cv_scores(e, DIMS, "y", O.PurgedKFold(4, 0.01).split(e.select(F.lit(0).alias("one"), F.col("idx"), F.col("idx").alias("start"), (F.col("idx") + 3).alias("end")), ["one"]).drop("one"), "idx", R.nearest_centroid))(labelled_vectors(s, d)))
-add("single_feature_importance", lambda s, d: (lambda e: R.single_feature_importance(e, DIMS[:4], "y", e.select("idx", F.col("idx").alias("start"), (F.col("idx") + 3).alias("end")), "idx", 4, R.nearest_centroid))(labelled_vectors(s, d)))
+add("mean_decrease_accuracy", lambda s, d: C.mean_decrease_accuracy(labelled_vectors(s, d), DIMS[:4], "y", "idx", C.NearestCentroid().fit(labelled_vectors(s, d), DIMS[:4], "y"), 7).select("feature", rounded("importance").alias("value")),
+    f"with {labelled_sql()}, m as (select y as c, {', '.join(f'avg({c}) as m{c}' for c in DIMS[:4])} from x group by y), e as (select x.*, f, row_number() over (partition by f order by idx) as own, row_number() over (partition by f order by md5('7:' || f || ':' || idx), idx) as given from x cross join (values (0), (1), (2), (3)) t(f)), "
+    f"w as (select a.idx, a.y, a.f, {', '.join(f'case when a.f = {i} then b.{c} else a.{c} end as {c}' for i, c in enumerate(DIMS[:4]))} from e a join e b on a.f = b.f and a.own = b.given), z as (select *, -1 as g from x), q as (select idx, y, f, {', '.join(DIMS[:4])} from w union all select idx, y, g, {', '.join(DIMS[:4])} from z), "
+    f"p as (select q.idx, q.f, any_value(q.y) as y, min((({nearest_sql(DIMS[:4])}), c)) as n from q cross join m group by q.idx, q.f), r as (select f, avg((n[2] = y)::int) as score from p group by f) select 'e' || f as feature, {r6('(select score from r where f = -1) - score')} as value from r where f >= 0")
+add("cv_score", lambda s, d: C.cv_scores(labelled_vectors(s, d), DIMS, "y", vector_folds(labelled_vectors(s, d), 0.01), "idx", C.NearestCentroid()).select("fold", rounded("score").alias("value")),
+    f"with {labelled_sql()}, {folds_sql(0.01)}, {fold_scores_sql(DIMS)} select fold, {r6('score')} as value from scores")
+add("single_feature_importance", lambda s, d: C.single_feature_importance(labelled_vectors(s, d), DIMS[:4], "y", vector_folds(labelled_vectors(s, d), 0.0), "idx", C.NearestCentroid()).select("feature", rounded("score").alias("value")),
+    " union all ".join(f"select * from (with {labelled_sql()}, {folds_sql(0.0)}, {fold_scores_sql([c])} select '{c}' as feature, {r6('avg(score)')} as value from scores)" for c in DIMS[:4]))
+add("forest_accuracy", lambda s, d: C.cv_scores(labelled_vectors(s, d), DIMS, "y", vector_folds(labelled_vectors(s, d), 0.01), "idx", forest(d)).select("fold", rounded("score").alias("value")))
+add("forest_importances", lambda s, d: R.mean_decrease_impurity(forest(d).fit(labelled_vectors(s, d), DIMS, "y").tree_importances(), "feature", "importance").select("feature", rounded("importance").alias("value")))
 add("mean_decrease_impurity", lambda s, d: R.mean_decrease_impurity(table(s, d, "lineitem"), "l_linenumber", "l_discount").select("l_linenumber", rounded("importance").alias("value")), f"select l_linenumber, {r6('avg(l_discount)')} as value from lineitem group by l_linenumber")
 add("trajectories", lambda s, d: R.expected_value(R.trajectories(customers(s, d), "rho", [-0.1, 0.0, 0.2], 3), F.greatest(F.element_at("path", -1), F.lit(0.0)), ["id"]).select("id", rounded("value").alias("value")),
     f"with {CUSTOMER_SQL}, m(m) as (values (-0.1::double), (0.0::double), (0.2::double)) select id, {r6('avg(greatest(rho + a.m + b.m + e.m, 0))')} as value from c cross join m a cross join m b cross join m e group by id")

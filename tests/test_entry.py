@@ -29,6 +29,5 @@ def test_import_without_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
-def test_large_clusters_and_presets(spark):
+def test_large_clusters(spark):
     assert R.kmeans_rows(embedding_columns(spark, SF, 4), ["e0", "e1", "e2", "e3"], 3, 10).select("cluster").distinct().count() == 3
-    assert R.forest_preset(2)["minWeightFractionPerNode"] == 0.05

@@ -141,9 +141,9 @@ def word_keys(words: pa.Array, ranks: np.ndarray) -> np.ndarray:
     return ranks[(h >> rest).astype(np.int64)].astype(np.uint64) << rest | h & ((np.uint64(1) << rest) - np.uint64(1))
 
 
-def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHUNK_BYTES of text; a longer text is a part of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
+def chunks(batch: pa.RecordBatch, text: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // size
     cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -156,10 +156,11 @@ def rank_words(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
-            for part in chunks(batch, 0):
-                found = Lines(part.column(0))
-                at = (word_hashes(found.words) >> np.uint64(64 - RANK_BITS)).astype(np.int64)
-                np.add.at(sums, at, np.bincount(found.codes, minlength=len(at)))
+            for part in chunks(batch, 0, CHUNK_BYTES >> 2):
+                words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(0).cast(pa.large_string()), ""))).flatten().dictionary_encode()
+                full = pc.greater(pc.binary_length(words.dictionary), 0)
+                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))[full.to_numpy(zero_copy_only=False)]
+                np.add.at(sums, (word_hashes(words.dictionary.filter(full)) >> np.uint64(64 - RANK_BITS)).astype(np.int64), times)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
 

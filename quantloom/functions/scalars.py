@@ -230,3 +230,30 @@ def max_features(kind: str, n_features: int, value: float = 0) -> int:
         raise InvalidParameter(kind)
     raw = {"sqrt": lambda: math.ceil(math.sqrt(n_features)), "log2": lambda: math.ceil(math.log2(max(1, n_features))), "fraction": lambda: math.ceil(value * n_features), "fixed": lambda: min(int(value), n_features)}[kind]()
     return max(1, raw)
+
+
+def frac_weights(d, size) -> Column:
+    """The first ``size`` weights of (1 - L)^d as an array."""
+    d, size = _col(d).cast("double"), _col(size).cast("int")
+    step = lambda w, k: F.array_append(w, -F.element_at(w, -1) * (d - k + 1) / k)
+    more = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(size > 0, F.aggregate(more, F.array(F.lit(1.0)), step)).otherwise(F.array().cast("array<double>"))
+
+
+def frac_weights_ffd(d, threshold: float, most: int = 1000) -> Column:
+    """The weights of (1 - L)^d up to the first below the threshold in absolute value, ``most`` at most, as an array."""
+    d = _col(d).cast("double")
+
+    def step(state: Column, k: Column) -> Column:
+        w = -F.element_at(state["w"], -1) * (d - k + 1) / k
+        return F.when(state["done"] | (F.abs(w) < threshold), F.struct(state["w"].alias("w"), F.lit(True).alias("done"))).otherwise(F.struct(F.array_append(state["w"], w).alias("w"), F.lit(False).alias("done")))
+
+    begin = F.struct(F.array(F.lit(1.0)).alias("w"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), begin, step, lambda s: s["w"])
+
+
+def marcenko_pastur_density(x, var: float, q: float) -> Column:
+    """The density of eigenvalues of a random covariance matrix with q observations for each series; 0 outside the support."""
+    x, low, high = _col(x), var * (1 - (1 / q) ** 0.5) ** 2, var * (1 + (1 / q) ** 0.5) ** 2
+    inside = (F.lit(high) - x) * (x - F.lit(low))
+    return F.when((inside > 0) & (x > 0), q / (2 * math.pi * var * x) * F.sqrt(inside)).otherwise(F.lit(0.0))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..shipping import ship_package
+from .series import numbered
 from .matrix import cla_min_variance, correlation_matrix, hrp_from_moments, to_numpy
 
 
@@ -399,10 +400,10 @@ def backtest_splits(returns: DataFrame, idx: str, n_groups: int, shuffle_seed: i
     if shuffle_seed is None:
         rows = rows.withColumn("__o", F.col("idx"))
     else:
-        rows = rows.withColumn("__o", F.xxhash64(F.lit(shuffle_seed), "idx"))
-    n = rows.count()
-    w = Window.partitionBy(F.lit(0)).orderBy("__o", "idx")
-    placed = rows.withColumn("g", F.least(F.floor((F.row_number().over(w) - 1) / max(1, n // n_groups)), F.lit(n_groups - 1)).cast("int")).drop("__o")
+        rows = rows.withColumn("__o", F.md5(F.concat_ws(":", F.lit(shuffle_seed), F.col("idx").cast("string"))))
+    placed = numbered(rows, ["__o", "idx"], "__at")
+    n = placed.count()
+    placed = placed.select("idx", F.least(F.floor(F.col("__at") / max(1, n // n_groups)), F.lit(n_groups - 1)).cast("int").alias("g"))
     sums = returns.withColumnRenamed(idx, "idx").join(placed, "idx").groupBy("strategy", "g").agg(F.sum("ret").alias("s"))
     per = sums.groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("g", "s"))).alias("m"))
     combos = list(itertools.combinations(range(n_groups), n_groups // 2))

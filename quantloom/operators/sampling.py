@@ -44,23 +44,40 @@ def linspace_sample(spark: SparkSession, start: int, end: int, n: int) -> DataFr
     return spark.range(n).select(F.col("id").alias("i"), F.floor(F.lit(float(start)) + F.col("id") * F.lit(step) + 0.5).cast("long").alias("idx"))
 
 
-def lcg_draws(n: int, total: int, seed: int) -> list[int]:
-    """Positions below ``total`` from a 64-bit linear congruential generator: 2 n draws, sorted, distinct, the first n.
+def linspace_rows(df: DataFrame, keys: Sequence[str], idx: str, n: int) -> DataFrame:
+    """Of each key the rows at n positions, evenly spaced from its first to its last (idx counts from 0); ``i`` numbers them."""
+    keys = list(keys)
+    last = df.groupBy(*keys).agg(F.max(idx).alias("__last"))
+    step = F.col("__last") / (n - 1) if n > 1 else F.lit(0.0)
+    picked = last.select(*keys, "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) if n > 0 else last.withColumn("i", F.lit(0)).where("false")
+    picked = picked.select(*keys, F.col("i").cast("long").alias("i"), F.floor(F.col("i") * step + 0.5).cast("long").alias(idx))
+    return df.join(picked, [*keys, idx]).select(*df.columns, "i")
 
-    Low positions are favoured by the cut; that is the operator's definition.
-    """
+
+def lcg_states(n: int, seed: int) -> list[int]:
+    """The first n states of a 64-bit linear congruential generator, without their lowest 16 bits."""
     # Multiplier and increment of the generator.
     multiplier, increment, mask = 6364136223846793005, 1442695040888963407, (1 << 64) - 1
-    state, drawn = seed & mask, set()
-    for _ in range(2 * n):
+    state, made = seed & mask, []
+    for _ in range(n):
         state = (state * multiplier + increment) & mask
-        drawn.add((state >> 16) % total)
-    return sorted(drawn)[:n]
+        made.append(state >> 16)
+    return made
 
 
-def uniform_sample(df: DataFrame, idx: str, n: int, total: int, seed: int) -> DataFrame:
-    """The rows at the drawn positions; n positions travel with the plan."""
-    return df.where(F.col(idx).isin(lcg_draws(n, total, seed))) if total > 0 and n > 0 else df.where("false")
+def uniform_sample(df: DataFrame, keys: Sequence[str], idx: str, n: int, seed: int) -> DataFrame:
+    """Of each key the rows at n drawn positions (idx counts from 0), or fewer where draws repeat.
+
+    2 n draws from all of the key's rows, sorted, distinct, the first n: low positions are favoured by the cut; that is the
+    operator's definition. The draws travel with the plan.
+    """
+    if n <= 0:
+        return df.where("false")
+    keys = list(keys)
+    states = F.array(*[F.lit(x) for x in lcg_states(2 * n, seed)])
+    drawn = F.slice(F.array_sort(F.array_distinct(F.transform(states, lambda x: x % F.col("__n")))), 1, n)
+    picked = df.groupBy(*keys).agg((F.max(idx) + 1).alias("__n")).select(*keys, F.explode(drawn).alias(idx))
+    return df.join(picked, [*keys, idx], "left_semi")
 
 
 def with_quantile_code(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], bins: int, name: str = "code") -> DataFrame:

@@ -336,22 +336,10 @@ def adf_test(df: DataFrame, keys: Sequence[str], idx: str, value: str, lags: int
 
 def sadf(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1) -> DataFrame:
     """(keys, end, statistic) of the test on every prefix of at least ``min_window`` rows."""
-    made = lambda x: {"end": np.arange(min_window, len(x) + 1), "statistic": [adf_array(x[:e], lags)[0] for e in range(min_window, len(x) + 1)]}
+    made = lambda x: {"end": np.arange(min_window, len(x) + 1), "statistic": adf_ends(x.astype(float), lags, min_window)}
     return per_key(df, keys, idx, [value], "end long, statistic double", made)
 
 
-def gsadf(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1) -> DataFrame:
-    """(keys, start, end, statistic) of the test on every span of at least ``min_window`` rows."""
-
-    def make(x: np.ndarray) -> dict:
-        spans = [(a, b) for a in range(len(x) - min_window + 1) for b in range(a + min_window, len(x) + 1)]
-        stats = [adf_array(x[a:b], lags)[0] for a, b in spans]
-        keep = [i for i, s in enumerate(stats) if np.isfinite(s)]
-        return {"start": np.array([spans[i][0] for i in keep], int), "end": np.array([spans[i][1] for i in keep], int), "statistic": np.array([stats[i] for i in keep], float)}
-
-    return per_key(df, keys, idx, [value], "start long, end long, statistic double", make)
-
-
 def adf_ends(y: np.ndarray, lags: int, min_window: int) -> np.ndarray:
     """t statistics of ``adf_array(y[:e], lags)`` for every e from ``min_window``, moments carried from end to end."""
     ends = np.arange(min_window, len(y) + 1)
@@ -386,28 +374,55 @@ def adf_ends(y: np.ndarray, lags: int, min_window: int) -> np.ndarray:
     return out
 
 
-def gsadf_stat(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1) -> DataFrame:
-    """(keys, statistic): the largest finite test over every span [start, end) of at least ``min_window`` rows of a key.
+#: Starts that one row of a series serves.
+START_BLOCK = 64
 
-    A start is a row of its own that carries its key's series from there, so the starts of a long key are spread; the
-    tests of a start come from running moments. Minus infinity without any test.
+
+def _spans_by_start(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int, lags: int, shape: str, made: Callable[[int, np.ndarray], dict], block: int) -> DataFrame:
+    """``made(start, statistics)`` of every start of each key; the statistics are those of its ends from ``min_window`` rows on.
+
+    A block of starts is one row that carries the key's series from its first start on, so a series is sent once for
+    every ``block`` starts, and the blocks of a long key are spread. The tests of a start come from running moments.
     """
     ship_package(df.sparkSession)
     keys = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
     series = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(idx, value))), lambda r: r[value]).alias("__y"))
     n = F.greatest(F.size("__y") - min_window + 1, F.lit(1))
-    starts = series.select(*keys, "__y", F.explode(F.sequence(F.lit(0), n - 1)).alias("__start"))
-    starts = starts.repartition(*keys, "__start").select(*keys, F.expr("slice(__y, __start + 1, size(__y))").alias("__y"))
+    blocks = series.select(*keys, "__y", F.explode(F.sequence(F.lit(0), n - 1, F.lit(block))).alias("__start"))
+    blocks = blocks.repartition(*keys, "__start").select(*keys, "__start", F.expr("slice(__y, __start + 1, size(__y))").alias("__y"))
 
     def run(frames):
         for frame in frames:
-            made = frame[keys].copy()
-            stats = [adf_ends(np.asarray(y, float), lags, min_window) for y in frame["__y"]]
-            made["statistic"] = [float(s[np.isfinite(s)].max()) if np.isfinite(s).any() else float("-inf") for s in stats]
-            yield made
+            for row, (start, y) in enumerate(zip(frame["__start"].tolist(), frame["__y"], strict=True)):
+                y = np.asarray(y, float)
+                parts = [made(start + k, adf_ends(y[k:], lags, min_window)) for k in range(min(block, max(1, len(y) - min_window + 1)))]
+                out = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+                for i, k in enumerate(keys):
+                    out.insert(i, k, frame[k].iloc[row])
+                yield out
+
+    return blocks.mapInPandas(run, f"{fields}, {shape}")
+
+
+def gsadf(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1, block: int = START_BLOCK) -> DataFrame:
+    """(keys, start, end, statistic) of the test on every span [start, end) of at least ``min_window`` rows, where it is finite."""
+
+    def made(start: int, stats: np.ndarray) -> dict:
+        at = np.flatnonzero(np.isfinite(stats))
+        return {"start": np.full(len(at), start), "end": start + min_window + at, "statistic": stats[at]}
+
+    return _spans_by_start(df, keys, idx, value, min_window, lags, "start long, end long, statistic double", made, block)
+
+
+def gsadf_stat(df: DataFrame, keys: Sequence[str], idx: str, value: str, min_window: int = 20, lags: int = 1, block: int = START_BLOCK) -> DataFrame:
+    """(keys, statistic): the largest finite test over every span of at least ``min_window`` rows; minus infinity without any."""
+
+    def made(start: int, stats: np.ndarray) -> dict:
+        stats = stats[np.isfinite(stats)]
+        return {"statistic": np.array([stats.max() if len(stats) else -np.inf])}
 
-    return sup_statistic(starts.mapInPandas(run, f"{fields}, statistic double"), keys)
+    return sup_statistic(_spans_by_start(df, keys, idx, value, min_window, lags, "statistic double", made, block), keys)
 
 
 def sup_statistic(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ without full history gives null.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -44,6 +45,31 @@ def with_idx(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return df.withColumn(name, (F.row_number().over(Ordered(keys, order).over) - 1).cast("long"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """All rows with their 0-based position by ``order``, by many tasks: a range sort, then the counts of its partitions.
+
+    The sorted rows are checkpointed in ``spark.checkpoint.dir``, as their partitions must stay the same.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise InvalidParameter("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint()
+    laid = laid.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    counts = laid.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).collect()  # a row for each partition
+    shift, before = {}, 0
+    for r in sorted(counts):
+        shift[r["__part"]], before = before - r["first"], before + r["n"]
+    if not shift:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    shifts = F.create_map(*[F.lit(x) for pair in shift.items() for x in pair])
+    return laid.withColumn(name, F.col("__row") + F.element_at(shifts, F.col("__part"))).drop("__part", "__row")
+
+
 def slice_rows(df: DataFrame, start: int, end: int, idx: str = "idx") -> DataFrame:
     """Positions from start up to, not including, end."""
     if start > end or start < 0:

@@ -5,6 +5,7 @@ Doubles are rounded to six digits on both sides, with 0.0 added so that no negat
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -108,6 +109,12 @@ add_scalar("bagging_accuracy", lambda: S.bagging_accuracy(10, "p"), BAG)
 add_scalar("binomial", lambda: S.binomial("n", "k"), "case k when 2 then n * (n - 1) // 2 when 3 then n * (n - 1) * (n - 2) // 6 when 4 then n * (n - 1) * (n - 2) * (n - 3) // 24 else n * (n - 1) * (n - 2) * (n - 3) * (n - 4) // 120 end", True)
 add_scalar("partitions_count", lambda: S.partitions_count("k", F.lit(3)), "(k + 2) * (k + 1) * k // 6", True)
 add_scalar("cpcv_num_paths", lambda: S.cpcv_paths(F.col("n"), F.lit(2)), "(n * (n - 1) // 2) * 2 // n", True)
+WEIGHT_SQL = "case when i = 0 then 1.0 else list_product(list_transform(range(1, i + 1), lambda j: (j - 1 - p) / j)) end"
+add("get_weights", lambda s, d: customers(s, d).select("id", F.posexplode(S.frac_weights("p", "n")).alias("i", "w")).select("id", F.col("i").cast("long").alias("i"), rounded("w").alias("weight")),
+    f"with {CUSTOMER_SQL} select id, i, {r6(WEIGHT_SQL)} as weight from c, lateral (select unnest(range(n)) as i)")
+add("get_weights_ffd", lambda s, d: customers(s, d).select("id", F.posexplode(S.frac_weights_ffd("p", 1e-2)).alias("i", "w")).select("id", F.col("i").cast("long").alias("i"), rounded("w").alias("weight")),
+    f"with {CUSTOMER_SQL}, w as (select id, i, {WEIGHT_SQL} as w from c, range(100) t(i)), f as (select id, min(i) as f from w where abs(w) < 1e-2 group by id) select id, i, {r6('w')} as weight from w left join f using (id) where f is null or i < f")
+add_scalar("marcenko_pastur_pdf", lambda: S.marcenko_pastur_density(F.col("p") * 3, 1.0, 4.0), "case when (2.25 - p * 3) * (p * 3 - 0.25) > 0 then 4 / (2 * pi() * p * 3) * sqrt((2.25 - p * 3) * (p * 3 - 0.25)) else 0 end")
 add("dynamic_bet_size", lambda s, d: customers(s, d).withColumn("b", S.dynamic_bet_size("rho", F.lit(0.1), F.lit(1.0), F.lit(2.0))).select("id", rounded("b.limit_delta").alias("limit_delta"), rounded("b.trade_size").alias("trade_size")),
     f"with {CUSTOMER_SQL} select id, {r6('atanh(greatest(least(tanh(rho), 1 - 1e-12), 1e-12 - 1)) * 2')} as limit_delta, {r6('tanh(rho) - 0.1')} as trade_size from c")
 # --- series of events per user: windows -----------------------------------------------------------------------------
@@ -403,8 +410,24 @@ add("dependence_matrix", lambda s, d: D.dependence_matrix(embedding_columns(s, d
 KDE_POINTS = [-0.3, -0.1, 0.0, 0.1, 0.3]
 add("fit_kde", lambda s, d: M.fit_kde(embedding_columns(s, d), "e0", KDE_POINTS, 0.05).select(rounded("x").alias("x"), rounded("density").alias("value")),
     f"with {EMB}, q(x) as (values " + ", ".join(f"({p}::double)" for p in KDE_POINTS) + f") select {r6('x')} as x, {r6('avg(exp(-0.5 * pow((x - e0) / 0.05, 2))) / (0.05 * sqrt(2 * pi()))')} as value from v cross join q group by x")
-add("cscv", lambda s, d: R.cscv(strategies(s, d), "day", 6).select(F.col("split").cast("long").alias("split"), "rank", rounded("logit").alias("logit"), "overfit"))
-add("probability_of_backtest_overfitting", lambda s, d: R.probability_of_backtest_overfitting(strategies(s, d), "day", 6))
+STRATEGIES_SQL = f"{SERIES_SQL}, t as (select date_diff('day', date '2024-01-01', ts::date)::bigint as day, key % 8 as strategy, avg(least(r, 3.0)) as ret from s where r is not null group by all)"
+
+
+def splits_sql(order: str) -> str:
+    """Sums of each strategy on half of six groups of days and on the others, for each of the twenty halves."""
+    halves = ", ".join(f"({k}, {list(c)})" for k, c in enumerate(itertools.combinations(range(6), 3)))
+    return (
+        f"{STRATEGIES_SQL}, dd as (select day, row_number() over (order by {order}) - 1 as i, count(*) over () as n from (select distinct day from t)), pg as (select strategy, least(i // greatest(1, n // 6), 5) as g, sum(ret) as v from t join dd using (day) group by all), "
+        f"c(split, half) as (values {halves}), io as (select split, strategy, sum(case when list_contains(half, g) then v else 0 end) as inside, sum(case when list_contains(half, g) then 0 else v end) as outside from pg, c group by all), "
+        "b as (select split, max((inside, strategy, outside)) as b, count(*) as n from io group by split)"
+    )
+
+
+add("cscv", lambda s, d: R.cscv(strategies(s, d), "day", 6).select(F.col("split").cast("long").alias("split"), "rank", rounded("logit").alias("logit"), "overfit"),
+    f"with {splits_sql('day')}, r as (select split, n, (sum((outside > b[3])::int) + 1)::bigint as rank from io join b using (split) group by split, n) select split::bigint as split, rank, {r6('ln(rank / (n + 1 - rank))')} as logit, rank > n // 2 as overfit from r")
+PBO_ORDER = "md5('0:' || day), day"
+add("probability_of_backtest_overfitting", lambda s, d: R.probability_of_backtest_overfitting(strategies(s, d), "day", 6),
+    f"with {splits_sql(PBO_ORDER)}, r as (select split, n, sum((outside <= b[3])::int) as rank from io join b using (split) group by split, n) select avg((rank <= n // 2)::int)::double as pbo from r")
 
 
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +522,13 @@ add("adf_test", lambda s, d: X.adf_test(event_series(s, d), ["key"], "idx", "x",
 add("sadf", lambda s, d: X.sadf(event_series(s, d), ["key"], "idx", "x", 20, 1))
 add("sadf_stat", lambda s, d: X.sup_statistic(X.sadf(event_series(s, d), ["key"], "idx", "x", 20, 1), ["key"]))
 add("gsadf_stat", lambda s, d: X.gsadf_stat(event_series(s, d), ["key"], "idx", "x", 20, 1))
-add("find_min_d", lambda s, d: X.find_min_d(event_series(s, d), ["key"], "idx", "x", 1.0, 0.1, 1e-2))
+MIN_D_GRID = list(itertools.accumulate([0.1] * 10))
+FFD_GRID = " union all ".join(f"select key, {d!r}::double as d, idx, {' + '.join(f'({w!r}::double) * lag(x, {k}) over w' for k, w in enumerate(X.frac_weights_ffd(d, 1e-2)))} as v from s {WIN}" for d in MIN_D_GRID)
+add("find_min_d", lambda s, d: X.find_min_d(event_series(s, d), ["key"], "idx", "x", 1.0, 0.1, 1e-2).select("key", rounded("min_d").alias("min_d")),
+    f"with {SERIES_SQL}, f as ({FFD_GRID}), g as (select key, d, v, row_number() over q - 1 as i, count(*) over (partition by key, d) as n from f where v is not null window q as (partition by key, d order by idx)), "
+    "h as (select key, d, n, var_samp(v) as vv, avg(v) filter (i < n // 2) - avg(v) filter (i >= n // 2) as gap, coalesce(var_samp(v) filter (i < n // 2), 0) as a, coalesce(var_samp(v) filter (i >= n // 2), 0) as b from g group by all), "
+    "o as (select key, min(d) as d from h where n >= 4 and (vv < 1e-15 or (case when greatest(a, b) > 1e-15 then least(a, b) / greatest(a, b) else 1 end > 0.3 and abs(gap) / sqrt(vv) < 1.0)) group by key) "
+    f"select key, {r6('coalesce(d, 1.0)')} as min_d from (select distinct key from s) left join o using (key)")
 add("hasbrouck_lambda", lambda s, d: X.hasbrouck_lambda(event_series(s, d).where("r is not null").withColumn("g", F.signum(F.col("x") - F.col("p"))), "r", "g", ["key"], 400, 7))
 add("sequential_bootstrap", lambda s, d: R.sequential_bootstrap(spans(event_series(s, d)), ["key"], None, None, 7))
 add("compare_bootstraps", lambda s, d: R.compare_bootstraps(spans(event_series(s, d)), ["key"], None, None, 4, 7))
@@ -520,7 +549,12 @@ add("trajectories", lambda s, d: R.expected_value(R.trajectories(customers(s, d)
 add("etf_trick", lambda s, d: W.etf_trick(monthly(s, d), "month", "asset", "price", "weight").select("month", rounded("value").alias("value")),
     f"with m as (select date_trunc('year', l_shipdate)::timestamp as month, l_returnflag as asset, avg(l_extendedprice / l_quantity) as price, 0.5::double as weight from lineitem where l_quantity > 0 group by all), g as (select month, sum(weight * price) as v, sum(w0 * price / p0) as f from (select *, lag(price) over w as p0, lag(weight) over w as w0 from m window w as (partition by asset order by month)) group by month) select month, {r6('first_value(v) over (order by month) * exp(coalesce(sum(ln(f)) over (order by month), 0))')} as value from g")
 add("bootstrap_rows", lambda s, d: R.standard_bootstrap(W.with_idx(table(s, d, "part").withColumn("one", F.lit(0)), ["one"], ["p_partkey"]), "idx", table(s, d, "part").count(), table(s, d, "part").count(), 7).select("trial", "p_partkey"))
-add("uniform_sample", lambda s, d: P.uniform_sample(event_series(s, d), "idx", 10, 60, 7).select("key", "idx", "x"), f"with {SERIES_SQL} select key, idx, x from s where idx in ({', '.join(map(str, P.lcg_draws(10, 60, 7)))})")
+add("uniform_sample", lambda s, d: P.uniform_sample(event_series(s, d), ["key"], "idx", 10, 7).select("key", "idx", "x"),
+    f"with recursive {SERIES_SQL}, g(i, state) as (select 0, 7::hugeint union all select i + 1, (state * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 from g where i < 20), l as (select key, count(*) as n from s group by key), "
+    "p as (select key, idx, row_number() over (partition by key order by idx) as k from (select distinct key, ((state // 65536) % n)::bigint as idx from g, l where i > 0)) select key, idx, x from p join s using (key, idx) where k <= 10")
+add("linspace_sample", lambda s, d: P.linspace_rows(event_series(s, d), ["key"], "idx", 5).select("key", "i", "idx", "x"),
+    f"with {SERIES_SQL}, l as (select key, max(idx) as last from s group by key), p as (select key, i, floor(i * (last / 4.0::double) + 0.5)::bigint as idx from l, range(5) t(i)) select key, i, idx, x from p join s using (key, idx)")
+add("gsadf", lambda s, d: X.gsadf(event_series(s, d), ["key"], "idx", "x", 20, 1))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -534,5 +568,4 @@ def ou_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embedding_columns(spark, sf_dir).withColumns({"one": F.lit(0), "y": F.col("label")})
-    return W.with_idx(e, ["one"], ["vec_id"]).drop("one")
+    return W.numbered(embedding_columns(spark, sf_dir).withColumn("y", F.col("label")), ["vec_id"])

@@ -1,10 +1,11 @@
 """Personal data: patterns that seed a bootstrapped contextual extraction.
 
 Mail addresses, IP addresses, card and phone numbers are found by shape. The words before each are a lexical pattern;
-so are those before every other token that looks like an identifier. Patterns and the tokens they introduce form a
-bipartite graph on which Spark passes scores back and forth: a pattern is as good as the mean score of its tokens,
-a token as good as its best pattern. Tokens that a pattern of high score introduces are taken as identifiers of its
-kind, found by what stands around them though their shape alone says nothing.
+so are those before every other token that may be an identifier: groups of digits, and mail addresses in other spellings.
+Patterns and the tokens they introduce form a bipartite graph on which Spark passes scores back and forth. For each
+kind a pattern is as good as the share of tokens known to be of that kind among those that are known or that can't be
+of it; what may be of it, but isn't known, speaks neither for nor against. Tokens that a pattern of high score introduces
+are taken as identifiers of its kind, if they may be of it, and support their other patterns in the next round.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bounded_broadcast, cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -26,7 +27,9 @@ _MAIL_START = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT, _BLANK, _DIGITS = re.compile("[0-9@]"), re.compile(r"\s"), re.compile("[0-9]+")
+_DIGIT, _BLANK, _DIGITS = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I), re.compile(r"\s"), re.compile("[0-9]+")
+_AT, _GROUPS = re.compile(r"[^@\s]+(?:@|[(\[]at[)\]])[^@\s]+", re.I), re.compile(r"[0-9()./+-]+")
+_MORE = re.compile(r" (?=[0-9(])[0-9()./-]+(?![^\s,;:!?\"'\]])")
 _EDGES = "\"'`.,;:!?()[]{}<>#$%&*|=/\\"
 
 
@@ -81,8 +84,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def may_be(token: str) -> int:
+    """The kinds that a token's characters allow, as bits; 0: none."""
+    if _AT.fullmatch(token):
+        return 1
+    digits = sum(map(len, _DIGITS.findall(token)))
+    rest = _DIGITS.sub("", token)
+    if rest.strip(" ()./+-"):
+        return 0
+    return 2 * (rest == "...") | 4 * (12 <= digits <= 19 and not rest.strip(" -")) | 8 * (6 <= digits <= 15 and rest != "...")
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]], how: Bootstrap) -> list[tuple[str, str, int, int, int]]:
-    """(pattern, token, kind or -1, start, end) of base spans and of other tokens that look like identifiers."""
+    """(pattern, token, kind or -1, start, end) of base spans and of other tokens that may be identifiers.
+
+    A token goes from blank to blank; one of digits and their signs goes on over single spaces as long as such ones follow.
+    """
 
     def pattern(start: int) -> str:
         before = text[max(0, start - how.context_chars) : start].rstrip(_EDGES + " \t")
@@ -97,17 +114,22 @@ def candidates(text: str, spans: list[tuple[int, int, int]], how: Bootstrap) ->
         while start > upto and not text[start - 1].isspace():
             start -= 1
         stop = _BLANK.search(text, m.start())
-        upto = end = stop.start() if stop else len(text)
+        end = stop.start() if stop else len(text)
+        more = _MORE.match(text, end) if _GROUPS.fullmatch(text, start, end) else None
+        while more:
+            end = more.end()
+            more = _MORE.match(text, end)
+        upto = end
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        while start < end and text[start] in _EDGES:
-            start += 1
         while start < end and text[end - 1] in _EDGES:
             end -= 1
+        while start < end and text[start] in _EDGES and not (text[start] == "(" and ")" in text[start:end]):
+            start += 1
         token = text[start:end]
-        if sum(map(len, _DIGITS.findall(token))) >= how.min_digits:
+        if sum(map(len, _DIGITS.findall(token))) >= how.min_digits or _AT.fullmatch(token):
             out.append((pattern(start), token, -1, start, end))
     return out
 
@@ -116,7 +138,7 @@ def scan(docs: DataFrame, how: Bootstrap) -> DataFrame:
     """doc_id, text_hash, spans and found (what ``candidates`` gives) of every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    edge = pa.struct([("pattern", pa.string()), ("token", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    edge = pa.struct([("pattern", pa.string()), ("token", pa.string()), ("kind", pa.int32()), ("fits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,30 +147,37 @@ def scan(docs: DataFrame, how: Bootstrap) -> DataFrame:
                 text = text.as_py() or ""
                 here = base_spans(text) if _DIGIT.search(text) else []
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in here])
-                found.append([dict(zip(("pattern", "token", "kind", "start", "end"), e, strict=True)) for e in candidates(text, here, how)])
+                found.append([{"pattern": p, "token": t, "kind": k, "fits": may_be(t) if k < 0 else 1 << k, "start": a, "end": b} for p, t, k, a, b in candidates(text, here, how)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(edge))], ["doc_id", "text_hash", "spans", "found"])
 
-    shape = f"doc_id {id_type}, text_hash long, spans array<struct<kind:int,start:int,end:int>>, found array<struct<pattern:string,token:string,kind:int,start:int,end:int>>"
+    shape = f"doc_id {id_type}, text_hash long, spans array<struct<kind:int,start:int,end:int>>, found array<struct<pattern:string,token:string,kind:int,fits:int,start:int,end:int>>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(find, shape)
 
 
 def score_patterns(edges: DataFrame, how: Bootstrap) -> DataFrame:
-    """(pattern, kind, score) of the patterns that reach ``min_score``; edges: pattern, token, kind (-1: unknown)."""
+    """(pattern, kind, score) of the patterns that reach ``min_score``; edges: pattern, token, kind (-1: unknown), fits (bits of kinds)."""
     edges = cut_lineage(edges.where("pattern != ''").distinct())
-    degree = edges.groupBy("pattern").agg(F.countDistinct("token").alias("tokens"))
-    seeds = edges.where("kind >= 0")
-    unknown = edges.where("kind < 0").select("pattern", "token")
-    known, good = seeds.select("pattern", "token", "kind"), None
+    seeds, unknown = edges.where("kind >= 0").select("pattern", "token", "kind"), edges.where("kind < 0").select("pattern", "token", "fits")
+    unfit = lambda k: F.sum((F.col("fits").bitwiseAND(F.lit(1 << k)) == 0).cast("int"))
+    against = cut_lineage(unknown.groupBy("pattern").agg(F.array(*[unfit(k) for k in range(len(KINDS))]).alias("unfit")))
+    known, good = seeds, None
     for _ in range(how.rounds):
-        support = known.groupBy("pattern", "kind").agg(F.countDistinct("token").alias("known")).where(F.col("known") >= how.min_seeds)
-        scored = support.join(degree, "pattern").select("pattern", "kind", (F.col("known") / (F.col("tokens") + how.smoothing)).alias("score"))
-        best = scored.where(F.col("score") >= how.min_score).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best"))
-        good = cut_lineage(best.select("pattern", (-F.col("best.kind")).alias("kind"), "best.score"))
-        reached = unknown.join(good, "pattern").groupBy("token").agg(F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best")).select("token", (-F.col("best.kind")).alias("kind"))
-        known = seeds.select("pattern", "token", "kind").unionByName(unknown.join(reached, "token").select("pattern", "token", "kind"))
+        support = known.groupBy("pattern", "kind").agg(F.countDistinct("token").alias("n"))
+        each = support.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("kind")).alias("kind"))).alias("top"))
+        each = each.where(F.col("top.n") >= how.min_seeds).join(against, "pattern", "left").select("pattern", (-F.col("top.kind")).alias("kind"), F.col("top.n").alias("n"), "all", "unfit")
+        score = F.col("n") / (F.col("all") + F.coalesce(F.get("unfit", F.col("kind")), F.lit(0)) + how.smoothing)
+        good = cut_lineage(each.select("pattern", "kind", score.alias("score")).where(F.col("score") >= how.min_score))
+        met = unknown.join(bounded_broadcast(good), "pattern").where(may_have(F.col("fits"), F.col("kind")))
+        reached = met.groupBy("token").agg(F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best")).select("token", (-F.col("best.kind")).alias("kind"))
+        known = seeds.unionByName(unknown.join(bounded_broadcast(reached), "token").select("pattern", "token", "kind"))
     return good
 
 
+def may_have(fits: Column, kind: Column) -> Column:
+    """Whether the bits allow the kind."""
+    return fits.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(len(KINDS))]), kind.cast("int") + 1)) != 0
+
+
 def find_personal(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """Per row: doc_id, base (array of spans found by shape) and spans (those and the ones found by context).
 
@@ -158,8 +187,8 @@ def find_personal(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     scanned = cut_lineage(scan(docs, how))
     # only rows with candidates are spread; the array is checkpointed, so the filter on its size costs nothing
     spread = scanned.select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
-    good = score_patterns(spread.select("pattern", "token", "kind"), how)
-    more = spread.where("kind < 0").drop("kind").join(good.select("pattern", "kind"), "pattern")
+    good = bounded_broadcast(score_patterns(spread.select("pattern", "token", "kind", "fits"), how).select("pattern", "kind"))
+    more = spread.where("kind < 0").drop("kind").join(good, "pattern").where(may_have(F.col("fits"), F.col("kind")))
     more = more.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     joined = scanned.alias("s").join(more.alias("m"), F.expr("s.doc_id <=> m.doc_id and s.text_hash = m.text_hash"), "left")
     return joined.select("s.doc_id", F.col("spans").alias("base"), F.sort_array(F.concat("spans", F.coalesce("more", F.slice("spans", 1, 0)))).alias("spans"))

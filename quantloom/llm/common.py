@@ -50,7 +50,8 @@ _ROW_BYTES = 48
 
 def held_bytes(df: DataFrame) -> int:
     """About how many bytes the rows of a (checkpointed) table take in memory."""
-    wide = [F.octet_length(f"`{n}`") if t == "string" else 16 + 8 * F.size(f"`{n}`") for n, t in df.dtypes if t == "string" or t.startswith("array")]
+    words = lambda n: F.octet_length(F.array_join(f"`{n}`", "")) + 24 * F.size(f"`{n}`")
+    wide = [F.octet_length(f"`{n}`") if t == "string" else words(n) if t == "array<string>" else 16 + 8 * F.size(f"`{n}`") for n, t in df.dtypes if t == "string" or t.startswith("array")]
     more = [F.coalesce(w.cast("long"), F.lit(0)) for w in wide]
     return df.agg(F.coalesce(F.sum(sum(more, F.lit(_ROW_BYTES + 8 * len(df.columns)).cast("long"))), F.lit(0))).first()[0]
 

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, column, cut_lineage, free_prefix
-
-#: Rows of a table of item shingles that may be broadcast; with more, the joins shuffle.
-BROADCAST_ROWS = 500_000
+from .common import BROADCAST_BYTES, ascii_lower, bounded_broadcast, column, cut_lineage, free_prefix, held_bytes
 
 
 def alnum_words(text: Column) -> Column:
@@ -37,12 +34,12 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def _bounded(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """A checkpointed table, broadcast if its rows are within the limit, and whether they are."""
-    small = df.count() <= limit
+    """A table, broadcast if it takes no more bytes than the limit, and whether it does."""
+    small = held_bytes(df) <= limit
     return (F.broadcast(df) if small else df), small
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, *, shingle: int = 5, limit: int = BROADCAST_ROWS) -> DataFrame:
+def find_windows(docs: DataFrame, windows: DataFrame, *, shingle: int = 5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text_hash, start, window) of each occurrence; ``windows`` has distinct arrays of words."""
     windows = windows.select("window", F.least(F.size("window"), F.lit(shingle)).alias("size"))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # ``shingle`` rows at most

@@ -164,4 +164,39 @@ f as (select *, ('.' || host) like '%.example.org' eo, ('.' || host) like '%.org
 r as (select *, case when eo and path like '/en/1%' then 'example.org/en/1' when eo and path like '/es/%' then 'example.org/es/'
   when o and path like '/%' then 'org/' when c and path like '/fr/%' then 'com/fr/' when c and path like '/de/%' then 'com/de/' end rule from f)
 select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end verdict from r""",
+    "op12_periodic_runs": r"""
+with d as (select row_number() over () id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, coalesce(xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295), 1) h from documents),
+g as (select *, len(w) n, h // 10 g, case when len(w) > 0 then (h // 10) % len(w) end a from d),
+q as (select id, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end w from g),
+p as (select id, n, unnest(w) word, unnest(range(n)) i from q),
+m as (select x.id, x.i - y.i lag, x.i from p x join p y on x.id = y.id and x.word = y.word and y.i < x.i and 3 * (x.i - y.i) <= x.n),
+k as (select id, lag, min(i) - lag start, count(*) + lag length from (select *, i - row_number() over (partition by id, lag order by i) part from m) group by id, lag, part having count(*) + lag >= greatest(24, 3 * lag)),
+r as (select * from k where not exists (select 1 from k s where s.id = k.id and s.lag < k.lag and s.start <= k.start and s.start + s.length >= k.start + k.length)),
+x as (select distinct r.id, i from r join p on p.id = r.id and p.i >= start + lag and p.i < start + length),
+t as (select p.id, string_agg(word, ' ' order by p.i) left_over from p anti join x on p.id = x.id and p.i = x.i group by p.id),
+b as (select id, count(*) n_runs, string_agg(start || ',' || length || ',' || lag || chr(10), '' order by start, lag) lines, first({'start': start, 'length': length, 'lag': lag} order by length::double / lag desc, start, lag) best from r group by id)
+select doc_id, coalesce(n_runs, 0)::bigint n_runs, best.start::bigint start, best.length::bigint length, best.lag::bigint as period, (1000 * best.length // best.lag)::bigint exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(left_over, '')) collapsed_sha256
+from q left join b using (id) left join t using (id)""",
+    "op13_merkle_manifest": r"""
+with recursive
+d as (select *, coalesce(xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 5 = 0, false) tampered,
+  case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end || case when source is null then '-' else strlen(source) || ':' || source end || case when lang is null then '-' else strlen(lang) || ':' || lang end
+  || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end head,
+  case when text is null then '-' else strlen(text) || ':' || text end own, case when text is null then '-' else strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end lowered from documents),
+l as (select doc_id, source, sha256(head || own) leaf, case when tampered then sha256(head || lowered) else sha256(head || own) end changed from d),
+p as (select *, row_number() over () id, dense_rank() over (order by source nulls first) - 1 tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by source) n from l),
+lv as (select tree, 0 level, pos, n, leaf hash from p union all select tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' order by pos)) from lv where n > 1 group by tree, level, pos // 16, n),
+s as (select tree, hash, count(*) over () n from lv where n = 1),
+tv as (select 0 level, tree pos, n, hash from s union all select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' order by pos)) from tv where n > 1 group by level, pos // 16, n),
+r as (select tree, level, pos // 16 run, list(hash order by pos) hs from lv where n > 1 group by all), tr as (select level, pos // 16 run, list(hash order by pos) hs from tv where n > 1 group by all),
+c as (select id, tree, 0 level, pos, n, '' sib, changed folded from p
+  union all select id, c.tree, c.level + 1, pos // 16, (n + 15) // 16, sib || array_to_string(hs[:pos % 16], '') || array_to_string(hs[pos % 16 + 2:], ''), sha256(array_to_string(hs[:pos % 16], '') || folded || array_to_string(hs[pos % 16 + 2:], ''))
+  from c join r on c.tree = r.tree and c.level = r.level and c.pos // 16 = r.run where n > 1),
+t as (select id, 0 level, c.tree pos, s.n, sib, folded from c join s on c.tree = s.tree where c.n = 1
+  union all select id, t.level + 1, pos // 16, (n + 15) // 16, sib || array_to_string(hs[:pos % 16], '') || array_to_string(hs[pos % 16 + 2:], ''), sha256(array_to_string(hs[:pos % 16], '') || folded || array_to_string(hs[pos % 16 + 2:], ''))
+  from t join tr on t.level = tr.level and t.pos // 16 = tr.run where n > 1)
+select doc_id, leaf, s.hash subroot, root.hash root, sha256(sib) proof_sha256, folded folded_root, folded = root.hash verified
+from p join s using (tree) join t on p.id = t.id and t.n = 1 cross join (select hash from tv where n = 1) root""",
 }

@@ -264,3 +264,15 @@ def test_manifest(spark, name, upper):
     frame = spark.createDataFrame(rows, SCHEMA).withColumns({"tree": F.lit("x"), "pos": F.lit("y"), "leaf": F.lit(0), "n": F.lit(1)}).repartition(3)
     made = manifest.prove(frame, queries._crc_of_id() % 5 == 0, {"text": queries.ascii_lower(F.col("text"))}, upper_nodes=upper).collect()
     assert sorted(map(str, map(tuple, made))) == sorted(map(str, plain_manifest(rows)))
+
+
+@pytest.mark.parametrize("name", ["op12_periodic_runs", "op13_merkle_manifest"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    made = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(want.columns) == sorted(made.columns)
+    assert sorted(map(str, map(tuple, made.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))

@@ -157,7 +157,8 @@ def rank_words(docs: DataFrame) -> np.ndarray:
         sums = np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
             for part in chunks(batch, 0, CHUNK_BYTES >> 2):
-                words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(0).cast(pa.large_string()), ""))).flatten().dictionary_encode()
+                split = pc.split_pattern(pc.fill_null(part.column(0).cast(pa.large_string()), ""), "\n").flatten()  # fresh: ascii_lower takes a slice's bytes from the wrong place
+                words = pc.ascii_split_whitespace(pc.ascii_lower(split)).flatten().dictionary_encode()
                 full = pc.greater(pc.binary_length(words.dictionary), 0)
                 times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))[full.to_numpy(zero_copy_only=False)]
                 np.add.at(sums, (word_hashes(words.dictionary.filter(full)) >> np.uint64(64 - RANK_BITS)).astype(np.int64), times)

@@ -587,3 +587,21 @@ def test_a_line_of_very_many_words(spark, docs):
     long = " ".join(f"w{i}" for i in range(1_400_000))
     made = lines.dedup_lines(docs([(1, long), (2, long + " more\nshort line"), (3, "short line")])).collect()
     assert {r["doc_id"]: r["__gone"] for r in made} == {1: None, 2: [0], 3: [0]}
+
+
+def test_word_ranks_of_long_tables(spark, docs):
+    """Counts of words over several chunks of a batch, with long words and letters of more bytes."""
+    r = random.Random(1)
+    vocabulary = [f"{c}{k}" for c in ("a", "É", "ßx", "y" * 300 + "º") for k in range(20)]
+    texts = ["\n".join(" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(30)) for _ in range(60)]
+    ranks = lines.rank_words(docs([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "")]).coalesce(1))
+    counts = {}
+    for t in texts:
+        for w in t.encode().lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    import pyarrow as pa
+
+    words = list(counts)
+    buckets = (lines.word_hashes(pa.array([w.decode() for w in words], pa.large_string())) >> (64 - lines.RANK_BITS)).astype(int)
+    order = [w for _, w in sorted(zip(ranks[buckets].tolist(), words, strict=True))]
+    assert len(set(buckets.tolist())) == len(words) and [counts[w] for w in order] == sorted(counts.values())

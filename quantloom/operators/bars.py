@@ -111,7 +111,18 @@ class BarState:
         return self._close()
 
     def add_many(self, ts: np.ndarray, price: np.ndarray, volume: np.ndarray) -> list[tuple]:
-        """What ``add`` returns for these ticks in turn.
+        """What ``add`` returns for these ticks in turn: one by one while bars are short, else in stretches."""
+        out, a, short = [], 0, True
+        while a < len(price):
+            c = min(len(price), a + (256 if short else 8192))
+            part = ts[a:c], price[a:c], volume[a:c]
+            made = [bar for t in zip(*(x.tolist() for x in part), strict=True) if (bar := self.add(*t)) is not None] if short else self._add_stretch(*part)
+            out.extend(made)
+            short, a = 32 * len(made) > c - a, c
+        return out
+
+    def _add_stretch(self, ts: np.ndarray, price: np.ndarray, volume: np.ndarray) -> list[tuple]:
+        """The same on whole arrays.
 
         What ends a bar is fixed while the bar is open, so its end is the first tick at which a running sum meets it;
         sums go on from those of the open bar, tick by tick, so they are the same numbers.

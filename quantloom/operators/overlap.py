@@ -88,11 +88,16 @@ FAN = 32
 
 
 def price_index(prices: DataFrame, keys: Sequence[str], levels: int) -> list[DataFrame]:
-    """Per level (keys, block, cells): ``FAN`` cells (id, lo, hi) of the level below by id, level 0 of single prices."""
+    """Per level (keys, block, cells): ``FAN`` cells (id, lo, hi) of the level below by id, level 0 of single prices.
+
+    On the last level a block has the cells of the next one, too.
+    """
     keys, made = list(keys), []
     cell = prices.select(*keys, F.col("idx").cast("long").alias("id"), F.col("price").alias("lo"), F.col("price").alias("hi"))
-    for _ in range(levels):
-        blocks = cell.groupBy(*keys, F.floor(F.col("id") / FAN).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "lo", "hi"))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    for level in range(levels):
+        own = F.floor(F.col("id") / FAN).cast("long")
+        placed = cell.withColumn("block", F.explode(F.array(own, own - 1)) if level == levels - 1 else own)
+        blocks = placed.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("id", "lo", "hi"))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         made.append(blocks.select(*keys, "block", "cells"))
         cell = blocks.select(*keys, F.col("block").alias("id"), "lo", "hi")
     return made
@@ -112,15 +117,16 @@ def first_touches(entries: DataFrame, prices: DataFrame, keys: Sequence[str], ba
     while FAN**depth < barrier.max_holding:
         depth += 1
     last = prices.groupBy(*keys).agg(F.max("idx").alias("__last"))
-    at = prices.select(*keys, F.col("idx").alias("entry_idx"), F.col("price").alias("__p0"))
-    e = entries.select(*keys, "entry_idx", "vol").join(last, keys).join(at, [*keys, "entry_idx"]).where("__p0 != 0 and entry_idx < __last")
-    e = e.select(*keys, "entry_idx", "__p0", F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.lit(1e-10)).alias("__vol"), F.least(F.col("entry_idx") + barrier.max_holding, F.col("__last")).cast("long").alias("__end"))
+    e = entries.select(*keys, "entry_idx", "vol").join(last, keys).where("entry_idx < __last")
+    e = e.select(*keys, "entry_idx", F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.lit(1e-10)).alias("__vol"), F.least(F.col("entry_idx") + barrier.max_holding, F.col("__last")).cast("long").alias("__end"))
 
     rises = F.col("__p0") > 0
     r = lambda price: price / F.col("__p0") - 1
     up = lambda c: (r(F.when(rises, c["hi"]).otherwise(c["lo"])) >= barrier.upper * F.col("__vol")) if barrier.upper is not None else F.lit(False)
     down = lambda c: (r(F.when(rises, c["lo"]).otherwise(c["hi"])) <= -barrier.lower * F.col("__vol")) if barrier.lower is not None else F.lit(False)
 
+    price = lambda i: F.get(F.filter("cells", lambda c: c["id"] == i), 0)["lo"]
+
     def first(cells: Column, after: Column, until: Column) -> Column:
         return F.get(F.filter(cells, lambda c: (c["id"] > after) & (c["id"] <= until) & (up(c) | down(c))), 0)["id"]
 
@@ -129,19 +135,22 @@ def first_touches(entries: DataFrame, prices: DataFrame, keys: Sequence[str], ba
     # upwards: the first cell, of whatever level, in which a barrier may be met
     e = e.withColumns({"__level": F.lit(-1), "__at": F.lit(None).cast("long")})
     for level, blocks in enumerate(index):
-        if level == depth - 1:  # the holding limit reaches into the next block at most
-            after = blocks.select(*keys, (F.col("block") - 1).alias("block"), F.col("cells").alias("__more"))
-            blocks = blocks.join(after, [*keys, "block"], "left").select(*keys, "block", F.concat("cells", F.coalesce("__more", F.array().cast("array<struct<id:bigint,lo:double,hi:double>>"))).alias("cells"))
         e = e.withColumn("block", part("entry_idx", level + 1)).join(blocks, [*keys, "block"])
-        e = e.withColumn("__found", F.when(F.col("__at").isNull(), first(F.col("cells"), part("entry_idx", level), part("__end", level)))).drop("cells", "block")
+        if level == 0:
+            e = e.withColumn("__p0", price(F.col("entry_idx"))).where("__p0 != 0")
+        e = e.withColumn("__found", F.when(F.col("__at").isNull(), first(F.col("cells"), part("entry_idx", level), part("__end", level))))
         e = e.withColumns({"__level": F.when(F.col("__found").isNotNull(), F.lit(level)).otherwise(F.col("__level")), "__at": F.coalesce("__at", "__found")}).drop("__found")
+        if depth == 1:  # the block has all the bars that the entry may be held
+            e = e.withColumn("__p1", price(F.coalesce("__at", "__end")))
+        e = e.drop("cells", "block")
     # downwards, within that cell
     for level in range(depth - 2, -1, -1):
         deeper = (F.col("__level") > level) & F.col("__at").isNotNull()
         e = e.withColumn("block", F.when(deeper, F.col("__at")).otherwise(part("entry_idx", level + 1))).join(index[level], [*keys, "block"])
         e = e.withColumns({"__at": F.when(deeper, first(F.col("cells"), F.lit(-1), part("__end", level))).otherwise(F.col("__at"))}).drop("cells", "block")
     e = e.withColumn("exit_idx", F.coalesce("__at", "__end"))
-    e = e.join(prices.select(*keys, F.col("idx").alias("exit_idx"), F.col("price").alias("__p1")), [*keys, "exit_idx"])
+    if depth > 1:
+        e = e.join(prices.select(*keys, F.col("idx").alias("exit_idx"), F.col("price").alias("__p1")), [*keys, "exit_idx"])
     point = F.struct(F.col("__p1").alias("lo"), F.col("__p1").alias("hi"))
     kind = F.when(F.col("__at").isNull(), "vertical").when(up(point), "upper").otherwise("lower")
     return e.select(*keys, "entry_idx", "exit_idx", kind.alias("touch_type"), r(F.col("__p1")).alias("return_value"))

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, column, columns, cut_lineage, free_prefix, n_blank_words
 
-#: Bins of finish times; also the bound on the rows that one task sums and on what is broadcast.
+#: Bins of finish times, which are summed by one task and broadcast.
 TIME_BINS = 4096
+#: Copies of the bin in which the budget ends that one task puts in order; with more, the bin is binned again.
+SPLIT_ROWS = 100_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], budget_share: float, max_epochs: int) -> DataFrame:
@@ -70,9 +72,21 @@ def mix_bounds(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget_sh
     bins = copies.groupBy("bin").agg(F.sum("size").alias("inside"), F.max("budget").alias("budget")).withColumn("upto", F.sum("inside").over(running))
     bins = bins.select("bin", (F.col("upto") - F.col("inside")).alias("start"), (F.col("upto") <= F.col("budget")).alias("whole"), ((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("inside") < F.col("budget"))).alias("split"))
     binned = copies.join(F.broadcast(bins), "bin")  # TIME_BINS rows at most
-    served = Window.partitionBy("bin").orderBy("time", "place", "epoch")
-    split = binned.where("split").withColumn("upto", F.col("start") + F.sum("size").over(served)).where("upto <= budget")
-    taken = binned.where("whole").select("source", "epoch", "place").unionByName(split.select("source", "epoch", "place"))
+    taken = binned.where("whole").select("source", "epoch", "place")
+    left = cut_lineage(binned.where("split").drop("bin", "whole", "split"))
+    while left.count() > SPLIT_ROWS:  # the bin in which the budget ends is binned again
+        low, high = left.agg(F.min("time"), F.max("time")).first()
+        if low == high:
+            break
+        finer = left.withColumn("bin", F.floor((F.col("time") - low) / (high - low) * (TIME_BINS - 1)).cast("int"))
+        parts = finer.groupBy("bin").agg(F.sum("size").alias("inside"), F.max("budget").alias("limit"), F.max("start").alias("from")).withColumn("upto", F.col("from") + F.sum("inside").over(running))
+        parts = parts.select("bin", (F.col("upto") - F.col("inside")).alias("start"), (F.col("upto") <= F.col("limit")).alias("whole"), ((F.col("upto") > F.col("limit")) & (F.col("upto") - F.col("inside") < F.col("limit"))).alias("split"))
+        finer = finer.drop("start").join(F.broadcast(parts), "bin")  # TIME_BINS rows at most
+        taken = taken.unionByName(finer.where("whole").select("source", "epoch", "place"))
+        left = cut_lineage(finer.where("split").drop("bin", "whole", "split"))
+    served = Window.partitionBy(F.lit(0)).orderBy("time", "place", "epoch")
+    split = left.withColumn("upto", F.col("start") + F.sum("size").over(served)).where("upto <= budget")
+    taken = taken.unionByName(split.select("source", "epoch", "place"))
     lasts = taken.groupBy("source").agg(*[F.max(F.when(F.col("epoch") == e, F.col("place"))).alias(f"e{e}") for e in range(max_epochs)])
     joined = targets.alias("t").join(lasts.alias("l"), F.expr("t.source <=> l.source"), "left")
     return joined.select("t.source", "source_size", "target", F.array(*[f"e{e}" for e in range(max_epochs)]).alias("last"))

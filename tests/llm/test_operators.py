@@ -156,6 +156,16 @@ def test_mix_hits_targets(spark, docs):
     assert sorted(map(str, made)) == sorted(map(str, again))
 
 
+def test_mix_bins_again(docs, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, prose(i, r.randint(0, 40)), "en", r.choice("aab")) for i in range(300)] + [(7, "x y", "en", "a")] * 9
+    read = lambda: sorted(map(str, mixing.mix_sources(docs(rows)).select("doc_id", "source", "__mix.*").collect()))
+    want = read()
+    monkeypatch.setattr(mixing, "SPLIT_ROWS", 2)
+    monkeypatch.setattr(mixing, "TIME_BINS", 8)
+    assert read() == want
+
+
 def test_mix_without_words(docs):
     assert [r["__mix"]["taken"] for r in mixing.mix_sources(docs([(1, "", "en", "a"), (2, None, "en", None)])).collect()] == [0, 0]
     assert mixing.mix_sources(docs([])).count() == 0

@@ -40,3 +40,7 @@ def test_returns(spark, zeros, name):
 
 def test_rounding(spark):
     assert spark.range(1).select(rounded((F.lit(57.63) - F.lit(6.4)) / F.lit(6.4))).first()[0] == 8.004687
+
+
+def test_amihud(spark, zeros):
+    check(spark, zeros, "amihud_lambda_rolling")

@@ -44,3 +44,7 @@ def test_rounding(spark):
 
 def test_amihud(spark, zeros):
     check(spark, zeros, "amihud_lambda_rolling")
+
+
+def test_chu_stinchcombe_white(spark, zeros):
+    check(spark, zeros, "chu_stinchcombe_white")

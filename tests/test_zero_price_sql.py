@@ -48,3 +48,7 @@ def test_amihud(spark, zeros):
 
 def test_chu_stinchcombe_white(spark, zeros):
     check(spark, zeros, "chu_stinchcombe_white")
+
+
+def test_cusum(spark, zeros):
+    check(spark, zeros, "cusum_filter")

@@ -52,3 +52,14 @@ def test_chu_stinchcombe_white(spark, zeros):
 
 def test_cusum(spark, zeros):
     check(spark, zeros, "cusum_filter")
+
+
+def test_daily_volatility(spark, zeros):
+    check(spark, zeros, "daily_volatility")
+
+
+def test_infinite_differences_never_fade(spark):
+    from quantloom.operators.scans import ewma_std
+
+    rows = spark.range(9000).selectExpr("1 as key", "id as idx", "if(id = 5, double('inf'), 1.0d) as x")
+    assert ewma_std(rows, ["key"], "idx", "x", 20).where("ewma_std < double('inf')").count() == 5

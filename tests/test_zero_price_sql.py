@@ -63,3 +63,8 @@ def test_infinite_differences_never_fade(spark):
 
     rows = spark.range(9000).selectExpr("1 as key", "id as idx", "if(id = 5, double('inf'), 1.0d) as x")
     assert ewma_std(rows, ["key"], "idx", "x", 20).where("ewma_std < double('inf')").count() == 5
+
+
+@pytest.mark.parametrize("name", ["get_events", "find_first_touch"])
+def test_first_touch(spark, zeros, name):
+    check(spark, zeros, name)

@@ -27,7 +27,7 @@ def level(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["trend_scanning_labels", "trend_scanning_label_series"])
 def test_level_windows(spark, level, name):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"threads": 1})  # on more, the order of its sums and so the sign of a zero slope varies
     con.sql(f"create view events as select * from read_parquet('{level}/events.parquet/*.parquet')")
     theirs = con.sql(ORACLES[name])
     made = QUERIES[name](spark, level).select(*theirs.columns)

@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, column, columns, cut_lineage, free_prefix, shuffle_partitions
+from .common import BROADCAST_BYTES, bounded_broadcast, column, columns, cut_lineage, free_prefix, held_bytes, shuffle_partitions
 
 #: Buckets of word hashes whose counts rank words by rarity; the bound on what the driver gathers.
 RANK_BITS = 18
 #: Words of a set beyond which its parity signature is wider.
 WIDE = 64
-#: Bytes of text that a task takes apart at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text whose lines a task compares for equal sets, and of text that it takes apart at once, into arrays of about ten times as many.
+CHUNK_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 
 
 def line_words(line: str) -> set[bytes]:
@@ -39,6 +39,13 @@ def line_words(line: str) -> set[bytes]:
     return set(line.encode("utf-8", "surrogatepass").lower().split())
 
 
+def similar_lines(a: str, b: str, threshold: float) -> bool:
+    """Whether the words of two lines are similar enough."""
+    x, y = line_words(a), line_words(b)
+    both = len(x & y)
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
 class Lines:
     """The lines with words of some texts, each as its distinct words, in arrays.
 
@@ -153,15 +160,18 @@ def chunks(batch: pa.RecordBatch, text: int, size: int = CHUNK_BYTES) -> Iterato
 def rank_words(docs: DataFrame) -> np.ndarray:
     """Rank of each hash bucket by how many words of all lines fall into it, the rarest first."""
 
+    def add(sums: np.ndarray, texts: pa.Array) -> None:
+        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n").flatten()  # fresh: ascii_lower takes a slice's bytes from the wrong place
+        words = pc.ascii_split_whitespace(pc.ascii_lower(split)).flatten().dictionary_encode()
+        full = pc.greater(pc.binary_length(words.dictionary), 0)
+        times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))[full.to_numpy(zero_copy_only=False)]
+        np.add.at(sums, (word_hashes(words.dictionary.filter(full)) >> np.uint64(64 - RANK_BITS)).astype(np.int64), times)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
-            for part in chunks(batch, 0, CHUNK_BYTES >> 2):
-                split = pc.split_pattern(pc.fill_null(part.column(0).cast(pa.large_string()), ""), "\n").flatten()  # fresh: ascii_lower takes a slice's bytes from the wrong place
-                words = pc.ascii_split_whitespace(pc.ascii_lower(split)).flatten().dictionary_encode()
-                full = pc.greater(pc.binary_length(words.dictionary), 0)
-                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))[full.to_numpy(zero_copy_only=False)]
-                np.add.at(sums, (word_hashes(words.dictionary.filter(full)) >> np.uint64(64 - RANK_BITS)).astype(np.int64), times)
+            for piece in chunks(batch, 0, PIECE_BYTES):
+                add(sums, piece.column(0))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
 
@@ -186,6 +196,31 @@ def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.where((sizes >= threshold * (sizes + 1) - 1e-9) | (sizes - 1 >= threshold * sizes - 1e-9), lengths, 0)
 
 
+def _piece_sets(piece: pa.RecordBatch, ranks: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Of each line with words: row, at, hash, parity, check, w1, w2, w3, size and prefix length; then the prefixes one after the other."""
+    found = Lines(piece.column(2))
+    found.sorted_by(word_keys(found.words, ranks))
+    at = found.places.astype(np.int64) << 32 | piece.column(1).to_numpy()[found.rows]
+    lengths = prefix_lengths(found.sizes, threshold)
+    keys = found.heads(lengths)[2]
+    tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return [found.rows, at, *found.identities(), found.checks(), *found.quarters(), found.sizes, lengths, tokens]
+
+
+def sets_of(part: pa.RecordBatch, ranks: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """The rows of ``line_sets`` for a part of the texts, which is taken apart by pieces."""
+    made, before = [], 0
+    for piece in chunks(part, 2, PIECE_BYTES):
+        rows, *rest = _piece_sets(piece, ranks, threshold)
+        made.append([rows + before, *rest])
+        before += piece.num_rows
+    rows, at, hashes, parities, checks, w1, w2, w3, sizes, lengths, tokens = map(np.concatenate, zip(*made, strict=True))
+    once = first_of_sets(hashes, parities, order_of(part.column(0))[rows], at)
+    tokens, lengths = tokens[np.repeat(once, lengths)], np.where(once, lengths, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *map(pa.array, (at, hashes, parities, checks, w1, w2, w3)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "check", "w1", "w2", "w3", "size", "prefix"])
+
+
 def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     """A row for every line with words: doc_id, at, the identity (hash, parity) and size of its set, and its prefix.
 
@@ -196,15 +231,7 @@ def line_sets(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2):
-                found = Lines(part.column(2))
-                found.sorted_by(word_keys(found.words, ranks.value))
-                hashes, parities = found.identities()
-                at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
-                lengths = np.where(first_of_sets(found, part.column(0), at), prefix_lengths(found.sizes, threshold), 0)
-                keys = found.heads(lengths)[2]
-                tokens = ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.rows)), pa.array(at), pa.array(hashes), pa.array(parities), pa.array(found.checks()), *map(pa.array, found.quarters()), pa.array(found.sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))], ["doc_id", "at", "hash", "parity", "check", "w1", "w2", "w3", "size", "prefix"])
+                yield sets_of(part, ranks.value, threshold)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text_bits", "text").mapInArrow(make, f"doc_id {id_type}, at long, hash long, parity long, check long, w1 long, w2 long, w3 long, size int, prefix array<int>")
@@ -444,8 +471,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, repeats: bool)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [[line_words(x) for x in batch.column(k).to_pylist()] for k in (3, 4)]
-            holds = [len(x & y) >= threshold * len(x | y) - 1e-9 for x, y in zip(*both, strict=True)]
+            # the sets of one pair at a time: those of a whole batch take over ten times its bytes
+            holds = [similar_lines(x.as_py(), y.as_py(), threshold) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(holds, pa.bool_())], ["hash", "parity", "more", "holds"])
 
     return cut_lineage(met.select("hash", "parity", "more", "line", "line_a").mapInArrow(compare, "hash long, parity long, more boolean, holds boolean"))
@@ -469,16 +496,28 @@ class Seekers:
 
     def similar(self, k: int, text: pa.Scalar, place: int) -> bool:
         """Whether the words of seeker k and of a line of the text are similar enough."""
-        x, y = line_words(self.lines[k].as_py()), line_words(text.as_py().split("\n")[place])
-        return len(x & y) >= self.threshold * len(x | y) - 1e-9
+        return similar_lines(self.lines[k].as_py(), text.as_py().split("\n")[place], self.threshold)
 
-    def matched(self, found: Lines, once: np.ndarray, docs: pa.Array, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+    def orders(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of some doc_ids and of those of the seekers, in one order."""
+        order = order_of(pa.concat_arrays([docs, self.doc]))
+        return order[: len(docs)], order[len(docs) :]
+
+    def matched_in(self, piece: pa.RecordBatch, own: np.ndarray, theirs: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+        """(hash, parity) of the seekers for which a line of the texts is earlier and similar enough. own, theirs: see ``orders``."""
+        found = Lines(piece.column(2))
+        keys = word_keys(found.words, ranks)
+        found.restrict(np.searchsorted(self.prefix_keys, keys) < np.searchsorted(self.prefix_keys, keys, side="right"))
+        found.sorted_by(keys)
+        at, own = found.places.astype(np.int64) << 32 | piece.column(1).to_numpy()[found.rows], own[found.rows]
+        done = self.matched(found, first_of_sets(*found.identities(), own, at), own, theirs, at, piece.column(2))
+        return pa.RecordBatch.from_arrays([pa.array(self.hash[done]), pa.array(self.parity[done])], ["hash", "parity"])
+
+    def matched(self, found: Lines, once: np.ndarray, own: np.ndarray, theirs: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
         """The seekers for which one of the lines is earlier and similar enough, by their words; ``once`` tells which lines count."""
         line, place, keys = found.heads(np.where(once, prefix_lengths(found.sizes, self.threshold), 0))
         low, high = np.searchsorted(self.prefix_keys, keys), np.searchsorted(self.prefix_keys, keys, side="right")
         line, place, low, high = (x[low < high] for x in (line, place, low, high))
-        order = order_of(pa.concat_arrays([docs, self.doc]))
-        own, theirs = order[: len(docs)][found.rows], order[len(docs) :]
         done = np.zeros(len(self.hash), bool)
         upto = np.cumsum(high - low)
         cuts = np.append(np.flatnonzero(np.diff(upto // PAIRS_AT_ONCE, prepend=-1)), len(line))
@@ -533,21 +572,18 @@ def compared_with_all(docs: DataFrame, seekers: DataFrame, ranks, threshold: flo
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 2):
-                found = Lines(part.column(2))
-                keys, known = word_keys(found.words, ranks.value), held.value.prefix_keys
-                found.restrict(np.searchsorted(known, keys) < np.searchsorted(known, keys, side="right"))
-                found.sorted_by(keys)
-                at = found.places.astype(np.int64) << 32 | part.column(1).to_numpy()[found.rows]
-                done = held.value.matched(found, first_of_sets(found, part.column(0), at), part.column(0), at, part.column(2))
-                yield pa.RecordBatch.from_arrays([pa.array(held.value.hash[done]), pa.array(held.value.parity[done])], ["hash", "parity"])
+            own, theirs = held.value.orders(batch.column(0))
+            before = 0
+            for piece in chunks(batch, 2, PIECE_BYTES):
+                yield held.value.matched_in(piece, own[before : before + piece.num_rows], theirs, ranks.value)
+                before += piece.num_rows
 
     return cut_lineage(docs.select("doc_id", "text_bits", "text").mapInArrow(match, "hash long, parity long").distinct())
 
 
-def first_of_sets(found: Lines, docs: pa.Array, at: np.ndarray) -> np.ndarray:
-    """Which lines are the earliest of those of the texts that have their set."""
-    sets, docs = _dense(*found.identities()), order_of(docs)[found.rows]
+def first_of_sets(hashes: np.ndarray, parities: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of some lines are the earliest that have their set. docs: ranks of the lines' doc_ids."""
+    sets = _dense(hashes, parities)
     order = np.lexsort((at, docs, sets))
     once = np.zeros(len(sets), bool)
     once[order[np.concatenate([[True], sets[order][1:] != sets[order][:-1]])] if len(order) else order] = True
@@ -634,10 +670,13 @@ def later_lines(docs: DataFrame, threshold: float, repeats: bool) -> DataFrame:
     # all lines of a matched class go, and those after the first of any other; a line whose check isn't the first one's has another set
     known = repeated.join(matched.withColumn("whole", F.lit(True)), ["hash", "parity"], "full").select("hash", "parity", F.coalesce("whole", F.lit(False)).alias("whole"), "first.*", F.coalesce("n", F.lit(1)).alias("n"))
     known = cut_lineage(known.select("hash", "parity", "whole", F.col("doc_id").alias("doc_f"), F.col("at").alias("at_f"), F.col("check").alias("check_f"), "n"))
-    large = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1000 + 1
-    met = [lines.join(F.broadcast(known.where(F.col("n") >= large)), ["hash", "parity"]), lines.join(bounded_broadcast(known.where(F.col("n") < large)), ["hash", "parity"])]  # of the large ones there are 1,000 at most
+    if held_bytes(known) <= BROADCAST_BYTES:
+        met = lines.join(F.broadcast(known.drop("n")), ["hash", "parity"])
+    else:
+        large = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1000 + 1
+        met = lines.join(F.broadcast(known.where(F.col("n") >= large)), ["hash", "parity"]).unionByName(lines.join(known.where(F.col("n") < large), ["hash", "parity"]))  # of the large ones there are 1,000 at most
     later = (F.col("whole") | (F.struct("doc_id", "at") > F.struct(F.col("doc_f").alias("doc_id"), F.col("at_f").alias("at")))) & F.coalesce(F.col("check") == F.col("check_f"), F.lit(True))
-    gone = met[0].unionByName(met[1]).where(later)
+    gone = met.where(later)
     return gone.groupBy("doc_id", F.col("at").bitwiseAND(F.lit(_LOW32)).alias("text_bits")).agg(F.sort_array(F.collect_set(F.shiftright("at", 32).cast("int"))).alias("gone"))
 
 

@@ -615,3 +615,49 @@ def test_word_ranks_of_long_tables(spark, docs):
     buckets = (lines.word_hashes(pa.array([w.decode() for w in words], pa.large_string())) >> (64 - lines.RANK_BITS)).astype(int)
     order = [w for _, w in sorted(zip(ranks[buckets].tolist(), words, strict=True))]
     assert len(set(buckets.tolist())) == len(words) and [counts[w] for w in order] == sorted(counts.values())
+
+
+def test_line_dedup_of_tables_too_large_to_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)  # repeated and matched sets meet the lines in a shuffle, but for the largest
+    rows = varied_lines(11, 60, 40)
+    assert {r["doc_id"]: r["__gone"] or [] for r in lines.dedup_lines(docs(rows)).collect()} == dict(later_places(rows))
+
+
+def test_line_dedup_takes_little_memory_for_a_batch(docs, monkeypatch):
+    """What the tasks run, on a batch of their usual size: neither the sets of all its pairs nor arrays of all its words at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made, frame = {}, docs([(1, "a b c d e f\ng h"), (2, "a b c d e f g")])
+    run = type(frame).mapInArrow
+
+    def kept(self, function, schema, *args, **more):
+        made[str(schema).split()[-2]] = function
+        return run(self, function, schema, *args, **more)
+
+    def peak(function, batch):
+        tracemalloc.start()
+        try:
+            out = list(function(iter([batch])))
+            return out, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(type(frame), "mapInArrow", kept)
+    assert [r["__gone"] for r in lines.dedup_lines(frame).orderBy("doc_id").collect()] == [None, [0]]
+
+    r = random.Random(3)
+    pairs = [[" ".join(str(r.randrange(10**6)) for _ in range(200)) for _ in range(1000)] for _ in range(2)]
+    pairs[1][7] = pairs[0][7] + " more"
+    n = len(pairs[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(n)]), pa.array([*range(n)]), pa.array([False] * n), *map(pa.array, pairs)], ["hash", "parity", "more", "line", "line_a"])
+    out, most = peak(made["holds"], batch)
+    assert [k for part in out for k, x in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True) if x] == [7]
+    assert most < 5, most  # 34 MB with the sets of all pairs
+
+    texts = ["\n".join(" ".join(f"w{r.randrange(3000)}" for _ in range(12)) for _ in range(40)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(1500)]), pa.array([0] * 1500), pa.array(texts)], ["doc_id", "text_bits", "text"])
+    out, most = peak(made["prefix"], batch)
+    assert sum(part.num_rows for part in out) == 40 * 1500
+    assert most < 25, most  # 37 MB if all 4 MB are taken apart at once
